@@ -285,8 +285,15 @@ def sort_keys(by: str, ties: Sequence[str] = ("text_id", "match_no")) -> list[Co
 def sort_results(
     results: DataFrame, by: str = "text_id", ties: Sequence[str] = ("text_id", "match_no")
 ) -> DataFrame:
-    """Sort matches by text, by left context (nearest word first) or by right context."""
-    return results.orderBy(*sort_keys(by, ties))
+    """Sort matches by text, by left context (nearest word first) or by right context.
+
+    The key is computed once per match and sorted as a column; written into the sort it would be
+    computed at every comparison.
+    """
+    first, *rest = sort_keys(by, ties)
+    if by == "text_id":
+        return results.orderBy(first, *rest)
+    return results.withColumn("__key", first).orderBy("__key", *rest).drop("__key")
 
 
 def result_page(
@@ -299,8 +306,10 @@ def result_page(
     """One page of the sorted results; near pages are a top-k, not a full sort."""
     if page < 1:
         raise ValueError("pages count from 1")
-    ordered = sort_results(results, by, ties)
-    return ordered.offset((page - 1) * results_per_page).limit(results_per_page)
+    skipped = (page - 1) * results_per_page
+    first, *rest = sort_keys(by, ties)
+    keyed = results.withColumn("__key", first).orderBy("__key", *rest)
+    return keyed.offset(skipped).limit(results_per_page).drop("__key")
 
 
 # ---------------------------------------------------------------- chunks of tagged lines

@@ -15,8 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.functions.text import binding
 from turnwise.operators.ordering import PAIR_BLOCK, attach, block_of
 
+# Dot products of up to this many dimensions are written out.
+WRITTEN_OUT = 32
+
 
 def _blocks(rows: DataFrame, payload: Sequence[str], width: int) -> DataFrame:
     item = F.struct("turn", *payload)
@@ -75,21 +79,33 @@ def turn_pairs(
     return near if brief else near.unionByName(_far_pairs(rows, payload, width))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Sum of products of two arrays of doubles."""
+def dot(a: str, b: str, dims: int | None = None) -> Column:
+    """Sum of products of two columns of arrays of doubles.
+
+    With a known, moderate number of dimensions it is written out, which compiles to plain arithmetic.
+    """
+    if dims is not None and dims <= WRITTEN_OUT:
+        return F.expr(" + ".join(["0D", *[f"{a}[{i}] * {b}[{i}]" for i in range(dims)]]))
+    return dot_arrays(F.col(a), F.col(b))
+
+
+def dot_arrays(a: Column, b: Column) -> Column:
+    """The same for any two array expressions."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, p: s + p)
 
 
 def unit_vectors(vectors: DataFrame, column: str = "vector") -> DataFrame:
     """Scale every vector to length 1 (column ``unit``); zero vectors have no direction and go."""
     exact = F.col(column).cast("array<double>")
-    measured = vectors.withColumn(column, exact).withColumn("__norm", F.sqrt(dot(exact, exact)))
-    scaled = F.transform(column, lambda x: x / F.col("__norm"))
-    return measured.filter(F.col("__norm") > 0).withColumn("unit", scaled).drop("__norm", column)
+    scaled = binding(
+        F.sqrt(dot_arrays(exact, exact)),
+        lambda norm: F.when(norm > 0, F.transform(exact, lambda x: x / norm)),
+    )
+    return vectors.withColumn("unit", scaled).filter("unit IS NOT NULL").drop(column)
 
 
 def pairwise_similarity(
-    units: DataFrame, *, diagonal: bool = False, brief: bool = False
+    units: DataFrame, *, dims: int | None = None, diagonal: bool = False, brief: bool = False
 ) -> DataFrame:
     """``conv_id, row_turn, col_turn, similarity``: the upper triangle of the symmetric matrix.
 
@@ -100,7 +116,7 @@ def pairwise_similarity(
         "conv_id",
         F.col("a.turn").alias("row_turn"),
         F.col("b.turn").alias("col_turn"),
-        dot(F.col("a.unit"), F.col("b.unit")).alias("similarity"),
+        dot("a.unit", "b.unit", dims).alias("similarity"),
     ).filter("similarity != 0")
     if not diagonal:
         return cells

@@ -195,22 +195,22 @@ def eligible_turns(
     ranged = _with_ranges(turns.select("conv_id", "turn", "speaker"), t_short, t_medium, brief)
     if not brief:
         return _self_and_other(ranged, 0)
-    cells = _near_cells(ranged, PAIR_BLOCK, with_units=False)
+    cells = _near_cells(ranged, PAIR_BLOCK, 0)
     return cells.groupBy("conv_id", F.col("t").alias("turn")).agg(
         *_conditional_sums("1D", "_n")
     )
 
 
-def _near_cells(rows: DataFrame, width: int, *, with_units: bool) -> DataFrame:
+def _near_cells(rows: DataFrame, width: int, dims: int) -> DataFrame:
     """Both directions of every pair within a block, ready for :func:`_conditional_sums`."""
     ranges = ["t_short", "t_medium", "t_long"]
-    payload = ["speaker", *ranges, *(["unit"] if with_units else [])]
+    payload = ["speaker", *ranges, *(["unit"] if dims else [])]
     pairs = near_pairs(rows, payload, width)
     both = F.array(
         F.struct(F.col("a.turn").alias("t"), F.col("b.turn").alias("o")),
         F.struct(F.col("b.turn").alias("t"), F.col("a.turn").alias("o")),
     )
-    similarity = _zero(dot(F.col("a.unit"), F.col("b.unit"))) if with_units else F.lit(0.0)
+    similarity = _zero(dot("a.unit", "b.unit", dims)) if dims else F.lit(0.0)
     return pairs.select(
         "conv_id",
         similarity.alias("s"),
@@ -278,7 +278,7 @@ def topic_recurrences_of_vectors(
     ranged = _with_ranges(turns.select("conv_id", "turn", "speaker"), t_short, t_medium, brief)
     rows = ranged.join(units.select("conv_id", "turn", "unit"), ["conv_id", "turn"], "left")
     in_place = rows if brief else rows.filter(F.col("n_turns") <= width)
-    cells = _near_cells(in_place, width, with_units=True)
+    cells = _near_cells(in_place, width, dims)
     sums = _conditional_sums("s")
     if normalize:
         sums += _conditional_sums("1D", "_n")
@@ -346,7 +346,7 @@ def recurrence_rate_of_vectors(turns: DataFrame, units: DataFrame, dims: int) ->
     """The same from unit vectors: half of what the squared sum exceeds the sum of squares by."""
     sums = units.groupBy("conv_id").agg(
         *[F.expr(f"sum(unit[{i}]) AS s{i}") for i in range(dims)],
-        F.sum(dot(F.col("unit"), F.col("unit"))).alias("squares"),
+        F.sum(dot("unit", "unit", dims)).alias("squares"),
     )
     squared = F.expr(" + ".join(f"s{i} * s{i}" for i in range(dims)))
     total = sums.select("conv_id", ((squared - F.col("squares")) / 2).alias("total"))
@@ -422,7 +422,7 @@ def _across_blocks(rows: DataFrame, dims: int, width: int) -> DataFrame:
 
 def _within_blocks(rows: DataFrame, dims: int, width: int) -> DataFrame:
     pairs = near_pairs(rows, ["grp", "unit"] if dims else ["grp"], width)
-    total = _zero(dot(F.col("a.unit"), F.col("b.unit"))) if dims else F.lit(0.0)
+    total = _zero(dot("a.unit", "b.unit", dims)) if dims else F.lit(0.0)
     return pairs.groupBy(
         "conv_id", F.col("a.grp").alias("initiated_by"), F.col("b.grp").alias("repeated_by")
     ).agg(F.sum(total).alias("total"), F.count("*").alias("cells"))

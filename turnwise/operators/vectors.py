@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.text import TextFunction, tokens
 from turnwise.operators.ordering import attach, place
-from turnwise.operators.pairs import dot, unit_vectors
+from turnwise.operators.pairs import dot, dot_arrays, unit_vectors
 
 # A vector table of at most this many numbers (64 MB as floats) goes to every executor.
 BROADCAST_NUMBERS = 16_000_000
@@ -90,7 +90,7 @@ def term_similarity(base: DataFrame, lists: DataFrame, word_vectors: DataFrame)
         "conv_id",
         F.col("k.term").alias("key"),
         "term",
-        dot(F.col("k.unit"), F.col("unit")).alias("similarity"),
+        dot("k.unit", "unit", shape[1]).alias("similarity"),
     )
     return cells.dropDuplicates(["conv_id", "key", "term"]) if "block" in base.columns else cells
 
@@ -106,7 +106,7 @@ def feature_arrays(
     by_rank = F.map_from_arrays(F.col("keys.rank"), F.col("keys.unit"))
 
     def value(rank: Column) -> Column:
-        return F.coalesce(dot(F.element_at("by_rank", rank), F.col("vector")), F.lit(0.0))
+        return F.coalesce(dot_arrays(F.element_at("by_rank", rank), F.col("vector")), F.lit(0.0))
 
     known = keyed.withColumn("by_rank", by_rank)
     values = F.transform(F.sequence(F.lit(1), F.lit(n_terms)), value)

@@ -14,7 +14,7 @@ from turnwise.operators import concordance as kwic
 from turnwise.operators.ordering import number_rows, top_rows
 from turnwise.plans.conversation import ConceptModel, Conversations, EmbeddingModel, VectorModel
 from turnwise.plans.plot import PlotTables
-from turnwise.session import configure, scratch_path
+from turnwise.session import configure, cut_lineage, scratch_path
 from turnwise.sources import files, results, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,11 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "text_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return tables.deal_out(docs).withColumnRenamed("doc_id", "text_id")
 
 
 def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = tables.deal_out(table(spark, sf_dir, "documents"))
     return number_rows(docs, "doc_id", name="row")
 
 
@@ -62,12 +63,12 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").withColumnRenamed("role", "speaker")
+    data = tables.deal_out(table(spark, sf_dir, "conversations"))
+    return data.withColumnRenamed("role", "speaker")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> Conversations:
-    data = table(spark, sf_dir, "conversations")
-    return Conversations(data, speaker_column="role", dense=True, stopwords=STOP_WORDS)
+    return Conversations(turns(spark, sf_dir), dense=True, stopwords=STOP_WORDS)
 
 
 def concept_model(spark: SparkSession, sf_dir: str) -> ConceptModel:
@@ -97,7 +98,7 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = words.crossJoin(F.broadcast(size)).withColumn(
         "vec_id", F.expr("cast(conv(substring(md5(term), 1, 6), 16, 10) AS bigint) % size")
     )
-    return hashed.join(given, "vec_id").select("term", "vector")
+    return cut_lineage(hashed.join(given, "vec_id").select("term", "vector"))
 
 
 def vector_model(spark: SparkSession, sf_dir: str) -> VectorModel:

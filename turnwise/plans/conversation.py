@@ -173,7 +173,7 @@ class _VectorBacked:
     def conversation_similarity(self, diagonal: bool = False) -> DataFrame:
         """``conv_id, row_turn, col_turn, similarity``; zero cells are absent."""
         return pairs.pairwise_similarity(
-            self.units, diagonal=diagonal, brief=self.conversations.brief
+            self.units, dims=self.dims, diagonal=diagonal, brief=self.conversations.brief
         )
 
     def topic_recurrences(

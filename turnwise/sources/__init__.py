@@ -8,6 +8,7 @@ from turnwise.sources.files import (
 )
 from turnwise.sources.results import column_widths, write_results
 from turnwise.sources.tables import (
+    deal_out,
     from_dataframe,
     keyed_lines,
     plain_lines,
@@ -16,6 +17,7 @@ from turnwise.sources.tables import (
 
 __all__ = [
     "column_widths",
+    "deal_out",
     "decode_with_fallback",
     "file_encodings",
     "from_dataframe",

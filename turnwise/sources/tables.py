@@ -17,6 +17,12 @@ def from_dataframe(df: DataFrame | None) -> DataFrame:
     return df
 
 
+def deal_out(df: DataFrame) -> DataFrame:
+    """Spread a table that comes in fewer pieces than there are cores; leave any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def split_lines(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Cut every text at its line ends: ``keys, line_no, text``."""
     lines = F.split(F.col(text), "\n", -1)
