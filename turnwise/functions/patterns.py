@@ -20,7 +20,7 @@ _PLAIN = r"[^\\\[\](){}|?*+.^$]"
 _ESCAPE = r"\\[dDwWsSbBtn.\\\[\](){}|?*+^$/\-]"
 _CLASS = r"\[\^?(?:[^\\\[\]&]|\\[dwstn\\\]\[^\-])+\]"
 _REPEAT = r"[*+?]\??|\{\d+(?:,\d*)?\}\??"
-_SHARED_SYNTAX = re.compile(rf"(?:{_PLAIN}|{_ESCAPE}|{_CLASS}|{_REPEAT}|\((?:\?:)?|\)|[|.^$])+")
+_SHARED_SYNTAX = re.compile(rf"(?:{_PLAIN}|{_ESCAPE}|{_CLASS}|{_REPEAT}|\((?:\?:|(?!\?))|\)|[|.^$])+")
 
 
 @dataclass(frozen=True)
