@@ -73,3 +73,10 @@ def test_facts_are_attached_block_by_block(spark):
 def test_brief_conversations(spark):
     assert all_brief(spark.range(64).withColumnRenamed("id", "turn"))
     assert not all_brief(spark.range(65).withColumnRenamed("id", "turn"))
+
+
+def test_rows_without_a_key_are_kept(spark):
+    rows = [(None, 3), ("a", 1), (None, 1), ("a", 7), (None, 9)]
+    table = spark.createDataFrame(rows, "key string, ord bigint")
+    got = {(r["key"], r["ord"]): r["n"] for r in number_rows(table, "ord", keys=["key"], name="n").collect()}
+    assert got == {(None, 1): 0, (None, 3): 1, (None, 9): 2, ("a", 1): 0, ("a", 7): 1}

@@ -39,21 +39,22 @@ def running_totals(
 
     ``order`` must be integral. Rows go to blocks of ``width`` order values: one aggregation sums
     the blocks, a window over the few block sums gives every block its start, and a window inside
-    the block does the rest. ``levels`` repeats the scheme on the block sums: with the default
-    width, 1 suits dense orders up to about 10^11 rows a key, 3 bounds every window to 65,536
-    rows whatever the 64-bit order values are.
+    the block, which begins with that start as a row of its own, does the rest. Rows with a null key
+    form a group, as in any window.
 
-    With ``totals`` a ``<name>_total`` column holds the sum over the whole group.
+    ``levels`` repeats the scheme on the block sums: with the default width, 1 suits dense orders up
+    to about 10^11 rows a key, 3 bounds every window to 65,536 rows whatever the 64-bit order
+    values are. With ``totals`` a ``<name>_total`` column holds the sum over the whole group.
     """
     names = list(values)
-    block = f"__block{levels}"
-    staged = df.withColumn(block, block_of(order, width))
-    for name, value in values.items():
-        staged = staged.withColumn(f"__v_{name}", value)
-
-    sums = staged.groupBy(*keys, block).agg(
-        *[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names]
+    block, is_start = f"__block{levels}", f"__start{levels}"
+    staged = df.select(
+        "*",
+        block_of(order, width).alias(block),
+        F.lit(False).alias(is_start),
+        *[value.alias(f"__v_{name}") for name, value in values.items()],
     )
+    sums = staged.groupBy(*keys, block).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
     if levels > 1:
         starts = running_totals(
             sums,
@@ -64,12 +65,6 @@ def running_totals(
             levels=levels - 1,
             totals=totals,
         )
-        starts = starts.select(
-            *keys,
-            block,
-            *[F.col(f"__b_{n}") for n in names],
-            *[F.col(f"__b_{n}_total").alias(f"{n}_total") for n in names if totals],
-        )
     else:
         group = Window.partitionBy(*keys)
         before = group.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
@@ -77,24 +72,29 @@ def running_totals(
             *keys,
             block,
             *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in names],
-            *[F.sum(f"__s_{n}").over(group).alias(f"{n}_total") for n in names if totals],
+            *[F.sum(f"__s_{n}").over(group).alias(f"__b_{n}_total") for n in names if totals],
         )
+    starts = starts.select(
+        *keys,
+        block,
+        F.lit(True).alias(is_start),
+        *[F.col(f"__b_{n}").alias(f"__v_{n}") for n in names],
+        *[F.col(f"__b_{n}_total").alias(f"__t_{n}") for n in names if totals],
+    )
 
     inside = (
         Window.partitionBy(*keys, block)
-        .orderBy(order, *ties)
+        .orderBy(F.desc(is_start), order, *ties)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = staged.join(starts, [*keys, block])
-    for name in names:
-        within = F.coalesce(F.sum(f"__v_{name}").over(inside), F.lit(0))
-        joined = joined.withColumn(f"__r_{name}", within + F.col(f"__b_{name}"))
     kept = [c for c in df.columns if c not in names]
-    return joined.select(
+    summed = staged.unionByName(starts, allowMissingColumns=True).select(
+        is_start,
         *[F.col(f"`{c}`") for c in kept],
-        *[F.col(f"__r_{n}").alias(n) for n in names],
-        *[F.col(f"{n}_total") for n in names if totals],
+        *[F.sum(f"__v_{n}").over(inside).alias(n) for n in names],
+        *[F.first(f"__t_{n}").over(inside).alias(f"{n}_total") for n in names if totals],
     )
+    return summed.filter(~F.col(is_start)).drop(is_start)
 
 
 def number_rows(

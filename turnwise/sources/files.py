@@ -16,8 +16,14 @@ BROADCAST_ROWS = 200_000
 _WHERE = ["source_file", "__split"]
 
 
+# The size units of Spark settings.
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
 def _bytes(spark: SparkSession, name: str) -> int:
-    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)))
+    value = spark.conf.get(name).strip().lower()
+    digits = value.rstrip("bkmgt")
+    return int(digits) * _UNITS[value[len(digits) :][:1]]
 
 
 def split_bound(spark: SparkSession, path: str) -> int:
