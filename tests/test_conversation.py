@@ -391,3 +391,19 @@ def test_word_vectors(spark, monkeypatch):
     broadcast = results()
     monkeypatch.setattr("turnwise.operators.vectors.BROADCAST_NUMBERS", 0)
     assert results() == broadcast
+
+
+def test_more_key_terms_than_bits_in_a_number(spark):
+    names = [f"t{i:03d}" for i in range(70)]
+    items = [names[i : i + 5] for i in range(0, 66)]
+    rows = [(0, i, [item]) for i, item in enumerate(items)]
+    base = spark.createDataFrame(rows, "conv_id bigint, turn bigint, windows array<array<string>>")
+    full = concepts.term_similarity(concepts.term_contingency(base)).collect()
+    lists = concepts.key_term_lists(base, names)
+    got = {
+        (names[i], r["term"]): w
+        for r in concepts.key_similarity(base, lists, 70).collect()
+        for i, w in enumerate(r["weights"])
+        if w
+    }
+    assert got == pytest.approx({(r["term_i"], r["term_j"]): r["similarity"] for r in full})

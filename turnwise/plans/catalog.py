@@ -94,9 +94,9 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector for every word of the conversations, drawn from the embeddings by a hash."""
     words = turns(spark, sf_dir).select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
     given = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    size = given.agg((F.max("vec_id") + 1).alias("size"))  # one row
-    hashed = words.crossJoin(F.broadcast(size)).withColumn(
-        "vec_id", F.expr("cast(conv(substring(md5(term), 1, 6), 16, 10) AS bigint) % size")
+    size = given.agg(F.max("vec_id") + 1).first()[0]
+    hashed = words.withColumn(
+        "vec_id", F.expr(f"cast(conv(substring(md5(term), 1, 6), 16, 10) AS bigint) % {size}")
     )
     return cut_lineage(hashed.join(given, "vec_id").select("term", "vector"))
 
