@@ -6,8 +6,6 @@ the words' unit vectors, so words are summed first and no term-by-term table is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,10 +109,3 @@ def feature_arrays(
     known = keyed.withColumn("by_rank", by_rank)
     values = F.transform(F.sequence(F.lit(1), F.lit(n_terms)), value)
     return known.select("conv_id", "turn", values.alias("vector"))
-
-
-def group_vectors(
-    vectors: DataFrame, columns: Sequence[str] = ("conv_id", "turn"), embedding: str = "embedding"
-) -> DataFrame:
-    """Embeddings that come with the data, as ``columns, vector``."""
-    return vectors.select(*columns, F.col(embedding).alias("vector"))
