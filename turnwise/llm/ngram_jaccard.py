@@ -21,6 +21,7 @@ Shingles and sets are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ from turnwise.llm.words import U64, batch_words, mix, pieces, seeds
 from turnwise.llm.written import written
 
 EXTRA_PERCENT = 15  # of a set, looked at beyond the shortest prefix when documents are sorted out
-RANGE_ROWS = 1 << 20  # shingles per hash range
+RANGE_ROWS = 1 << 18  # shingles per hash range
+BATCH_TOKENS = 1 << 21  # shingles counted at a time
 FREQUENT = 64  # a shingle in more documents than this belongs to the frequent classes
 CLASS_SHARE = 0.1  # frequent classes per shingle of a set
 BLOCK_TOKENS = 1 << 19
@@ -148,6 +150,8 @@ def _counted_batch(sets: list[np.ndarray], keys: np.ndarray, bits: int, percent:
     for p in range(parts):
         a, b = slice(cut_one[p], cut_one[p + 1]), slice(cut_many[p], cut_many[p + 1])
         c = slice(cut_home[p], cut_home[p + 1])
+        if a.start == a.stop and b.start == b.stop and c.start == c.stop:
+            continue
         rows.append((p, _blob(one[a]), _blob(one_keys[a]), _blob(many[b]), _blob(home_keys[c]), _blob(home_counts[c])))
     return rows
 
@@ -202,7 +206,7 @@ def likely_nodes(docs: DataFrame, nodes: DataFrame, words: int, percent: int) ->
             for tokens in shingle_sets(batch.column(0).to_pylist(), words):
                 sets.append(tokens)
                 size += len(tokens)
-            if size > 4 << 20:
+            if size > BATCH_TOKENS:
                 yield rows()
                 sets, size = [], 0
         if sets:
@@ -227,11 +231,12 @@ def _must_share_column(n, percent: int):
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """The whole sets of some nodes: ``key``, ``n_shingles``, ``tokens``."""
+    """The whole sets of some nodes: ``key``, ``n_shingles``, ``tokens``. Texts are shuffled compressed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            texts = [None if x is None else zlib.decompress(x).decode() for x in batch.column(1).to_pylist()]
+            sets = shingle_sets(texts, words)
             keys = [set_key(x) for x in sets]
             right = [i for i, (a, b) in enumerate(zip(keys, batch.column(0).to_pylist())) if a == b]
             yield pa.RecordBatch.from_arrays(
@@ -243,9 +248,14 @@ def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 ["key", "n_shingles", "tokens"],
             )
 
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text="text"):
+            texts = [None if x is None else zlib.compress(x.encode(), 1) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
     wanted = nodes.select(F.col("first_id").alias("doc_id"), "key")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = wanted.join(texts, "doc_id").select("key", "text")
+    found = wanted.join(texts.mapInArrow(pack, "doc_id long, text binary"), "doc_id").select("key", "text")
     sets = found.mapInArrow(run, "key long, n_shingles long, tokens array<long>")
     return sets.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
 
