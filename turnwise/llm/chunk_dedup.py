@@ -64,7 +64,7 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 def _digests(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each chunk."""
-    words._Tables.make()
+    words.Tables.make()
     out = []
     starts = np.concatenate(([0], ends[:-1]))
     first = 0
@@ -74,9 +74,9 @@ def _digests(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         last = max(last, first + 1)
         part = data[base : ends[last - 1]]
         total = np.zeros(len(part) + 1, dtype=U64)
-        np.cumsum(words._Tables.byte[part] * words._Tables.power[: len(part)], out=total[1:])
+        np.cumsum(words.Tables.byte[part] * words.Tables.power[: len(part)], out=total[1:])
         a, b = starts[first:last] - base, ends[first:last] - base
-        out.append(mix((total[b] - total[a]) * words._Tables.inverse[a] + (b - a).astype(U64)))
+        out.append(mix((total[b] - total[a]) * words.Tables.inverse[a] + (b - a).astype(U64)))
         first = last
     return np.concatenate(out)
 

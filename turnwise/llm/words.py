@@ -1,7 +1,8 @@
 """Hashes of the words of many texts at once, with numpy.
 
-A word is a run of bytes other than space and ``\\x09`` to ``\\x0D``; A to Z count as a to z. Bytes are
-hashed as a polynomial modulo 2**64 over running sums, so that no Python code runs per word.
+A word is a run of bytes other than space and ``\\x09`` to ``\\x0D``, or than a given set that holds these; A to Z
+count as a to z. Bytes are hashed as a polynomial modulo 2**64 over running sums, so that no Python code runs
+per word.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ U64 = np.uint64
 SLAB = 1 << 20  # bytes hashed at a time: bounds the memory, whatever the length of a text
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACES = b"\t\n\x0b\x0c\r "
+#: White space, punctuation and other signs of ASCII: only letters, digits and what is beyond ASCII is left.
+SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,7 +42,7 @@ def _powers(base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class _Tables:
+class Tables:
     """Tables of a worker, made at first use."""
 
     ready = False
@@ -54,28 +56,34 @@ class _Tables:
             cls.ready = True
 
 
-def _slab_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _inside(buffer: np.ndarray, between: bytes) -> np.ndarray:
+    outside = np.zeros(256, dtype=bool)
+    outside[np.frombuffer(between, dtype=np.uint8)] = True
+    return ~outside[buffer]
+
+
+def _slab_hashes(data: bytes, between: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The hash and the place of every word."""
     buffer = np.frombuffer(data, dtype=np.uint8)
-    inside = ~_SPACE[buffer]
+    inside = _inside(buffer, between)
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts = np.flatnonzero(edge == 1)
     if not len(starts):
         return np.zeros(0, dtype=U64), starts
     ends = np.flatnonzero(edge == -1)
     total = np.zeros(len(buffer) + 1, dtype=U64)
-    np.cumsum(_Tables.byte[buffer] * _Tables.power[: len(buffer)], out=total[1:])
-    value = (total[ends] - total[starts]) * _Tables.inverse[starts]
+    np.cumsum(Tables.byte[buffer] * Tables.power[: len(buffer)], out=total[1:])
+    value = (total[ends] - total[starts]) * Tables.inverse[starts]
     return mix(value + (ends - starts).astype(U64)), starts
 
 
-def _slabs(data: bytes) -> Iterator[bytes]:
+def _slabs(data: bytes, between: bytes) -> Iterator[bytes]:
     """``data`` in pieces of at most ``SLAB`` bytes, cut between words. A longer word is given as it is."""
     start = 0
     while len(data) - start > SLAB:
-        cut = max(data.rfind(c, start, start + SLAB) for c in b" \t\n\x0b\x0c\r")
+        cut = max(data.rfind(c, start, start + SLAB) for c in between)
         if cut <= start:
-            cut = min((p for c in b" \t\n\x0b\x0c\r" if (p := data.find(c, start + 1)) > 0), default=len(data))
+            cut = min((p for c in between if (p := data.find(c, start + 1)) > 0), default=len(data))
         yield data[start:cut]
         start = cut
     yield data[start:]
@@ -87,7 +95,7 @@ def _long_word(data: bytes) -> np.ndarray:
     for start in range(0, len(data), SLAB):
         piece = data[start : start + SLAB]
         part = np.frombuffer(piece, dtype=np.uint8)
-        total = (_Tables.byte[part] * _Tables.power[: len(part)]).sum(dtype=U64)
+        total = (Tables.byte[part] * Tables.power[: len(part)]).sum(dtype=U64)
         value = mix(np.array([value * U64(31) + total], dtype=U64))[0]
     return np.array([value], dtype=U64)
 
@@ -97,19 +105,19 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def text_words(text: str | None) -> np.ndarray:
+def text_words(text: str | None, between: bytes = SPACES) -> np.ndarray:
     """The hash of every word of one text, in order."""
-    _Tables.make()
+    Tables.make()
     found = []
-    for piece in _slabs(lowered(text)):
-        word = piece.strip(b" \t\n\x0b\x0c\r")
-        found.append(_long_word(word) if len(word) > SLAB else _slab_hashes(word)[0])
+    for piece in _slabs(lowered(text), between):
+        word = piece.strip(between)
+        found.append(_long_word(word) if len(word) > SLAB else _slab_hashes(word, between)[0])
     return np.concatenate(found)
 
 
-def batch_words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def batch_words(texts: Sequence[str | None], between: bytes = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the words of all texts, one after the other, and where each text starts and ends."""
-    _Tables.make()
+    Tables.make()
     hashes: list[np.ndarray] = []
     counts = np.zeros(len(texts), dtype=np.int64)
     group: list[bytes] = []
@@ -118,7 +126,7 @@ def batch_words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     def flush(stop: int) -> None:
         nonlocal group, size
         if group:
-            value, starts = _slab_hashes(b"\n".join(group))
+            value, starts = _slab_hashes(b"\n".join(group), between)
             hashes.append(value)
             edges = np.cumsum([0] + [len(x) + 1 for x in group])
             counts[first:stop] = np.diff(np.searchsorted(starts, edges))
@@ -128,7 +136,7 @@ def batch_words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         data = lowered(text)
         if len(data) + 1 > SLAB:
             flush(i)
-            long = text_words(text)
+            long = text_words(text, between)
             hashes.append(long)
             counts[i] = len(long)
             first = i + 1
