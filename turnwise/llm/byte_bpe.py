@@ -16,10 +16,12 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.llm.gather import distinct_parts, filled, gathered
 from turnwise.llm.words import pieces
 
 KNOWN = 1 << 20  # pre-tokens (and pieces between spaces) that a task remembers
@@ -85,8 +87,10 @@ class BytePairs:
         self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
         self.pattern = regex.compile(pattern)
         self.size = max(self.rank.values(), default=0) + 1
-        self.token = {number: token for token, number in self.rank.items()}
-        self.packed = {number: number.to_bytes(4, "little") for number in self.token}
+        self.packed = {number: number.to_bytes(4, "little") for number in self.rank.values()}
+        self.tokens = [b""] * self.size
+        for token, number in self.rank.items():
+            self.tokens[number] = token
         self.pair: dict[int, int] = {}
         for token, number in self.rank.items():
             for cut in range(1, len(token)):
@@ -185,46 +189,55 @@ class BytePairs:
                 flush()
         flush()
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
+
+    def encode(self, texts: pa.Array) -> pa.BinaryArray:
         """The ids of each text as little-endian 32-bit numbers. A null text has none."""
         if len(self.known) > KNOWN:
             self.known.clear()
         if len(self.spaced) > KNOWN:
             self.spaced.clear()
-        split = [(text or "").split(" ") for text in texts]
-        spaced = self.spaced
-        missing = {part for parts in split for part in parts[1:] if part not in spaced}
-        heads = [parts[0] for parts in split]
-        odd = {p for p in (*missing, *heads) if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:  # a space beside other white space
-            for i, parts in enumerate(split):
-                if len(parts) > 1 and not odd.isdisjoint(parts):
-                    split[i] = _BREAK.split(texts[i])
-                    missing.update(part for part in split[i][1:] if part not in spaced)
-            missing -= odd
-        missing.update(p for parts in split if not odd.isdisjoint(parts) for p in parts[1:] if p in odd)
-        found = {part: self.pattern.findall(" " + part) for part in missing}
-        heads = [self.pattern.findall(parts[0]) for parts in split]
-        new: set[str] = set()
-        for pre_tokens in (*found.values(), *heads):
-            new.update(pre_tokens)
+        texts = filled(texts)
+        found, parts, edges = distinct_parts(pc.split_pattern(texts, " "))
+        odd = {i for i, part in enumerate(found) if not part or part[0].isspace() or part[-1].isspace()}
+        if odd:  # a space beside other white space: such texts are split with care
+            mark = np.zeros(len(found), dtype=bool)
+            mark[list(odd)] = True
+            rows = np.unique(np.searchsorted(edges, np.flatnonzero(mark[parts]), side="right") - 1)
+            rows = [i for i in rows.tolist() if edges[i + 1] - edges[i] > 1]
+            if rows:
+                careful = [_BREAK.split(texts[i].as_py()) for i in rows]
+                every = pc.split_pattern(texts, " ").to_pylist()
+                for i, split in zip(rows, careful):
+                    every[i] = split
+                found, parts, edges = distinct_parts(pa.array(every, pa.list_(pa.string())))
+        # The first part of a text has no space before it: it gets a code of its own.
+        heads, place = np.unique(parts[edges[:-1]], return_inverse=True)
+        parts = parts.copy()
+        parts[edges[:-1]] = len(found) + place
+        head_texts = [found[i] for i in heads.tolist()]
+        codes = list(map(self.spaced.get, found))
+        used = np.zeros(len(found) + len(heads), dtype=bool)
+        used[parts] = True
+        missing = [i for i, code in enumerate(codes) if code is None and used[i]]
+        split = [self.pattern.findall(" " + found[i]) for i in missing]
+        new: set[str] = set().union(*split, *map(self.pattern.findall, head_texts))
         self._learn({word for word in new if word not in self.known})
         known = self.known.__getitem__
-        passing = {}
-        for part, pre_tokens in found.items():
-            coded = b"".join(map(known, pre_tokens))
-            (self.spaced if len(part) <= SHORT and "\n" not in part else passing)[part] = coded
-        out = []
-        for parts, head in zip(split, heads):
-            coded = list(map(self.spaced.get, parts[1:]))
-            if None in coded:
-                coded = [passing[p] if c is None else c for p, c in zip(parts[1:], coded)]
-            out.append(b"".join([*map(known, head), *coded]))
-        return out
+        for i, pre_tokens in zip(missing, split):
+            codes[i] = b"".join(map(known, pre_tokens))
+            if len(found[i]) <= SHORT and "\n" not in found[i]:
+                self.spaced[found[i]] = codes[i]
+        codes = [code or b"" for code in codes] + [self._plain(text) for text in head_texts]
+        return gathered(codes, parts, edges, np.dtype("<u4"))
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes that packed ids stand for."""
-        return b"".join(map(self.token.__getitem__, memoryview(ids).cast("I") if ids else ()))
+    def decode(self, ids: pa.BinaryArray) -> pa.BinaryArray:
+        """The bytes that the packed ids of each row stand for."""
+        offsets = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1] // 4
+        data = ids.buffers()[2]
+        parts = np.frombuffer(data, dtype="<u4")[offsets[0] : offsets[-1]] if data else np.zeros(0, dtype=np.uint32)
+        return gathered(self.tokens, parts, offsets - offsets[0], np.dtype("u1"))
 
 
 _LOADED: dict[tuple[int, str], BytePairs] = {}
@@ -259,15 +272,11 @@ def encode(docs: DataFrame, path: str, pattern: str, *, decoded: bool = False) -
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _loaded(ranks.value, pattern)
         for batch in pieces(batches, limit=4 << 20):
-            coded = pairs.encode(batch.column(1).to_pylist())
-            columns = [
-                batch.column(0),
-                pa.array([len(x) // 4 for x in coded], pa.int64()),
-                pa.array(coded, pa.binary()),
-            ]
-            names = ["doc_id", "n_tokens", "ids"]
+            coded = pairs.encode(batch.column(1))
+            count = pc.divide(pc.binary_length(coded), 4).cast(pa.int64())
+            columns, names = [batch.column(0), count, coded], ["doc_id", "n_tokens", "ids"]
             if decoded:
-                columns.append(pa.array([pairs.decode(x) for x in coded], pa.binary()))
+                columns.append(pairs.decode(coded))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -282,8 +291,8 @@ def decode(coded: DataFrame, path: str, pattern: str = r"\S+") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _loaded(ranks.value, pattern)
         for batch in batches:
-            found = [pairs.decode(x or b"") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "decoded"])
+            ids = pc.fill_null(batch.column(1), b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pairs.decode(ids)], ["doc_id", "decoded"])
 
     return coded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, decoded binary")
 

@@ -13,7 +13,9 @@ from turnwise.llm.byte_bpe import round_trip_digests
 from turnwise.llm.chunk_dedup import repeated_spans
 from turnwise.llm.maxscore import maxscore_search
 from turnwise.llm.ngram_jaccard import ngram_jaccard_join
+from turnwise.llm.packing import pack
 from turnwise.llm.prefix_forest import prefix_forest_search
+from turnwise.llm.suffix_tree_lm import score_texts
 from turnwise.llm.tool_calls import SCHEMAS, conversation_calls, format_tool_calls
 from turnwise.llm.toxicity import toxicity
 from turnwise.llm.url_filter import filter_urls, url_filter_sql
@@ -88,6 +90,16 @@ def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_tool_calls(messages, needs, SCHEMAS)
 
 
+@query
+def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
