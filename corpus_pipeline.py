@@ -14,8 +14,7 @@ from turnwise.llm.chunk_dedup import remove_spans, repeated_spans
 from turnwise.llm.ngram_jaccard import ngram_jaccard_join
 from turnwise.llm.packing import pack
 from turnwise.llm.toxicity import fit_toxicity, score_toxicity
-from turnwise.llm.written import written
-from turnwise.session import configure
+from turnwise.llm.written import prepared, written
 
 #: A list of at most so many ids (16 bytes each) is broadcast; a longer one is joined by a shuffle.
 FEW_IDS = 1 << 20
@@ -27,6 +26,7 @@ def _checked(ids: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. The model is learned from the labels of the documents here, as in ``op10``."""
+    prepared(spark)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).where("score < 0.5").select(*docs.columns)
 
@@ -36,6 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without an id cannot be named by others and stay.
     """
+    prepared(spark)
     groups = written(ngram_jaccard_join(docs).select("doc_id", "component_id"), "groups")
     gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(_checked(gone), "doc_id", "left_anti")
@@ -50,11 +51,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur in an earlier document are cut out; every document stays, ``n_chars`` is counted again."""
+    prepared(spark)
     return remove_spans(docs, written(repeated_spans(docs), "spans"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, as in ``op8``."""
+    prepared(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -71,8 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the table ``documents``."""
-    configure(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
     return docs

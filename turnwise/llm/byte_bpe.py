@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from turnwise.llm.gather import distinct_parts, filled, gathered
 from turnwise.llm.words import pieces
 
-KNOWN = 500_000  # pre-tokens (and pieces between spaces) that a task remembers
+KNOWN = 400_000  # pre-tokens (and pieces between spaces) that a task remembers
 GROUP = 1 << 17  # bytes merged in one queue
 SHORT = 64  # longer pieces are not remembered
 

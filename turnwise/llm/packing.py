@@ -31,7 +31,7 @@ WINDOW = 2048
 PACKET = 128
 END_ID = 1
 SLICE = 6 << 20  # bytes of text encoded at a time
-KNOWN = 600_000  # words that a task remembers
+KNOWN = 400_000  # words that a task remembers
 TAIL = ".,;:!?"
 SPECIAL = "<|"  # may begin a special token, which is told from text by its case
 

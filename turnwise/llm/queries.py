@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm.byte_bpe import round_trip_digests
@@ -19,7 +18,7 @@ from turnwise.llm.suffix_tree_lm import score_texts
 from turnwise.llm.tool_calls import SCHEMAS, conversation_calls, format_tool_calls
 from turnwise.llm.toxicity import toxicity
 from turnwise.llm.url_filter import filter_urls, url_filter_sql
-from turnwise.session import configure
+from turnwise.llm.written import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +30,7 @@ def query(function: Query) -> Query:
     """Register a query under its own name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(configure(spark), sf_dir)
+        return function(prepared(spark), sf_dir)
 
     QUERIES[function.__name__] = run
     return run

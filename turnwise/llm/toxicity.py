@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.words import SIGNS, U64, batch_words, mix, pieces, seeds
+from turnwise.llm.words import SIGNS, U64, batch_words, mix, pieces, release, seeds
 
 BITS = 20
 TRAIN_ROWS = 16384
@@ -79,6 +79,8 @@ def _fit(table: pa.Table) -> pa.Table:
             model.learn(np.append(lists[i], 1 << BITS), float(labels[i]))
     weights = model.weights(slice(None))
     some = np.flatnonzero(weights)
+    del model, lists
+    release()
     return pa.table({"place": pa.array(some, pa.int64()), "weight": pa.array(weights[some])})
 
 

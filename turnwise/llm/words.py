@@ -7,6 +7,7 @@ per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -153,12 +154,23 @@ def batch_words(texts: Sequence[str | None], between: bytes = SPACES) -> tuple[n
 
 def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of about ``limit`` bytes of text, to bound the memory of a task."""
-    for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
-        start = 0
-        while start < batch.num_rows:
-            base = sizes[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(sizes, base + limit, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+    try:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < batch.num_rows:
+                base = sizes[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(sizes, base + limit, side="right")))
+                yield batch.slice(start, stop - start)
+                start = stop
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task and waits beside the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.session import scratch_path
+from turnwise.session import configure, scratch_path
+
+BATCH_ROWS = 2000
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -17,3 +19,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings that the operators want.
+
+    Python is handed few rows at a time: texts are long, and a batch lies in memory on both sides.
+    """
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
