@@ -6,7 +6,7 @@ next-symbol distribution over that of its parent, the context without the oldest
 it stores. Its distribution is smoothed with that of the parent, down to the smoothed word frequencies
 at the root:
 
-    P(w | s) = KEEP * c(s w) / c(s) + rest(s) * P(w | parent(s))
+    P(w | s) = c(s w) / (c(s) + PRIOR) + rest(s) * P(w | parent(s))
 
 A token is scored in the longest suffix of its history that is in the tree.
 
@@ -34,7 +34,7 @@ WORD_SHARE = 1e-6
 SYMBOL_SHARE = 1e-5
 CONTEXT_SHARE = 1e-4
 LEAST = 4  # occurrences of anything the tree stores
-KEEP = 0.9
+PRIOR = 5.0  # occurrences that the parent counts for
 ADD = 0.1
 SLICE = 8 << 20
 HELD = 1 << 20  # keys a task counts before it hands them on
@@ -182,10 +182,10 @@ def _grow(tree: Tree, depth: int, rows: list[dict[str, np.ndarray]], sizes: dict
     held = np.add.reduceat(share, starts) if len(starts) else np.zeros(0)
     count = np.diff(np.append(starts, len(context)))
     kept = gain >= 0.5 * np.log10(max(tokens, 10)) * count
-    rests = 1.0 - KEEP * held
+    rests = 1.0 - held * own[starts] / (own[starts] + PRIOR)
     each = np.repeat(kept, count)
     rest_each = np.repeat(rests, count)
-    logs = np.log10(KEEP * share + rest_each * 10.0**parent)[each]
+    logs = np.log10(times / (own + PRIOR) + rest_each * 10.0**parent)[each]
     tree.depths.append(
         (Table(context[starts][kept]), np.log10(rests[kept]), Table(joint(context[each], symbol[each])), logs)
     )

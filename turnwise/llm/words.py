@@ -92,13 +92,13 @@ def _slabs(data: bytes, between: bytes) -> Iterator[bytes]:
 
 def _long_word(data: bytes) -> np.ndarray:
     """The hash of one word longer than a slab: a fold over its pieces."""
-    value = U64(len(data))
+    value = np.array([len(data)], dtype=U64)
     for start in range(0, len(data), SLAB):
         piece = data[start : start + SLAB]
         part = np.frombuffer(piece, dtype=np.uint8)
-        total = (Tables.byte[part] * Tables.power[: len(part)]).sum(dtype=U64)
-        value = mix(np.array([value * U64(31) + total], dtype=U64))[0]
-    return np.array([value], dtype=U64)
+        total = (Tables.byte[part] * Tables.power[: len(part)]).sum(dtype=U64, keepdims=True)
+        value = mix(value * U64(31) + total)
+    return value
 
 
 def lowered(text: str | None) -> bytes:
