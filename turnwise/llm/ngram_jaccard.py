@@ -34,7 +34,7 @@ from turnwise.llm.words import U64, batch_words, mix, pieces, seeds
 from turnwise.llm.written import written
 
 EXTRA_PERCENT = 15  # of a set, looked at beyond the shortest prefix when documents are sorted out
-RANGE_ROWS = 1 << 18  # shingles per hash range
+RANGE_ROWS = 1 << 19  # shingles per hash range
 BATCH_TOKENS = 1 << 21  # shingles counted at a time
 FREQUENT = 64  # a shingle in more documents than this belongs to the frequent classes
 CLASS_SHARE = 0.1  # frequent classes per shingle of a set
@@ -157,7 +157,7 @@ def _counted_batch(sets: list[np.ndarray], keys: np.ndarray, bits: int, percent:
 
 
 def _counted_range(table: pa.Table) -> pa.Table:
-    """How many shingles of a range each set shares with another."""
+    """A row for every shingle of a range that a set shares with another, and the counts made before the shuffle."""
 
     def all_of(name: str, kind: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in table.column(name)])
@@ -175,9 +175,7 @@ def _counted_range(table: pa.Table) -> pa.Table:
     counts = np.ones(len(keys), dtype=np.int64)
     keys = np.concatenate((keys, all_of("local_keys", np.int64)))
     counts = np.concatenate((counts, all_of("local_counts", np.int64)))
-    found, place = np.unique(keys, return_inverse=True)
-    total = np.bincount(place, weights=counts, minlength=len(found)).astype(np.int64)
-    return pa.table({"key": pa.array(found), "shared": pa.array(total)})
+    return pa.table({"key": pa.array(keys), "shared": pa.array(counts)})
 
 
 def likely_nodes(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
