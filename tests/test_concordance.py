@@ -220,3 +220,55 @@ def test_contexts_are_part_of_the_text(spark):
     for row in kwic.search(texts_of(spark, *texts), "the", window_width=4).collect():
         assert row["left_context"] + row["match"] + row["right_context"] in texts[0]
         assert re.fullmatch("the", row["match"], re.IGNORECASE)
+
+
+MARKS = ["कि का कि", "e\u0301te\u0301 été", "a_b a-b", "x\x1cy\x1fz", "ing, king_ singing", "٣٤ 12 ²"]
+
+
+@pytest.mark.parametrize(
+    "keyword, options",
+    [
+        ("क", {"whole_word": True}),
+        ("e", {"whole_word": True}),
+        (r"\w+", {"regex": True}),
+        (r"\w+ing", {"regex": True}),
+        (r"[\w-]+\s", {"regex": True}),
+        (r"[^\s]+", {"regex": True}),
+        (r"\Bi\w", {"regex": True}),
+        (r"\d+", {"regex": True}),
+        (r"\W+(?=\w)", {"regex": True}),
+        (r"a(?!_)", {"regex": True}),
+    ],
+)
+def test_words_are_those_of_python(spark, keyword, options):
+    assert SearchPattern(keyword, **options).in_jvm
+    check(spark, MARKS, keyword, 3, **options)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    text=st.text(alphabet="ab_ क\u093f\u0301é9٣²\x1c\x1d\x1e\x1f\x85\u2028.", min_size=1, max_size=20),
+    keyword=st.sampled_from([r"\w+", r"\s", r"\S+", r"\bक", r"a\b", r"\B.", r"\D"]),
+)
+def test_classes_of_random_text(spark, text, keyword):
+    check(spark, [text], keyword, 2, regex=True)
+
+
+def test_many_takes_any_pattern(spark):
+    found = kwic.search_many(texts_of(spark, "abab", "b"), ["b*", "(?P<n>a)b"], regex=True, window_width=1)
+    counts = {(r["keyword"], r["text_id"]): r["n"] for r in found.groupBy("keyword", "text_id").agg(F.count("*").alias("n")).collect()}
+    assert counts == {("b*", 0): 5, ("b*", 1): 2, ("(?P<n>a)b", 0): 2}
+
+
+def test_chunks_carry_rows_and_metadata_but_no_text(spark):
+    rows = spark.createDataFrame(
+        [(i, f"line {i} the", "xyz"[i % 3], None if i == 4 else i * 2) for i in range(40)],
+        "row bigint, text string, tag string, extra int",
+    )
+    found = kwic.search_chunks(chunk_rows(rows, 7), "the", metadata=["tag", "extra"], clean=True)
+    got = {(r["row"], r["tag"], r["extra"], r["chunk"]) for r in found.collect()}
+    assert got == {(i, "xyz"[i % 3], None if i == 4 else i * 2, i // 7) for i in range(40)}
+    assert not {"lines", "text"} & set(found.columns)
+    alone = kwic.search_chunks(chunk_rows(rows, 1), "the", whole_rows=True, clean=True)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert {r["row"] for r in alone.collect()} == set(range(40))

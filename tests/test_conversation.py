@@ -407,3 +407,69 @@ def test_more_key_terms_than_bits_in_a_number(spark):
         if w
     }
     assert got == pytest.approx({(r["term_i"], r["term_j"]): r["similarity"] for r in full})
+
+
+def sparse_turns(spark):
+    return spark.createDataFrame(
+        [(0, 3, "A", "x", "p"), (0, 5, "B", "y", "q"), (0, 9, "A", "z", "r")],
+        "conv_id bigint, turn bigint, speaker string, text string, name string",
+    )
+
+
+def test_embeddings_meet_their_turns(spark):
+    vectors = [(0, 3, "p", [1.0, 0.0]), (0, 5, "q", [1.0, 0.0]), (0, 9, "r", [0.0, 1.0])]
+    rows = spark.createDataFrame(vectors, "conv_id bigint, turn bigint, text_id string, embedding array<double>")
+    data = Conversations(sparse_turns(spark), id_column="name")
+    for table, by in ((rows.drop("text_id"), "turn"), (rows.drop("turn"), "text_id")):
+        model = EmbeddingModel(data, table, 2, by=by)
+        got = {(r["initiated_by"], r["repeated_by"]): r["score"] for r in model.grouped_recurrence().collect()}
+        assert got == {("A", "A"): 0.0, ("A", "B"): 1.0, ("B", "A"): 0.0, ("B", "B"): 0.0}
+    stray = rows.drop("text_id").withColumn("turn", F.col("turn") + 1)
+    with pytest.raises(Exception, match="no turn for turn"):
+        EmbeddingModel(data, stray, 2).conversation_similarity().collect()
+
+
+def test_similarity_from_outside(spark):
+    data = Conversations(sparse_turns(spark), id_column="name")
+    by_turn = spark.createDataFrame([(0, 5, 3, 0.5)], "conv_id bigint, row_turn bigint, col_turn bigint, similarity double")
+    by_name = spark.createDataFrame([(0, "p", "q", 0.5)], "conv_id bigint, row_turn string, col_turn string, similarity double")
+    for table, by in ((by_turn, "turn"), (by_name, "text_id")):
+        got = {(r["initiated_by"], r["repeated_by"]): r["score"] for r in data.grouped_recurrence(table, by=by).collect()}
+        assert got["A", "B"] == 0.5 and got["B", "A"] == 0.0
+
+
+def test_a_turn_column_beside_another_one(spark):
+    data = sparse_turns(spark).withColumn("idx", F.col("turn") * 2)
+    with pytest.warns(UserWarning, match="turn_original"):
+        turns = Conversations(data, turn_column="idx").turns
+    assert [r["turn"] for r in turns.orderBy("idx_original").collect()] == [0, 1, 2]
+
+
+def test_new_stop_words_reach_models(spark):
+    rows = [(0, i, "A", "river stone river. stone moss.") for i in range(3)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, speaker string, text string")
+    data = Conversations(turns, dense=True, stopwords=[])
+    model = ConceptModel(data, 2)
+    before = {k["term"] for r in model.lists.collect() for k in r["key_terms"]}
+    other = data.with_stopwords("moss")
+    data.add_stopword("river")
+    after = {k["term"] for r in model.lists.collect() for k in r["key_terms"]}
+    assert "river" not in after and before != after
+    assert other.stopwords == ["moss"]
+
+
+@pytest.mark.parametrize("wrong", [0, -1, []])
+def test_key_terms_must_be_some(spark, wrong, sherlock):
+    with pytest.raises(ValueError, match="key terms"):
+        ConceptModel(Conversations(sherlock.withColumns({"conv_id": F.lit(0), "turn": F.col("text_id")}), dense=True), wrong)
+
+
+def test_known_counts_and_similarity_give_the_same(spark):
+    rows = [(0, i, "A", t) for i, t in enumerate(["river stone. moss fern", "stone moss river", "fern river. moss"])]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, speaker string, text string")
+    model = ConceptModel(Conversations(turns, dense=True, stopwords=[]), 3)
+    plain = sorted(map(tuple, model.term_similarity().collect()))
+    assert sorted(map(tuple, model.term_similarity(model.cooccurrence()).collect())) == plain
+    own = {(r["turn"], r["term"]): round(r["value"], 9) for r in model.concept_vectors().collect()}
+    given = {(r["turn"], r["term"]): round(r["value"], 9) for r in model.concept_vectors(model.term_similarity()).collect()}
+    assert own == given

@@ -20,3 +20,13 @@ def test_streamed_terms(spark, sherlock, tmp_path):
     terms_stream(stream, out, stopwords=["the"]).awaitTermination()
     terms = [r["term"] for r in spark.read.parquet(out).collect()]
     assert "sherlock" in terms and "the" not in terms
+
+
+def test_a_second_run_without_a_named_checkpoint_goes_on(spark, sherlock, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ("text_id < 3", "text_id >= 3"):
+        sherlock.filter(part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(sherlock.schema).parquet(source)
+        search_stream(stream, "s", out, window_width=5).awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(out).collect()))
+    assert got == sorted(map(tuple, search(sherlock, "s", window_width=5).collect()))

@@ -11,16 +11,36 @@ import re._parser as sre
 from dataclasses import dataclass
 from functools import cached_property
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 # Regular expressions built from these parts only mean the same to Java and to Python.
 _PLAIN = r"[^\\\[\](){}|?*+.^$]"
 _ESCAPE = r"\\[dDwWsSbBtn.\\\[\](){}|?*+^$/\-]"
 _CLASS = r"\[\^?(?:[^\\\[\]&]|\\[dwstn\\\]\[^\-])+\]"
 _REPEAT = r"[*+?]\??|\{\d+(?:,\d*)?\}\??"
-_SHARED_SYNTAX = re.compile(rf"(?:{_PLAIN}|{_ESCAPE}|{_CLASS}|{_REPEAT}|\((?:\?:|(?!\?))|\)|[|.^$])+")
+_LOOK = r"\((?:\?[:=!]|(?!\?))"
+_SHARED_SYNTAX = re.compile(rf"(?:{_PLAIN}|{_ESCAPE}|{_CLASS}|{_REPEAT}|{_LOOK}|\)|[|.^$])+")
+
+# The classes of Python's ``re`` for text, spelled out for Java, whose own differ (combining marks).
+_WORD = r"\p{L}\p{N}_"
+_SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
+_JAVA_CLASS = {"w": _WORD, "d": r"\p{Nd}", "s": _SPACE}
+_JAVA = {
+    "w": f"[{_WORD}]",
+    "W": f"[^{_WORD}]",
+    "d": r"\p{Nd}",
+    "D": r"\P{Nd}",
+    "s": f"[{_SPACE}]",
+    "S": f"[^{_SPACE}]",
+    "b": f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))",
+    "B": f"(?:(?<![{_WORD}])(?![{_WORD}])|(?<=[{_WORD}])(?=[{_WORD}]))",
+}
+_TOKEN = re.compile(rf"{_CLASS}|\\.")
+
+
+def _java_token(token: re.Match[str]) -> str:
+    found = token.group()
+    if found[0] == "\\":
+        return _JAVA.get(found[1], found)
+    return re.sub(r"\\(.)", lambda m: _JAVA_CLASS.get(m.group(1), m.group()), found)
 
 
 @dataclass(frozen=True)
@@ -58,9 +78,14 @@ class SearchPattern:
 
     @cached_property
     def java(self) -> str:
-        """The pattern for Spark: Unicode classes, ``\\n`` as the only line end."""
-        body = self.keyword if self.regex else self._quoted()
-        return ("(?idU)" if self.ignore_case else "(?dU)") + self._wrap(body)
+        """The pattern for Spark: classes as in Python, ``\\n`` as the only line end."""
+        body = _TOKEN.sub(_java_token, self.keyword) if self.regex else self._quoted()
+        if self.whole_word and self.regex:
+            body = f"{_JAVA['b']}{body}{_JAVA['b']}"
+        elif self.whole_word:  # the border of a known character needs a look at one side only
+            first, last = (re.match(r"\w", c) is not None for c in (self.keyword[0], self.keyword[-1]))
+            body = f"(?<{'!' if first else '='}[{_WORD}]){body}(?{'!' if last else '='}[{_WORD}])"
+        return ("(?iud)" if self.ignore_case else "(?d)") + body
 
     def _quoted(self) -> str:
         # A \E inside the keyword would end the quotation: close it, write \E escaped, reopen.
@@ -85,9 +110,3 @@ def pattern_error(keyword: str, **options: bool) -> str | None:
     except ValueError as error:
         return str(error)
     return None
-
-
-@F.pandas_udf(T.StringType())
-def pattern_errors(keywords: pd.Series) -> pd.Series:
-    """:func:`pattern_error` over a column of patterns."""
-    return keywords.map(lambda k: None if k is None else pattern_error(k)).astype(object)

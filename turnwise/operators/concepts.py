@@ -100,18 +100,50 @@ def term_occurrence(base: DataFrame) -> DataFrame:
     return terms.groupBy("conv_id", "term").agg(F.count("*").alias("occurrence"))
 
 
+def _pair_counts(base: DataFrame) -> DataFrame:
+    """``conv_id, term_i, term_j, n, o_i, o_j, n_windows`` for every pair that occurs together, ``term_i < term_j``.
+
+    The windows are dealt out by themselves, not by conversation, so a huge conversation is counted in many
+    tasks; the number of windows of each term travels beside the term, so the table of pairs is joined with nothing.
+    """
+    counted = attach(base, total_windows(base)).select(
+        "conv_id", "n_windows", "turn", F.posexplode("windows").alias("window", "w")
+    )
+    words = counted.select("conv_id", "n_windows", "turn", "window", F.explode("w").alias("term"))
+    known = words.join(term_occurrence(base), ["conv_id", "term"])
+    entry = F.struct("term", F.col("occurrence").alias("o"))
+    windows = known.groupBy("conv_id", "turn", "window").agg(
+        F.first("n_windows").alias("n_windows"), F.sort_array(F.collect_list(entry)).alias("w")
+    )
+    later = F.slice("w", F.col("at") + 2, F.size("w"))
+    first = windows.select("conv_id", "n_windows", "w", F.posexplode("w").alias("at", "i"))
+    pairs = first.select("conv_id", "n_windows", "i", F.explode(later).alias("j"))
+    return pairs.groupBy("conv_id", F.col("i.term").alias("term_i"), F.col("j.term").alias("term_j")).agg(
+        F.count("*").alias("n"),
+        F.first("i.o").alias("o_i"),
+        F.first("j.o").alias("o_j"),
+        F.first("n_windows").alias("n_windows"),
+    )
+
+
+def _mirrored(pairs: DataFrame, kept: Sequence[str], swapped: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Both orders of every pair; the columns of each tuple change places with the terms."""
+    change = {"term_i": "term_j", "term_j": "term_i"} | {a: b for x, y in swapped for a, b in ((x, y), (y, x))}
+    names = ["term_i", "term_j", *kept]
+    both = F.array(F.struct(*names), F.struct(*[F.col(change.get(n, n)).alias(n) for n in names]))
+    return pairs.select("conv_id", F.inline(both))
+
+
 def term_cooccurrence(base: DataFrame) -> DataFrame:
     """``conv_id, term_i, term_j, n``: windows containing both, for every ordered pair that occurs."""
     window = base.select("conv_id", F.explode("windows").alias("w"))
-    first = window.select("conv_id", "w", F.explode("w").alias("term_i"))
+    # Dealt out by window: the pairs of a huge conversation are counted in many tasks.
+    spread = window.repartition(F.col("conv_id"), F.xxhash64("w"))
+    first = spread.select("conv_id", "w", F.explode("w").alias("term_i"))
     later = F.filter("w", lambda t: t > F.col("term_i"))
     pairs = first.select("conv_id", "term_i", F.explode(later).alias("term_j"))
     counts = pairs.groupBy("conv_id", "term_i", "term_j").agg(F.count("*").alias("n"))
-    both = F.array(
-        F.struct("term_i", "term_j", "n"),
-        F.struct(F.col("term_j").alias("term_i"), F.col("term_i").alias("term_j"), F.col("n")),
-    )
-    return counts.select("conv_id", F.inline(both))
+    return _mirrored(counts, ["n"])
 
 
 def term_contingency(base: DataFrame) -> DataFrame:
@@ -119,21 +151,16 @@ def term_contingency(base: DataFrame) -> DataFrame:
 
     ``conv_id, term_i, term_j, i_j, i_not_j, not_i_j, not_i_not_j, n_windows``.
     """
-    counted = attach(base, total_windows(base))
-    terms = counted.select("conv_id", "n_windows", F.explode(F.flatten("windows")).alias("term"))
-    counts = terms.groupBy("conv_id", "n_windows", "term").agg(F.count("*").alias("occurrence"))
-    return contingency_cells(term_cooccurrence(base), counts)
+    return _mirrored(
+        _cells(_pair_counts(base)),
+        ["i_j", "i_not_j", "not_i_j", "not_i_not_j", "n_windows"],
+        [("i_not_j", "not_i_j")],
+    )
 
 
-def contingency_cells(cooccurrence: DataFrame, counts: DataFrame) -> DataFrame:
-    """The same from known counts: ``conv_id, term_i, term_j, n`` and ``conv_id, term, occurrence, n_windows``."""
-    of_i = counts.select(
-        "conv_id", F.col("term").alias("term_i"), F.col("occurrence").alias("o_i"), "n_windows"
-    )
-    of_j = counts.select("conv_id", F.col("term").alias("term_j"), F.col("occurrence").alias("o_j"))
-    joined = cooccurrence.join(of_i, ["conv_id", "term_i"]).join(of_j, ["conv_id", "term_j"])
+def _cells(pairs: DataFrame) -> DataFrame:
     n = F.col("n")
-    return joined.select(
+    return pairs.select(
         "conv_id",
         "term_i",
         "term_j",
@@ -145,6 +172,20 @@ def contingency_cells(cooccurrence: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def window_term_similarity(base: DataFrame) -> DataFrame:
+    """:func:`term_similarity` from the windows: every pair is scored once, in one order."""
+    return _mirrored(term_similarity(_cells(_pair_counts(base))), ["similarity"])
+
+
+def contingency_cells(cooccurrence: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same from known counts: ``conv_id, term_i, term_j, n`` and ``conv_id, term, occurrence, n_windows``."""
+    of_i = counts.select(
+        "conv_id", F.col("term").alias("term_i"), F.col("occurrence").alias("o_i"), "n_windows"
+    )
+    of_j = counts.select("conv_id", F.col("term").alias("term_j"), F.col("occurrence").alias("o_j"))
+    return _cells(cooccurrence.join(of_i, ["conv_id", "term_i"]).join(of_j, ["conv_id", "term_j"]))
+
+
 def similarity_score(i_j: Column, i_not_j: Column, not_i_j: Column, neither: Column, n: Column) -> Column:
     """The term similarity from a contingency table."""
 

@@ -169,6 +169,24 @@ def _python_hits(pattern: SearchPattern, width: int, offsets: bool):
     return find
 
 
+def _cells(text: Column, pattern: SearchPattern, width: int, offsets: bool) -> Column:
+    """The matches of a text, by Spark's own functions where they read the pattern alike."""
+    if pattern.in_jvm:
+        return _hits(text, pattern, width, offsets)
+    return _python_hits(pattern, width, offsets)(text)
+
+
+def _python_count(pattern: SearchPattern):
+    source, flags = pattern.python, pattern.flags
+
+    @F.pandas_udf(T.LongType())
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: 0 if t is None else sum(1 for _ in re.finditer(source, t, flags)))
+
+    return count
+
+
 def may_match(text: Column, pattern: SearchPattern) -> Column:
     """A cheap test that keeps every text with a match; a plain ``contains`` reaches the scan."""
     if not pattern.in_jvm:
@@ -200,11 +218,7 @@ def search(
         raise ValueError("window_width must not be negative")
     pattern = SearchPattern(keyword, regex, ignore_case, whole_word)
     hits = df.filter(may_match(F.col(text), pattern))
-    if pattern.in_jvm:
-        cells = _hits(F.col(text), pattern, window_width, offsets)
-    else:
-        cells = _python_hits(pattern, window_width, offsets)(F.col(text))
-    return hits.select(*columns, F.inline(cells))
+    return hits.select(*columns, F.inline(_cells(F.col(text), pattern, window_width, offsets)))
 
 
 def count_matches(
@@ -222,7 +236,7 @@ def count_matches(
     if pattern.in_jvm:
         number = F.regexp_count(F.col(text), F.lit(pattern.java))
     else:
-        number = F.size(_python_hits(pattern, 0, False)(F.col(text)))
+        number = _python_count(pattern)(F.col(text))
     counted = df.filter(may_match(F.col(text), pattern)).select(
         *columns, number.cast("bigint").alias("n_matches")
     )
@@ -253,14 +267,11 @@ def search_many(
     patterns = [SearchPattern(k, **options) for k in dict.fromkeys(keywords)]
     if not patterns:
         raise ValueError("no keywords given")
-    slow = [p.keyword for p in patterns if not p.in_jvm]
-    if slow:
-        raise ValueError(f"search these one at a time: {slow}")
     hits = F.array(
         *[
             F.struct(
                 F.lit(p.keyword).alias("keyword"),
-                F.when(may_match(text, p), _hits(text, p, window_width, False)).alias("hits"),
+                F.when(may_match(text, p), _cells(text, p, window_width, False)).alias("hits"),
             )
             for p in patterns
         ]
@@ -326,6 +337,7 @@ def search_chunks(
     sort: str | None = None,
     tag_lines: bool = False,
     clean: bool = False,
+    whole_rows: bool = False,
     **options: bool,
 ) -> DataFrame:
     """Search whole chunks, so that contexts cross line borders, and name the row of each match.
@@ -333,40 +345,45 @@ def search_chunks(
     ``rows`` has ``row``, ``text`` and the chunk column (see ``operators.prepare``). Lines are tagged
     ``row--`` and joined without separator; the tags count towards the window and are removed from
     the result unless ``tag_lines``. With ``clean`` the untagged text is searched instead.
-    ``row`` is the line in which the match starts. ``metadata`` adds columns of that line.
+    ``row`` is the line in which the match starts. ``metadata`` adds columns of that line, carried along with
+    it. With ``whole_rows`` every row is a chunk of its own, and nothing is grouped.
     """
     keys = list(keys)
+    pattern = SearchPattern(keyword, **options)
+    if window_width < 0:
+        raise ValueError("window_width must not be negative")
     plain = F.col("text") if clean else F.concat(F.col("row").cast("string"), F.lit("--"), "text")
-    lines = F.sort_array(F.collect_list(F.struct("row", plain.alias("line"))))
-    chunks = (
-        rows.groupBy(*keys, chunk_column)
-        .agg(lines.alias("lines"))
-        .withColumn("text", F.array_join(F.col("lines.line"), ""))
-    )
-    found = search(
-        chunks,
-        keyword,
-        window_width=window_width,
-        columns=[*keys, chunk_column, "lines"],
-        offsets=True,
-        **options,
+    carried = [c for c in dict.fromkeys(metadata or ()) if c not in {*keys, "row"}]
+    line = F.struct(F.col("row").cast("bigint").alias("row"), plain.alias("line"), *[F.col(f"`{c}`") for c in carried])
+    if whole_rows:
+        chunks = rows.select(*keys, chunk_column, F.array(line).alias("lines"))
+    else:
+        chunks = rows.groupBy(*keys, chunk_column).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    # The lines without their text, and where each starts: both once per chunk.
+    sources = F.transform("lines", lambda x: F.struct(x["row"].alias("row"), *[x[c].alias(c) for c in carried]))
+    sizes = F.transform("lines", lambda x: F.coalesce(F.length(x["line"]), F.lit(0)))
+    prepared = chunks.select(
+        *keys,
+        chunk_column,
+        F.array_join(F.col("lines.line"), "").alias("text"),
+        sources.alias("__sources"),
+        _running(sizes).alias("__starts"),
     )
-    row = F.aggregate(
-        "lines",
-        F.struct(
-            F.lit(0).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("row")
-        ),
-        lambda state, line: F.struct(
-            (state["at"] + F.length(line["line"])).alias("at"),
-            F.when(state["at"] <= F.col("start"), line["row"].cast("bigint"))
-            .otherwise(state["row"])
-            .alias("row"),
+    hits = prepared.filter(may_match(F.col("text"), pattern))
+    cells = F.transform(
+        _cells(F.col("text"), pattern, window_width, True),
+        lambda hit: binding(
+            F.col("__sources")[_last_start(F.col("__starts"), hit["start"])],
+            lambda source: F.struct(
+                *[hit[n].alias(n) for n in (*HIT.names, "start")],
+                source["row"].alias("row"),
+                *[source[c].alias(c) for c in carried],
+            ),
         ),
-        lambda state: state["row"],
     )
-    hits = found.withColumn("row", row).drop("lines")
-    if metadata is not None:
-        hits = add_metadata(hits, rows, metadata, keys=keys)
+    # Only the matches pass the generator: neither text nor lines are copied to them. The array is written inside it:
+    # as a column it would be computed a second time, in the filter that Spark derives for generators.
+    hits = hits.select(*keys, chunk_column, F.inline(cells))
     if "text_id" not in hits.columns:
         hits = hits.withColumn("text_id", F.col("row"))
     if sort is not None:
@@ -374,6 +391,44 @@ def search_chunks(
     return hits if tag_lines or clean else remove_tags(hits)
 
 
+def _running(sizes: Column) -> Column:
+    """The sum of the numbers before each number, and of all: from sums of blocks, so that no long array is grown
+    one by one."""
+    blocks = F.sequence(F.lit(0), F.floor(F.size(sizes) / _STRIDE).cast("int"))
+
+    def total(items: Column) -> Column:
+        return F.aggregate(items, F.lit(0).cast("bigint"), lambda a, n: a + n)
+
+    def placed(known: Column) -> Column:
+        sums = F.transform(blocks, lambda b: total(_slice(known, b * _STRIDE + 1, F.lit(_STRIDE))))
+        return binding(
+            F.struct(known.alias("known"), sums.alias("sums")),
+            lambda s: F.transform(
+                s["known"],
+                lambda _, i: total(_slice(s["sums"], F.lit(1), F.floor(i / _STRIDE)))
+                + total(_slice(s["known"], F.floor(i / _STRIDE) * _STRIDE + 1, i % _STRIDE)),
+            ),
+        )
+
+    return binding(sizes, placed)
+
+
+def _last_start(starts: Column, at: Column) -> Column:
+    """Index of the last start that is not beyond ``at``, by halving."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(starts).cast("double"))).cast("int"))
+    halved = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("low"), F.size(starts).alias("high")),
+        lambda s, _: binding(
+            F.floor((s["low"] + s["high"]) / 2).cast("int"),
+            lambda middle: F.when(
+                (middle > s["low"]) & (starts[middle] <= at), F.struct(middle.alias("low"), s["high"].alias("high"))
+            ).otherwise(F.struct(s["low"].alias("low"), F.greatest(middle, s["low"] + 1).alias("high"))),
+        ),
+    )
+    return halved["low"]
+
+
 def add_metadata(
     hits: DataFrame, rows: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = ()
 ) -> DataFrame:

@@ -104,9 +104,12 @@ def number_rows(
     keys: Sequence[str] = (),
     name: str = "text_id",
     ties: Sequence[str] = (),
-    levels: int = 1,
+    levels: int = 3,
 ) -> DataFrame:
-    """Number the rows 0, 1, 2, ... by an integral column, per key or over the whole table."""
+    """Number the rows 0, 1, 2, ... by an integral column, per key or over the whole table.
+
+    The values may be sparse (timestamps, hashed ids): see ``levels`` of :func:`running_totals`.
+    """
     return running_totals(
         df, keys, order, {name: F.lit(1).cast("bigint")}, ties=ties, levels=levels
     )

@@ -64,7 +64,8 @@ def prepare_turns(
     """Standard conversation table: ``conv_id``, ``turn``, ``text_id``, ``speaker``, ``text``, extras.
 
     ``turn`` counts the turns of a conversation from 0, without gaps. Pass ``dense=True`` where the
-    column already does; otherwise it is computed from the integral ``turn_column``.
+    column already does; otherwise it is computed from the integral ``turn_column``, which stays as
+    ``<name>_original``.
     A column in the way of a renamed one is kept as ``<name>_original``, with a warning.
     """
     df = _rename(df, text_column, "text")
@@ -72,9 +73,8 @@ def prepare_turns(
     df = _rename(df, conversation_column, "conv_id")
     if not dense:
         df = number_rows(df, turn_column, keys=["conv_id"], name="__turn")
-        df = df.withColumnRenamed(turn_column, f"{turn_column}_original").withColumnRenamed(
-            "__turn", "turn"
-        )
+        df = df.withColumnRenamed(turn_column, f"{turn_column}_original")
+        df = _rename(df, "__turn", "turn")
     else:
         df = _rename(df, turn_column, "turn")
     if id_column is None:

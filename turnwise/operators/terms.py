@@ -80,11 +80,11 @@ def key_terms(
 
 
 def check_key_terms(terms: object) -> None:
-    if terms == "all" or (isinstance(terms, int) and not isinstance(terms, bool)):
+    if terms == "all" or (isinstance(terms, int) and not isinstance(terms, bool) and terms > 0):
         return
-    if isinstance(terms, Sequence) and not isinstance(terms, str):
+    if isinstance(terms, Sequence) and not isinstance(terms, str) and len(terms):
         return
-    raise ValueError(f"key terms must be 'all', a number or a sequence of terms, not {terms!r}")
+    raise ValueError(f"key terms must be 'all', a number from 1 or a sequence of terms, not {terms!r}")
 
 
 def doc_term(

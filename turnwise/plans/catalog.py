@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.functions.patterns import pattern_errors
 from turnwise.functions.text import drop_stopwords, sentences, token_count, tokens
 from turnwise.operators import concepts, conversation, layout, prepare, recurrence, terms
 from turnwise.operators import concordance as kwic
@@ -307,13 +306,6 @@ def kwic_whole_word(spark, sf_dir):
     return kwic.search(documents(spark, sf_dir), "the", whole_word=True)
 
 
-@query
-def pattern_valid(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark")
-    checked = items.select("item_id", pattern_errors("text").alias("error"))
-    return checked.withColumn("valid", F.col("error").isNull())
-
-
 @query
 def context_window(spark, sf_dir):
     return kwic.search(documents(spark, sf_dir), "tion", window_width=500)

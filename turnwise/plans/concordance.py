@@ -106,6 +106,7 @@ class TextLoader:
             rows = number_rows(rows, order, name="row")
         self.keys = ["source_file"] if "source_file" in rows.columns else []
         self.rows = prepare.chunk_rows(rows, chunk)
+        self.chunk = chunk
 
     def columns(self) -> list[str]:
         """Columns that may be shown next to a match."""
@@ -121,7 +122,7 @@ class TextLoader:
     def search(self, keyword: str, metadata: Sequence[str] | None = None, **settings) -> DataFrame:
         """See ``operators.concordance.search_chunks``."""
         return kwic.search_chunks(
-            self.rows, keyword, keys=self.keys, metadata=metadata, **settings
+            self.rows, keyword, keys=self.keys, metadata=metadata, whole_rows=self.chunk == 1, **settings
         )
 
     def line_context(self, word: str, context_length: int = 10) -> DataFrame:

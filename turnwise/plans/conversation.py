@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from copy import copy
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from turnwise.functions.text import TextFunction, default_stopwords, sentences,
 from turnwise.operators import concepts, conversation, pairs, recurrence, terms, vectors
 from turnwise.operators.ordering import all_brief
 from turnwise.operators.prepare import prepare_turns
+from turnwise.operators.recurrence import check_choice
 from turnwise.session import cut_lineage, lay_out
 
 
@@ -43,6 +45,7 @@ class Conversations:
         if conversation_column is None:
             conversation_column = "conv_id"
             data = data.withColumn(conversation_column, F.lit(0).cast("bigint"))
+        self.turn_source = None if dense else f"{turn_column}_original"
         self.turns = prepare_turns(
             data,
             text_column,
@@ -57,11 +60,38 @@ class Conversations:
         self.splitter = splitter
 
     def add_stopword(self, *words: str) -> None:
-        """Ignore more words from now on. Other tables are not affected."""
+        """Ignore more words from now on, also in the models made from this object before."""
         known = default_stopwords() if self.stopwords is None else self.stopwords
         self.stopwords = [*known, *words]
         self.__dict__.pop("sentence_terms", None)
 
+    def with_stopwords(self, *words: str) -> Conversations:
+        """The same conversations with more words ignored; this object stays as it is."""
+        other = copy(self)
+        other.add_stopword(*words)
+        return other
+
+    def renumbered(self, table: DataFrame, *columns: str, by: str = "turn") -> DataFrame:
+        """A table from outside with its turns numbered as here.
+
+        ``columns`` hold turns as they were in the data (``by="turn"``) or ids of texts (``by="text_id"``). A turn that the
+        conversations do not have is an error, raised when the rows are read.
+        """
+        check_choice("by", by, ("turn", "text_id"))
+        source = self.turn_source if by == "turn" else "text_id"
+        if source is None:
+            return table
+        for column in columns:
+            known = self.turns.select(
+                "conv_id", F.col(source).alias(column), F.col("turn").cast("bigint").alias("__turn")
+            )
+            if column not in table.columns:
+                raise ValueError(f"no column {column!r}")
+            missing = F.raise_error(F.concat(F.lit(f"no turn for {column} "), F.col(column).cast("string")))
+            place = F.coalesce("__turn", missing.cast("bigint"))
+            table = table.join(known, ["conv_id", column], "left").withColumn(column, place).drop("__turn")
+        return table
+
     @cached_property
     def brief(self) -> bool:
         """Does every conversation fit one block? Decides how the later plans are laid out."""
@@ -116,11 +146,16 @@ class Conversations:
         normalize: bool = False,
         t_short: int | str = "n_speakers",
         t_medium: int = recurrence.T_MEDIUM,
+        by: str | None = None,
     ) -> DataFrame:
+        """One kind of recurrence from a similarity table.
+
+        ``similarity`` is a table of this package, or, with ``by``, one from outside (see :func:`renumbered`).
+        """
         recurrence.check_choice("time_scale", time_scale, recurrence.TIME_SCALES)
         recurrence.check_choice("direction", direction, recurrence.DIRECTIONS)
         recurrence.check_choice("speaker", speaker, recurrence.SPEAKERS)
-        wide = self._recurrences(similarity, normalize, t_short, t_medium)
+        wide = self._recurrences(self._own(similarity, by), normalize, t_short, t_medium)
         return recurrence.topic_recurrence(wide, time_scale, direction, speaker)
 
     def all_topic_recurrences(
@@ -129,8 +164,19 @@ class Conversations:
         normalize: bool = False,
         t_short: int | str = "n_speakers",
         t_medium: int = recurrence.T_MEDIUM,
+        by: str | None = None,
     ) -> DataFrame:
-        return recurrence.long_recurrences(self._recurrences(similarity, normalize, t_short, t_medium))
+        wide = self._recurrences(self._own(similarity, by), normalize, t_short, t_medium)
+        return recurrence.long_recurrences(wide)
+
+    def _own(self, similarity: DataFrame, by: str | None) -> DataFrame:
+        """A similarity table in the numbers of this package, earlier turn first."""
+        if by is None:
+            return similarity
+        named = self.renumbered(similarity, "row_turn", "col_turn", by=by)
+        return named.withColumns(
+            {"row_turn": F.least("row_turn", "col_turn"), "col_turn": F.greatest("row_turn", "col_turn")}
+        )
 
     def _recurrences(self, similarity, normalize, t_short, t_medium) -> DataFrame:
         return recurrence.topic_recurrences_of_similarity(
@@ -142,17 +188,41 @@ class Conversations:
             brief=self.brief,
         )
 
-    def conceptual_recurrence_rate(self, similarity: DataFrame) -> DataFrame:
-        return recurrence.recurrence_rate_of_similarity(self.turns, similarity)
+    def conceptual_recurrence_rate(self, similarity: DataFrame, by: str | None = None) -> DataFrame:
+        return recurrence.recurrence_rate_of_similarity(self.turns, self._own(similarity, by))
 
     def grouped_recurrence(
-        self, similarity: DataFrame, grouping_column: str = "speaker", normalize: bool = True
+        self,
+        similarity: DataFrame,
+        grouping_column: str = "speaker",
+        normalize: bool = True,
+        by: str | None = None,
     ) -> DataFrame:
         return recurrence.grouped_recurrence_of_similarity(
-            self.turns, similarity, column=grouping_column, normalize=normalize, brief=self.brief
+            self.turns,
+            self._own(similarity, by),
+            column=grouping_column,
+            normalize=normalize,
+            brief=self.brief,
         )
 
 
+def _per_stopwords(make):
+    """A property kept until the stop words of the conversations change."""
+
+    def get(self):
+        words = self.conversations.stopwords
+        key = None if words is None else tuple(words)
+        kept = self.__dict__.setdefault("_kept", {})
+        if kept.get(make.__name__, (None, None, False))[2] and kept[make.__name__][0] == key:
+            return kept[make.__name__][1]
+        value = make(self)
+        kept[make.__name__] = (key, value, True)
+        return value
+
+    return property(get, doc=make.__doc__)
+
+
 class _VectorBacked:
     """What all models with one vector per turn offer.
 
@@ -162,18 +232,23 @@ class _VectorBacked:
     conversations: Conversations
     dims: int
 
-    @cached_property
+    @property
     def units(self) -> DataFrame:
         raise NotImplementedError
 
+    @property
+    def brief(self) -> bool:
+        """Do the turns, and the vectors that are paired, fit one block?"""
+        return self.conversations.brief
+
     def _keep(self, rows: DataFrame) -> DataFrame:
         """Write the vectors down: small next to the texts, and read several times."""
-        return lay_out(rows, ["conv_id"]) if self.conversations.brief else cut_lineage(rows)
+        return lay_out(rows, ["conv_id"]) if self.brief else cut_lineage(rows)
 
     def conversation_similarity(self, diagonal: bool = False) -> DataFrame:
         """``conv_id, row_turn, col_turn, similarity``; zero cells are absent."""
         return pairs.pairwise_similarity(
-            self.units, dims=self.dims, diagonal=diagonal, brief=self.conversations.brief
+            self.units, dims=self.dims, diagonal=diagonal, brief=self.brief
         )
 
     def topic_recurrences(
@@ -190,7 +265,7 @@ class _VectorBacked:
             normalize=normalize,
             t_short=t_short,
             t_medium=t_medium,
-            brief=self.conversations.brief,
+            brief=self.brief,
         )
 
     def all_topic_recurrences(self, **options) -> DataFrame:
@@ -208,7 +283,7 @@ class _VectorBacked:
             self.dims,
             column=column,
             normalize=normalize,
-            brief=self.conversations.brief,
+            brief=self.brief,
         )
 
 
@@ -248,20 +323,24 @@ class ConceptModel(_VectorBacked):
     def contingency(self) -> DataFrame:
         return concepts.term_contingency(self.base)
 
-    def term_similarity(self) -> DataFrame:
-        return concepts.term_similarity(self.contingency())
+    def term_similarity(self, cooccurrence: DataFrame | None = None) -> DataFrame:
+        """Similarity of the terms; from known counts (:func:`cooccurrence`) if they are given."""
+        if cooccurrence is None:
+            return concepts.window_term_similarity(self.base)
+        counted = self.occurrence().join(self.total_windows(), "conv_id")
+        return concepts.term_similarity(concepts.contingency_cells(cooccurrence, counted))
 
-    @cached_property
+    @_per_stopwords
     def lists(self) -> DataFrame:
         """Key terms of each conversation, one short array each."""
         return cut_lineage(concepts.key_term_lists(self.base, self.key_terms))
 
-    @cached_property
+    @_per_stopwords
     def arrays(self) -> DataFrame:
         weights = concepts.key_similarity(self.base, self.lists, self.dims)
         return self._keep(concepts.concept_arrays(self.base, weights, self.dims))
 
-    @cached_property
+    @_per_stopwords
     def units(self) -> DataFrame:
         if self.key_terms == "all":
             raise ValueError(
@@ -270,16 +349,21 @@ class ConceptModel(_VectorBacked):
             )
         return pairs.unit_vectors(self.arrays)
 
-    def concept_vectors(self) -> DataFrame:
-        if self.key_terms == "all":
-            return concepts.concept_vectors_all(self.base, self.term_similarity())
-        return concepts.concept_vectors(self.arrays, self.lists, brief=self.conversations.brief)
+    def concept_vectors(self, term_similarity: DataFrame | None = None) -> DataFrame:
+        """``conv_id, turn, term, value``; from a known :func:`term_similarity` if it is given."""
+        if self.key_terms == "all" or term_similarity is not None:
+            known = self.term_similarity() if term_similarity is None else term_similarity
+            if self.key_terms != "all":
+                wanted = self.lists.select("conv_id", F.explode("key_terms.term").alias("term_i"))
+                known = known.join(wanted, ["conv_id", "term_i"], "left_semi")
+            return concepts.concept_vectors_all(self.base, known)
+        return concepts.concept_vectors(self.arrays, self.lists, brief=self.brief)
 
     def conversation_similarity(self, diagonal: bool = False) -> DataFrame:
         if self.key_terms != "all":
             return super().conversation_similarity(diagonal)
         vectors_all = self._keep(self.concept_vectors())
-        cells = concepts.sparse_similarity(vectors_all, brief=self.conversations.brief)
+        cells = concepts.sparse_similarity(vectors_all, brief=self.brief)
         if not diagonal:
             return cells
         turns = vectors_all.select("conv_id", F.col("turn").alias("row_turn")).distinct()
@@ -292,7 +376,7 @@ class ConceptModel(_VectorBacked):
 
     def common_concepts(self, n_concepts: int = 5) -> DataFrame:
         return concepts.common_concepts(
-            self.units, self.lists, n_concepts, brief=self.conversations.brief
+            self.units, self.lists, n_concepts, brief=self.brief
         )
 
 
@@ -321,36 +405,45 @@ class VectorModel(_VectorBacked):
     def base(self) -> DataFrame:
         return concepts.window_terms(self.conversations.sentence_terms)
 
-    @cached_property
+    @_per_stopwords
     def lists(self) -> DataFrame:
         return cut_lineage(concepts.key_term_lists(self.base, self.key_terms))
 
     def term_similarity(self) -> DataFrame:
         return vectors.term_similarity(self.base, self.lists, self.word_vectors)
 
-    @cached_property
+    @_per_stopwords
     def arrays(self) -> DataFrame:
         return self._keep(vectors.feature_arrays(self.base, self.lists, self.word_vectors, self.dims))
 
-    @cached_property
+    @_per_stopwords
     def units(self) -> DataFrame:
         return pairs.unit_vectors(self.arrays)
 
     def feature_vectors(self) -> DataFrame:
-        return concepts.concept_vectors(self.arrays, self.lists, brief=self.conversations.brief)
+        return concepts.concept_vectors(self.arrays, self.lists, brief=self.brief)
 
 
 class EmbeddingModel(_VectorBacked):
     """Similarity from sentence embeddings that come with the data.
 
     Args:
-        embeddings: ``conv_id, turn, embedding`` with ``dims`` numbers each.
+        embeddings: ``conv_id``, ``turn`` (as it was in the data) and ``embedding`` with ``dims`` numbers each; with
+            ``by="text_id"`` the column ``text_id`` names the turn. A vector without a turn is an error.
     """
 
-    def __init__(self, conversations: Conversations, embeddings: DataFrame, dims: int) -> None:
+    def __init__(
+        self, conversations: Conversations, embeddings: DataFrame, dims: int, *, by: str = "turn"
+    ) -> None:
         self.conversations = conversations
         self.dims = dims
-        self.embeddings = embeddings
+        self.embeddings = conversations.renumbered(embeddings, by, by=by)
+        if by != "turn":
+            self.embeddings = self.embeddings.drop("turn").withColumnRenamed(by, "turn")
+
+    @cached_property
+    def brief(self) -> bool:
+        return self.conversations.brief and all_brief(self.embeddings)
 
     @cached_property
     def units(self) -> DataFrame:

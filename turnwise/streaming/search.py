@@ -9,11 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from turnwise.operators.concordance import search
 from turnwise.operators.terms import turn_terms
-from turnwise.session import scratch_path
 
 
 def _write(rows: DataFrame, path: str, checkpoint: str | None) -> StreamingQuery:
-    progress = checkpoint or scratch_path(rows.sparkSession, "stream")
+    progress = checkpoint or path.rstrip("/") + "_progress"
     return (
         rows.writeStream.format("parquet")
         .option("path", path)
@@ -29,7 +28,8 @@ def search_stream(
 ) -> StreamingQuery:
     """Append the matches in new texts to a Parquet folder. Takes what has arrived and stops.
 
-    Started again with the same ``checkpoint`` it goes on where it stopped.
+    Started again with the same ``path`` it goes on where it stopped: progress is kept in ``checkpoint``, by
+    default a folder beside the results.
     """
     return _write(search(texts, keyword, **settings), path, checkpoint)
 
@@ -42,5 +42,5 @@ def terms_stream(
     checkpoint: str | None = None,
     **options,
 ) -> StreamingQuery:
-    """Append the words of new texts, without stop words, to a Parquet folder."""
+    """Append the words of new texts, without stop words, to a Parquet folder, like :func:`search_stream`."""
     return _write(turn_terms(texts, columns, **options), path, checkpoint)
