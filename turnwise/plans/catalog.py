@@ -173,6 +173,15 @@ def load_text_files_numbering(spark, sf_dir):
     )
 
 
+@query
+def load_text_files_order(spark, sf_dir):
+    """The row number of every line of one file, in which the texts stand in order."""
+    path = scratch_path(spark, "ordered")
+    docs = documents(spark, sf_dir).repartitionByRange(1, "text_id").sortWithinPartitions("text_id")
+    docs.select("text").write.text(path)
+    return files.read_lines(spark, path).select("row", "text")
+
+
 @query
 def load_keyed_lines(spark, sf_dir):
     return tables.keyed_lines(document_lines(spark, sf_dir), ",")
@@ -190,10 +199,14 @@ def load_keyed_files(spark, sf_dir):
 
 @query
 def load_encoding_fallback(spark, sf_dir):
-    latin = F.rlike("text", F.lit("^[\\x00-\\xFF]*$"))
-    content = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
-    stored = documents(spark, sf_dir).select("text_id", content.alias("content"))
-    return stored.select("text_id", files.decode_with_fallback(F.col("content")).alias("text"))
+    """Lines of files of which some are UTF-8 and some Latin-1."""
+    path = scratch_path(spark, "encodings")
+    docs = documents(spark, sf_dir)
+    is_latin = F.rlike("text", F.lit("^[\\x00-\\xFF]*$"))
+    # The bytes of a string are written as they are, so a file may hold Latin-1.
+    docs.filter(is_latin).select(F.encode("text", "ISO-8859-1").cast("string")).write.text(path)
+    docs.filter(~is_latin).select("text").write.mode("append").text(path)
+    return files.read_lines(spark, path).groupBy("text").agg(F.count("*").alias("n"))
 
 
 @query
@@ -230,6 +243,15 @@ def assign_text_id(spark, sf_dir):
     return number_rows(docs, "doc_id", keys=["source"]).select("source", "doc_id", "text_id")
 
 
+@query
+def assign_text_id_sparse(spark, sf_dir):
+    """The same by order values far apart, over the whole table."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.col("doc_id") * F.lit(1 << 33)).alias("stamp")
+    )
+    return number_rows(docs, "stamp").select("doc_id", "text_id")
+
+
 @query
 def prepare_turns(spark, sf_dir):
     data = table(spark, sf_dir, "conversations")
@@ -296,6 +318,11 @@ def kwic_regex_empty_match(spark, sf_dir):
     )
 
 
+@query
+def kwic_regex_words(spark, sf_dir):
+    return kwic.search(documents(spark, sf_dir), r"\w+ing", regex=True, window_width=20)
+
+
 @query
 def kwic_case_sensitive(spark, sf_dir):
     return kwic.search(documents(spark, sf_dir), "The", ignore_case=False)
@@ -408,6 +435,17 @@ def kwic_many(spark, sf_dir):
     return kwic.search_many(documents(spark, sf_dir), KEYWORDS, whole_word=True, window_width=20)
 
 
+@query
+def kwic_many_regex(spark, sf_dir):
+    """Patterns that Spark reads like Python, and one that only Python reads."""
+    found = kwic.search_many(
+        documents(spark, sf_dir), ["[aeiou]{2}n", "x*"], regex=True, window_width=5
+    )
+    return found.groupBy("keyword", "text_id").agg(
+        F.count("*").alias("n"), F.sum(F.length("match")).alias("n_chars")
+    )
+
+
 # ---------------------------------------------------------------- tokens and terms
 
 
@@ -598,6 +636,18 @@ def similarity_embedding(spark, sf_dir):
     return rounded(_embedding_model(spark, sf_dir).conversation_similarity(), "similarity")
 
 
+def _sparse_embedding_model(spark, sf_dir):
+    """Turns 1, 4, 7, ...: numbered anew, as are the embeddings that come with them."""
+    rows = embedding_turns(spark, sf_dir).withColumn("turn", F.col("turn") * 3 + 1)
+    data = Conversations(rows.drop("embedding").withColumn("text", F.lit("")))
+    return EmbeddingModel(data, rows.select("conv_id", "turn", "embedding"), 64)
+
+
+@query
+def similarity_embedding_renumbered(spark, sf_dir):
+    return rounded(_sparse_embedding_model(spark, sf_dir).conversation_similarity(), "similarity")
+
+
 @query
 def recurrence_embedding(spark, sf_dir):
     return rounded(_embedding_model(spark, sf_dir).all_topic_recurrences(), "score")
@@ -659,6 +709,11 @@ def grouped_recurrence_by_column(spark, sf_dir):
     return rounded(_embedding_model(spark, sf_dir).grouped_recurrence(), "score")
 
 
+@query
+def grouped_recurrence_sparse_turns(spark, sf_dir):
+    return rounded(_sparse_embedding_model(spark, sf_dir).grouped_recurrence(), "score")
+
+
 @query
 def grouped_recurrence_raw(spark, sf_dir):
     return rounded(concept_model(spark, sf_dir).grouped_recurrence(normalize=False), "score")

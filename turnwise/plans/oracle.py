@@ -43,7 +43,9 @@ KEYED = f"""SELECT text_id, line_no, substring(text, instr(text, ',') + 1) AS te
 ORACLE["load_keyed_lines"] = f"WITH {LINES} {KEYED}"
 ORACLE["load_keyed_files"] = f"""WITH {LINES}
 SELECT key, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ({KEYED}) GROUP BY key"""
-ORACLE["load_encoding_fallback"] = "SELECT doc_id AS text_id, text FROM documents"
+ORACLE["load_encoding_fallback"] = ORACLE["load_text_files"]
+ORACLE["load_text_files_order"] = f"""WITH {LINES}
+SELECT row_number() OVER (ORDER BY text_id, line_no) - 1 AS "row", text FROM ({PLAIN}) WHERE length(text) > 1"""
 ORACLE["column_display_width"] = " UNION ALL ".join(
     f"""SELECT '{c}' AS column_name,
   CAST(least(greatest(max(length(CAST({c} AS VARCHAR))), {len(c)}), 100) AS BIGINT) AS width FROM documents"""
@@ -53,6 +55,8 @@ ORACLE["prepare_texts"] = f"""
 SELECT doc_id AS text_id, lang, text, array_to_string({WORDS.format('text')}, ' ') AS tokens FROM documents"""
 ORACLE["assign_text_id"] = """
 SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS text_id FROM documents"""
+ORACLE["assign_text_id_sparse"] = """
+SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS text_id FROM documents"""
 ORACLE["prepare_turns"] = """
 SELECT conv_id, t AS turn, t AS text_id, role AS speaker, text
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS t FROM conversations)"""
@@ -101,6 +105,7 @@ def found(pattern: str, width: int = 50, masked: bool = False) -> str:
 THE = r"(?i)\bthe\b"
 ORACLE["kwic_literal"] = found("(?i)tion")
 ORACLE["kwic_regex"] = found("(?i)[aeiou]{2}n")
+ORACLE["kwic_regex_words"] = found(r"(?i)[\p{L}\p{N}_]+ing", 20)
 ORACLE["kwic_case_sensitive"] = found("The")
 ORACLE["kwic_whole_word"] = found(THE, masked=True)
 ORACLE["context_window"] = found("(?i)tion", 500)
@@ -176,6 +181,11 @@ ORACLE["kwic_many"] = " UNION ALL ".join(
     rf" FROM ({found(rf'(?i)\b{k}\b', 20, masked=True)})"
     for k in KEYWORDS
 )
+ORACLE["kwic_many_regex"] = f"""
+SELECT 'x*' AS keyword, * FROM ({ORACLE["kwic_regex_empty_match"]})
+UNION ALL
+SELECT '[aeiou]{{2}}n' AS keyword, text_id, count(*) AS n, CAST(sum(length(match)) AS BIGINT) AS n_chars
+FROM ({found("(?i)[aeiou]{2}n", 5)}) GROUP BY text_id"""
 
 
 # ---------------------------------------------------------------- tokens, terms, descriptors
@@ -337,6 +347,7 @@ sim AS (
   SELECT a.conv_id, a.turn AS i, b.turn AS j, list_cosine_similarity(a.vec, b.vec) AS s
   FROM et a JOIN et b ON a.conv_id = b.conv_id AND a.turn < b.turn)"""
 ORACLE["similarity_embedding"] = f"WITH {EMBEDDED} {PAIRS}"
+ORACLE["similarity_embedding_renumbered"] = ORACLE["similarity_embedding"]
 
 # ---------------------------------------------------------------- recurrence
 
@@ -402,6 +413,7 @@ LEFT JOIN scores s ON s.conv_id = a.conv_id AND s.ga = a.speaker AND s.gb = b.sp
 ORACLE["grouped_recurrence"] = f"WITH {MODEL}, {TURNS}, {grouped('tt', True)}"
 ORACLE["grouped_recurrence_raw"] = f"WITH {MODEL}, {TURNS}, {grouped('tt', False)}"
 ORACLE["grouped_recurrence_by_column"] = f"WITH {EMBEDDED}, {grouped('et', True)}"
+ORACLE["grouped_recurrence_sparse_turns"] = ORACLE["grouped_recurrence_by_column"]
 
 # ---------------------------------------------------------------- plot tables
 
