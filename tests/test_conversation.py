@@ -473,3 +473,34 @@ def test_known_counts_and_similarity_give_the_same(spark):
     own = {(r["turn"], r["term"]): round(r["value"], 9) for r in model.concept_vectors().collect()}
     given = {(r["turn"], r["term"]): round(r["value"], 9) for r in model.concept_vectors(model.term_similarity()).collect()}
     assert own == given
+
+
+@pytest.mark.parametrize("dims", [5, 70])
+def test_wide_vectors_of_a_long_conversation(spark, dims):
+    import numpy as np
+
+    draw = np.random.default_rng(dims)
+    vectors = draw.standard_normal((150, dims))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    speakers = ["ABC"[int(x)] for x in draw.integers(0, 3, 150)]
+    turns = spark.createDataFrame(
+        [(0, i, s, "") for i, s in enumerate(speakers)], "conv_id bigint, turn bigint, speaker string, text string"
+    )
+    rows = [(0, i, v.tolist()) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, embedding array<double>")
+    model = EmbeddingModel(Conversations(turns, dense=True), table, dims)
+    cosine = vectors @ vectors.T
+    rate = model.recurrence_rate().first()["recurrence_rate"]
+    assert abs(rate - cosine[np.triu_indices(150, 1)].mean()) < 1e-9
+    same = np.array([[a == b for b in speakers] for a in speakers])
+    wide = {r["turn"]: r for r in model.topic_recurrences().collect()}
+    for t in (0, 40, 149):
+        for kind, back, reach in (("long_backward", True, 150), ("medium_forward", False, 10)):
+            others = range(max(0, t - reach), t) if back else range(t + 1, min(150, t + 1 + reach))
+            for who in ("self", "other"):
+                want = sum(cosine[t, o] for o in others if same[t, o] == (who == "self"))
+                assert abs(wide[t][f"{kind}_{who}"] - want) < 1e-9
+    grouped = {(r["initiated_by"], r["repeated_by"]): r["score"] for r in model.grouped_recurrence().collect()}
+    for a, b in product("ABC", "ABC"):
+        cells = [cosine[i, j] for i in range(150) for j in range(i + 1, 150) if (speakers[i], speakers[j]) == (a, b)]
+        assert abs(grouped[a, b] - sum(cells) / len(cells)) < 1e-9

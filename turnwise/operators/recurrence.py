@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from turnwise.operators.conversation import conversation_facts
 from turnwise.operators.ordering import PAIR_BLOCK, attach, block_of, running_totals
-from turnwise.operators.pairs import dot, near_pairs
+from turnwise.operators.pairs import WRITTEN_OUT, dot, near_pairs
 from turnwise.operators.prepare import with_block
 
 TIME_SCALES = ("short", "medium", "long")
@@ -91,6 +91,23 @@ def _same(a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- running totals over turns
 
 
+def _in_parts(rows: DataFrame, dims: int, width: int = WRITTEN_OUT) -> tuple[DataFrame, list[str], int]:
+    """``rows`` with ``unit`` cut into parts of at most ``width`` numbers, one row per part.
+
+    Returns the rows, the column that tells the parts apart (none for a single part) and the numbers per part: sums over
+    vectors are written out per part, so the size of a plan does not grow with the vectors.
+    """
+    if dims <= width:
+        return rows, [], dims
+    parts = F.explode(F.sequence(F.lit(0), F.lit(-(-dims // width) - 1)))
+    cut = rows.withColumn("part", parts).withColumn("unit", F.slice("unit", F.col("part") * width + 1, F.lit(width)))
+    return cut, ["part"], width
+
+
+def _number(i: int, unit: str = "unit") -> str:
+    return f"coalesce(get({unit}, {i}), 0D)"
+
+
 def _sweep(rows: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
     """Per turn, the part of its group that lies in each of the six windows.
 
@@ -126,25 +143,27 @@ def _sweep(rows: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
     )
     carried = ["unit"] if dims else []
     placed = rows.select("conv_id", *[k for k in keys if k != "conv_id"], "turn", *carried, F.inline(events))
+    placed, part, size = _in_parts(placed, dims)
     values = {"n": F.col("is_data").cast("bigint")}
-    for i in range(dims):
-        values[f"s{i}"] = F.expr(f"if(is_data, coalesce(unit[{i}], 0D), 0D)")
-    summed = running_totals(placed, keys, "at", values, ties=["is_data"], totals=True)
+    for i in range(size):
+        values[f"s{i}"] = F.expr(f"if(is_data, {_number(i)}, 0D)")
+    summed = running_totals(placed, [*keys, *part], "at", values, ties=["is_data"], totals=True)
 
     def along(suffix: str = "") -> Column:
-        parts = [f"coalesce(unit[{i}], 0D) * s{i}{suffix}" for i in range(dims)]
-        return F.expr(" + ".join(["0D", *parts]))
+        return F.expr(" + ".join(["0D", *[f"{_number(i)} * s{i}{suffix}" for i in range(size)]]))
 
     answered = summed.filter(~F.col("is_data")).select(
         "conv_id", "turn", "point", "n", "n_total", along().alias("v"), along("_total").alias("v_total")
     )
     points = [
-        F.max(F.when(F.col("point") == name, F.col(kind))).alias(f"{kind}_{name}")
+        function(F.when(F.col("point") == name, F.col(kind))).alias(f"{kind}_{name}")
         for name in at
-        for kind in ("n", "v")
+        for kind, function in (("n", F.max), ("v", F.sum))  # the parts of a vector add up
     ]
     wide = answered.groupBy("conv_id", "turn").agg(
-        *points, F.max("n_total").alias("n_end"), F.max("v_total").alias("v_end")
+        *points,
+        F.max("n_total").alias("n_end"),
+        F.sum(F.when(F.col("point") == "here", F.col("v_total"))).alias("v_end"),
     )
     windows = []
     for kind in ("n", "v"):
@@ -344,12 +363,13 @@ def recurrence_rate_of_similarity(turns: DataFrame, similarity: DataFrame) -> Da
 
 def recurrence_rate_of_vectors(turns: DataFrame, units: DataFrame, dims: int) -> DataFrame:
     """The same from unit vectors: half of what the squared sum exceeds the sum of squares by."""
-    sums = units.groupBy("conv_id").agg(
-        *[F.expr(f"sum(unit[{i}]) AS s{i}") for i in range(dims)],
-        F.sum(dot("unit", "unit", dims)).alias("squares"),
+    rows, part, size = _in_parts(units.select("conv_id", "unit"), dims)
+    squares = F.expr(" + ".join(["0D", *[f"{_number(i)} * {_number(i)}" for i in range(size)]]))
+    sums = rows.groupBy("conv_id", *part).agg(
+        *[F.expr(f"sum({_number(i)}) AS s{i}") for i in range(size)], F.sum(squares).alias("squares")
     )
-    squared = F.expr(" + ".join(f"s{i} * s{i}" for i in range(dims)))
-    total = sums.select("conv_id", ((squared - F.col("squares")) / 2).alias("total"))
+    squared = F.expr(" + ".join(["0D", *[f"s{i} * s{i}" for i in range(size)]]))
+    total = sums.groupBy("conv_id").agg(F.sum((squared - F.col("squares")) / 2).alias("total"))
     return _rate(total, turns)
 
 
@@ -386,37 +406,39 @@ def _grouped_turns(turns: DataFrame, column: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.col(column).alias("grp"))
 
 
-def _block_totals(rows: DataFrame, dims: int, width: int) -> DataFrame:
-    """Per block of turns and group: the sum of the vectors and the number of turns."""
-    return (
-        rows.withColumn("__block", block_of("turn", width))
-        .groupBy("conv_id", "__block", "grp")
-        .agg(
-            F.count("*").alias("n"),
-            *[F.expr(f"sum(coalesce(unit[{i}], 0D)) AS s{i}") for i in range(dims)],
-        )
-    )
-
-
 def _across_blocks(rows: DataFrame, dims: int, width: int) -> DataFrame:
-    """Sums over the pairs of turns in different blocks, from block totals."""
-    names = ["n", *[f"s{i}" for i in range(dims)]]
-    totals = _block_totals(rows, dims, width)
-    groups = rows.select("conv_id", "grp").distinct()
-    blocks = rows.select("conv_id", block_of("turn", width).alias("__block")).distinct()
-    spots = blocks.join(groups, "conv_id")
-    filled = spots.join(totals, ["conv_id", "__block", "grp"], "left")
-    before = running_totals(
-        filled, ["conv_id", "grp"], "__block", {n: F.coalesce(F.col(n), F.lit(0)) for n in names}
+    """Sums over the pairs of turns in different blocks, from the totals of blocks.
+
+    The blocks of a conversation are halved again and again; at every level the totals of the left half of a
+    stretch meet those of its right half. A pair of blocks meets at exactly one level, and only groups that are present
+    meet at all.
+    """
+    placed, part, size = _in_parts(rows.withColumn("__block", block_of("turn", width)), dims)
+    names = ["n", *[f"s{i}" for i in range(size)]]
+    totals = placed.groupBy("conv_id", "__block", "grp", *part).agg(
+        F.count("*").alias("n"), *[F.expr(f"sum({_number(i)}) AS s{i}") for i in range(size)]
+    )
+    last = totals.groupBy("conv_id").agg(F.max("__block").alias("last"))
+    levels = F.sequence(F.lit(0), F.length(F.bin("last")) - 1)
+    spread = totals.join(last, "conv_id").withColumn("level", F.explode(levels))
+    stretch = F.expr("shiftright(__block, level + 1)")
+    right = F.expr("shiftright(__block, level) & 1") == 1
+    halves = (
+        spread.withColumns({"stretch": stretch, "right": right})
+        .groupBy("conv_id", "level", "stretch", "right", "grp", *part)
+        .agg(*[F.sum(n).alias(n) for n in names])
+    )
+    keys = ["conv_id", "level", "stretch", *part]
+    first = halves.filter(~F.col("right")).select(
+        *keys, F.col("grp").alias("initiated_by"), *[F.col(n).alias(f"a_{n}") for n in names]
     )
-    first = before.select(
-        "conv_id", "__block", F.col("grp").alias("initiated_by"), *[F.col(n).alias(f"a_{n}") for n in names]
-    ).filter("a_n > 0")
-    second = totals.withColumnRenamed("grp", "repeated_by")
-    met = first.join(second, ["conv_id", "__block"])
-    total = F.expr(" + ".join(["0D", *[f"a_s{i} * s{i}" for i in range(dims)]]))
+    second = halves.filter("right").select(*keys, F.col("grp").alias("repeated_by"), *names)
+    met = first.join(second, keys)
+    total = F.expr(" + ".join(["0D", *[f"a_s{i} * s{i}" for i in range(size)]]))
+    pairs = F.col("a_n") * F.col("n")  # counted in one part only
+    cells = F.when(F.col("part") == 0, pairs).otherwise(0) if part else pairs
     return met.groupBy("conv_id", "initiated_by", "repeated_by").agg(
-        F.sum(total).alias("total"), F.sum(F.col("a_n") * F.col("n")).alias("cells")
+        F.sum(total).alias("total"), F.sum(cells).alias("cells")
     )
 
 

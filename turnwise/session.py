@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -26,6 +27,10 @@ RUNTIME_CONF = {
 }
 
 
+BUCKET_BYTES = 1 << 28  # of the estimated input
+MOST_BUCKETS = 20_000
+
+
 def local_session(cores: str = "*", app: str = "turnwise", **conf: str) -> SparkSession:
     """A local session for tests, the bench and notebooks. On a cluster, pass your own session."""
     builder = (
@@ -50,19 +55,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset the session must be local
-    (one machine is then all there is); a distributed session without the setting is an error.
+    A cluster names it in ``spark.checkpoint.dir`` or by ``setCheckpointDir``. Where neither is done the
+    session must be local (one machine is then all there is); a distributed session is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="turnwise-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="turnwise-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -87,7 +89,8 @@ def lay_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     place. Columns nobody asks for are not read again.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_BYTES), MOST_BUCKETS))
     name = f"turnwise_{uuid.uuid4().hex}"
     placed = df.repartition(buckets, *keys)
     writer = placed.write.format("parquet").bucketBy(buckets, *keys)
