@@ -77,3 +77,24 @@ def test_forest_finds_nine_tenths(spark, monkeypatch):
         hit += vec in set(np.argsort(-scores)[:20].tolist())
         assert abs(score - scores[vec]) < 1e-9
     assert hit >= 0.9 * 60 * 20
+
+
+def test_many_copies_of_a_vector_do_not_hide_others(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "BLOCK_ROWS", 4000)
+    draw = np.random.default_rng(2)
+    array = draw.standard_normal((2000, 32)).astype(np.float32)
+    array[500:1500] = array[500]
+    table = vectors(spark, array)
+    found = prefix_forest_search(table, table.where("vec_id % 100 = 0"))
+    got = {}
+    for query, rank, vec, _ in rows(found, "query_id", "rank", "vec_id", "score"):
+        got.setdefault(query, {})[rank] = vec
+    whole = array.astype(float)
+    hit = total = 0
+    for query, ranked in got.items():
+        scores = (whole * whole[query]).sum(axis=1)
+        want = [i for _, i in sorted((-s, i) for i, s in enumerate(scores) if i != query)[:20]]
+        hit += len(set(want) & set(ranked.values()))
+        total += 20
+    assert hit >= 0.9 * total
+    assert [got[600][r] for r in range(1, 21)] == list(range(500, 520))

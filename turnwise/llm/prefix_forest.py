@@ -75,6 +75,15 @@ def candidates(forest: Forest, queries: np.ndarray, enough: int):
         yield np.flatnonzero(mark)
 
 
+def _distinct(rows: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different vectors of a block, and for each its ``most`` smallest ids: no more can be among the nearest."""
+    vectors, group = np.unique(rows, axis=0, return_inverse=True)
+    group = group.reshape(-1)
+    order = np.lexsort((ids, group))
+    cuts = np.searchsorted(group[order], np.arange(1, len(vectors)))
+    return vectors, [x[:most] for x in np.split(ids[order], cuts)]
+
+
 def _search(k: int, trees: int, bits: int, share: float, seed: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out_query, out_vec, out_score = [], [], []
@@ -83,20 +92,23 @@ def _search(k: int, trees: int, bits: int, share: float, seed: int):
             queries = matrix(left, rows.shape[1])
             if queries.shape[1] > rows.shape[1]:
                 rows = matrix(right, queries.shape[1])
-            ids = right.column("id").to_numpy()
+            # Copies of a vector fall into the same place of every tree: they count, and are scored, as one.
+            rows, ids = _distinct(rows, right.column("id").to_numpy(), k + 1)
             forest = Forest(rows, trees, bits, seed)
             enough = min(len(rows) * trees, max(trees * k, int(share * len(rows))))
             found = candidates(forest, queries, enough)
             for query_id, query, near in zip(left.column("id").to_pylist(), queries, found):
-                near = near[ids[near] != query_id]
                 score = rows[near] @ query
-                if len(near) > k:
-                    kth = np.partition(score, len(score) - k)[-k]
+                if len(near) > k + 1:  # one of them may be the query itself
+                    kth = np.partition(score, len(score) - k - 1)[-k - 1]
                     near = near[score >= kth - 1e-9 * max(1.0, abs(kth))]
                 score = (rows[near] * query).sum(axis=1)  # row by row: equal vectors score equally
-                best = np.lexsort((ids[near], -score))[:k]
+                score = np.repeat(score, [len(ids[i]) for i in near.tolist()])
+                held = np.concatenate([ids[i] for i in near.tolist()])
+                score, held = score[held != query_id], held[held != query_id]
+                best = np.lexsort((held, -score))[:k]
                 out_query += [query_id] * len(best)
-                out_vec += ids[near[best]].tolist()
+                out_vec += held[best].tolist()
                 out_score += score[best].tolist()
         return pa.table(
             {
