@@ -30,8 +30,8 @@ from turnwise.operators.ordering import running_totals
 WINDOW = 2048
 PACKET = 128
 END_ID = 1
-SLICE = 6 << 20  # bytes of text encoded at a time
-KNOWN = 400_000  # words that a task remembers
+SLICE = 4 << 20  # bytes of text encoded at a time
+KNOWN = 250_000  # words that a task remembers
 TAIL = ".,;:!?"
 SPECIAL = "<|"  # may begin a special token, which is told from text by its case
 

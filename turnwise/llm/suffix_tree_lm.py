@@ -36,7 +36,7 @@ CONTEXT_SHARE = 1e-4
 LEAST = 4  # occurrences of anything the tree stores
 PRIOR = 5.0  # occurrences that the parent counts for
 ADD = 0.1
-SLICE = 8 << 20
+SLICE = 4 << 20
 HELD = 1 << 20  # keys a task counts before it hands them on
 
 _STEP = seeds(2, 303)

@@ -22,6 +22,7 @@ from turnwise.llm.words import SIGNS, U64, batch_words, mix, pieces, release, se
 BITS = 20
 TRAIN_ROWS = 16384
 EPOCHS = 8
+SLICE = 2 << 20  # bytes of text whose features are held at a time
 # Steps and L1 are large beside the usual: most features of a toxic text are harmless words that occur once, and a text
 # has thousands, so a weight has to be earned in several texts.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.1
@@ -107,7 +108,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "hash", "label", "text")  # at most TRAIN_ROWS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=SLICE):
             places, owners = text_features(batch.column(3).to_pylist())
             edges = np.searchsorted(np.sort(owners), np.arange(batch.num_rows + 1))
             places = places[np.argsort(owners, kind="stable")].astype(np.int32)
@@ -136,7 +137,7 @@ def score_toxicity(docs: DataFrame, model: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=SLICE):
             places, owners = text_features(batch.column(at).to_pylist())
             some = weights[places] != 0
             both = np.unique(owners[some] * (1 << BITS) + places[some])
