@@ -7,6 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from turnwise.session import local_session  # noqa: E402
 
+# Sentences whose results are known.
 SHERLOCK = [
     ("To Sherlock Holmes she is always the woman.", "A"),
     ("I have seldom heard him mention her under any other name.", "B"),
@@ -19,7 +20,7 @@ SHERLOCK = [
     ),
 ]
 
-# Upper triangle of a symmetric table of similarities.
+# Upper triangle of a symmetric table of similarities whose recurrences are known.
 MATRIX = {
     "AB": 0.9, "AC": 0.8, "AD": 0.7, "AE": 0.6, "AF": 0.5, "AG": 0.4,
     "BC": 0.5, "BD": 0.4, "BE": 0.3, "BF": 0.2, "BG": 0.1,
