@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.gather import distinct_parts, filled, gathered
+from turnwise.llm.gather import distinct_parts, filled, gathered, shorten
 from turnwise.llm.words import pieces
 
 KNOWN = 400_000  # pre-tokens (and pieces between spaces) that a task remembers
@@ -194,10 +194,8 @@ class BytePairs:
 
     def encode(self, texts: pa.Array) -> pa.BinaryArray:
         """The ids of each text as little-endian 32-bit numbers. A null text has none."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        if len(self.spaced) > KNOWN:
-            self.spaced.clear()
+        shorten(self.known, KNOWN)
+        shorten(self.spaced, KNOWN)
         texts = filled(texts)
         found, parts, edges = distinct_parts(pc.split_pattern(texts, " "))
         odd = {i for i, part in enumerate(found) if not part or part[0].isspace() or part[-1].isspace()}

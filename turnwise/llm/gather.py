@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,13 @@ def gathered(codes: Sequence[bytes], parts: np.ndarray, edges: np.ndarray, kind:
     return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
+def shorten(known: dict, most: int) -> None:
+    """Halve a table of codes that has more than ``most`` entries. The older half stays: frequent parts come early."""
+    if len(known) > most:
+        for key in list(islice(known, most // 2, None)):
+            del known[key]
+
+
 def filled(texts: pa.Array) -> pa.Array:
     """Null texts as empty ones."""
     return pc.fill_null(texts, "")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from turnwise.llm.gather import distinct_parts, filled, gathered
+from turnwise.llm.gather import distinct_parts, filled, gathered, shorten
 from turnwise.llm.words import pieces
 from turnwise.llm.written import written
 from turnwise.operators.ordering import running_totals
@@ -31,7 +31,7 @@ WINDOW = 2048
 PACKET = 128
 END_ID = 1
 SLICE = 4 << 20  # bytes of text encoded at a time
-KNOWN = 250_000  # words that a task remembers
+KNOWN = 500_000  # words that a task remembers
 TAIL = ".,;:!?"
 SPECIAL = "<|"  # may begin a special token, which is told from text by its case
 
@@ -56,8 +56,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: int | None = None) -> pa.BinaryArray:
         """The ids of each text, as packed numbers of ``kind``; ``end`` follows the ids of every text."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
+        shorten(self.known, KNOWN)
         texts = filled(texts)
         special = pc.match_substring(texts, SPECIAL)
         words = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
