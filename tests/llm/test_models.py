@@ -112,3 +112,28 @@ def test_toxicity_of_odd_rows(spark, documents):
     none = tox.toxicity(docs, labels.where("false"))
     assert {(r["score"], r["predicted"]) for r in none.collect()} == {(0.0, 0)}
     assert tox.toxicity(documents([]), labels).count() == 0
+
+
+def test_tree_grows_with_the_corpus_and_its_rare_part_counts_by_join(documents, monkeypatch):
+    draw = random.Random(5)
+    filler = [" ".join(f"f{draw.randrange(3000)}" for _ in range(400)) for _ in range(300)]
+    pair = "seldom together "  # 7 to 9 of 120,000 tokens, less than a share of 1e-4
+    docs = documents([(i, (pair if i % 37 == 0 else "") + t) for i, t in enumerate(filler)] + [(1000, "seldom together"), (1001, "together seldom")])
+    whole = {r["doc_id"]: r for r in lm.score_texts(docs).collect()}
+    tree, _, tokens, _ = lm.fit(docs)
+    assert tokens > 100_000
+    # Each score is that of the tree, token by token.
+    for i in (0, 7, 1000, 1001):
+        text = docs.where(f"doc_id = {i}").first()["text"]
+        symbols, edges = lm.sequences([text])
+        weight, stored = tree.score(lm.histories(symbols, edges, lm.DEPTH), symbols)
+        root = np.where(np.isnan(tree.root(symbols)), tree.unknown, tree.root(symbols))
+        assert abs(np.where(np.isnan(stored), weight + root, stored).sum() - whole[i]["score"]) < 1e-9 * abs(whole[i]["score"])
+    gain = lambda i: whole[i]["score"] - whole[i]["base_score"]
+    assert gain(1000) > 2.5 and gain(1000) > gain(1001) + 2
+    # What is broadcast does not decide what is known.
+    monkeypatch.setattr(lm, "USUAL", 3)
+    monkeypatch.setattr(lm, "WORD_SHARE", 0.01)
+    joined = {r["doc_id"]: r for r in lm.score_texts(docs).collect()}
+    assert {i: r["n_known"] for i, r in joined.items()} == {i: r["n_known"] for i, r in whole.items()}
+    assert all(abs(r["score"] - whole[i]["score"]) < 1e-9 * abs(r["score"]) for i, r in joined.items())

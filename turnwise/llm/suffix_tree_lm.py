@@ -1,24 +1,32 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The tree holds contexts, the last words before a token, of variable length. A context enters if it is
-frequent (at least ``CONTEXT_SHARE`` of all training tokens) and if a divergence test says so: the gain in log-likelihood of its
-next-symbol distribution over that of its parent, the context without the oldest word, must pay for the symbols
-it stores. Its distribution is smoothed with that of the parent, down to the smoothed word frequencies
-at the root:
+The tree holds contexts, the last words before a token, of variable length. A context enters if a divergence test
+says so: the gain in log-likelihood of its next-symbol distribution over that of its parent, the context without the
+oldest word, must pay for the symbols it stores. Symbols are stored if they follow the context ``LEAST`` times,
+whatever the size of the corpus. The distribution is smoothed with that of the parent, down to the smoothed word
+frequencies at the root:
 
     P(w | s) = c(s w) / (c(s) + PRIOR) + rest(s) * P(w | parent(s))
 
 A token is scored in the longest suffix of its history that is in the tree.
 
-Counts cover all training tokens and are made by Spark: a task counts what it reads, then counts are summed by key.
-Thresholds are shares of the corpus, so the tree has at most ``1 / CONTEXT_SHARE`` contexts and ``1 / SYMBOL_SHARE``
-symbols per depth at any size, and may be broadcast; so may the words of a share of ``WORD_SHARE`` or more. All other words, however
-many, are looked up by a join.
+The model grows with the corpus and is a set of written tables, a row for every sequence of words (gram) that occurs
+``LEAST`` times. A gram is counted if its two shorter grams are frequent, which a bitmap of bounded size may err
+about on one side only; counts are made per task, then summed by key. The tests are groupings of these tables.
+
+The logarithm of a score is a sum over the grams of a text. A gram ``s w`` has the value
+
+    log P(w | s) - log P(w | parent(s)) - log rest(s) + log rest(s w)
+
+where ``rest`` is 1 outside the tree: what was added for the shorter gram and for ``s`` as a context is taken back. So
+the grams of a text are looked up one by one: words of a share of ``WORD_SHARE`` or more and the ``USUAL`` most frequent
+longer grams in a broadcast table, all others by a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +39,16 @@ from turnwise.llm.written import written
 FOLDS = 10  # rows of fold 0 are held out
 DEPTH = 3
 WORD_SHARE = 1e-6
-SYMBOL_SHARE = 1e-5
-CONTEXT_SHARE = 1e-4
+USUAL = 1 << 21  # grams of two and more words that are broadcast, at most
 LEAST = 4  # occurrences of anything the tree stores
 PRIOR = 5.0  # occurrences that the parent counts for
 ADD = 0.1
-SLICE = 4 << 20
-HELD = 1 << 20  # keys a task counts before it hands them on
+SLICE = 2 << 20
+HELD = 3 << 19  # keys a task counts before it hands them on
+PASSED = 1 << 17  # of them at a time
+BITS = 27  # of a place in the largest bitmap
 
-_STEP = seeds(2, 303)
+_STEP = seeds(1, 303)[0]
 END = seeds(1, 404)[0]  # the symbol after the last word
 
 
@@ -49,22 +58,31 @@ def sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, edges[1:], END), edges + np.arange(len(edges))
 
 
-def histories(symbols: np.ndarray, edges: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each length up to ``depth`` the key of the context before every symbol; 0 where the text is too short."""
+def joint(context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """The key of a gram, from that of all but its last symbol and that of all but its first."""
+    return mix(context * _STEP + lower)
+
+
+def grams(symbols: np.ndarray, edges: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For each length up to ``longest`` the key of the gram that ends with every symbol; 0 where the text is too short."""
     place = np.arange(len(symbols)) - np.repeat(edges[:-1], np.diff(edges))
-    out = []
-    last = np.zeros(len(symbols), dtype=U64)
-    for length in range(1, depth + 1):
-        older = np.zeros(len(symbols), dtype=U64)
-        older[length:] = symbols[:-length]
-        last = mix(last * _STEP[0] + older)
-        out.append(np.where(place >= length, last, U64(0)))
+    out = [symbols]
+    for length in range(2, longest + 1):
+        key = np.zeros(len(symbols), dtype=U64)
+        key[1:] = joint(out[-1][:-1], out[-1][1:])
+        out.append(np.where(place >= length - 1, key, U64(0)))
     return out
 
 
-def joint(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """The key of a symbol in a context."""
-    return mix(context * _STEP[1] + symbol)
+def histories(symbols: np.ndarray, edges: np.ndarray, depth: int) -> list[np.ndarray]:
+    """For each length up to ``depth`` the key of the context before every symbol; 0 where the text is too short."""
+    out = []
+    for key in grams(symbols, edges, depth):
+        before = np.zeros(len(symbols), dtype=U64)
+        before[1:] = key[:-1]
+        before[edges[:-1]] = 0
+        out.append(before)
+    return out
 
 
 def held_out(doc_id, folds: int = FOLDS):
@@ -87,200 +105,289 @@ class Table:
         return np.where(self.keys[at] == keys, self.order[at], -1)
 
 
-def _counts(texts: DataFrame, shared, depth: int) -> DataFrame:
-    """``context``, ``symbol``, ``times`` over the training texts: words alone at depth 0, else the frequent symbols in the
-    contexts of one length that may enter the tree."""
+class Bitmap:
+    """Tells which keys are surely not in a table."""
+
+    def __init__(self, keys: DataFrame):
+        """``keys`` has one column, ``gram``."""
+        self.rows = keys.count()
+        self.bits = min(BITS, max(10, (16 * self.rows).bit_length()))
+        placed = keys.select(F.shiftrightunsigned("gram", 64 - self.bits).alias("place"))
+        bit = placed.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+        found = _columns(bit.groupBy("word").agg(F.bit_or("bit").alias("bit")))
+        self.words = np.zeros(1 << (self.bits - 6), dtype=U64)
+        self.words[found["word"].astype(np.int64)] = found["bit"]
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key may be in the table."""
+        place = keys >> U64(64 - self.bits)
+        return (self.words[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) > 0
+
+
+def _counts(texts: DataFrame, shared, length: int) -> DataFrame:
+    """``context``, ``lower``, ``times`` of the grams of a length that may be frequent in the training texts; all words, as
+    ``symbol``, at length 1."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-        if depth:
-            contexts, symbols_known = Table(shared.value[0]), Table(shared.value[1])
+        held: list[tuple[np.ndarray, ...]] = []
 
         def merged():
-            context, symbol, times = (np.concatenate([x[i] for x in held]) for i in range(3))
-            key = joint(context, symbol) if depth else symbol
+            context, lower, times = (np.concatenate([x[i] for x in held]) for i in range(3))
+            key = joint(context, lower) if length > 1 else lower
             found, first, place = np.unique(key, return_index=True, return_inverse=True)
-            return context[first], symbol[first], np.bincount(place, weights=times, minlength=len(found)).astype(np.int64)
+            return context[first], lower[first], np.bincount(place, weights=times, minlength=len(found)).astype(np.int64)
 
-        def rows(context, symbol, times) -> pa.RecordBatch:
-            arrays = [pa.array(context.view(np.int64)), pa.array(symbol.view(np.int64)), pa.array(times)]
-            return pa.RecordBatch.from_arrays(arrays, ["context", "symbol", "times"])
+        def rows(context, lower, times) -> Iterator[pa.RecordBatch]:
+            arrays = [pa.array(context.view(np.int64)), pa.array(lower.view(np.int64)), pa.array(times)]
+            whole = pa.RecordBatch.from_arrays(arrays, ["context", "lower", "times"])
+            return (whole.slice(start, PASSED) for start in range(0, len(times), PASSED))
 
+        size = 0
         for batch in pieces(batches, limit=SLICE):
             symbols, edges = sequences(batch.column(0).to_pylist())
-            if depth:
-                context = histories(symbols, edges, depth)[-1]
-                some = np.flatnonzero(symbols_known.find(symbols) >= 0)
-                some = some[contexts.find(context[some]) >= 0]
-                context, symbols = context[some], symbols[some]
+            if length > 1:
+                lower = grams(symbols, edges, length - 1)[-1]
+                context = histories(symbols, edges, length - 1)[-1]
+                some = np.flatnonzero(context)
+                likely = shared.value.maybe(lower)
+                some = some[likely[some] & likely[some - 1]]
+                context, lower = context[some], lower[some]
             else:
-                context = np.zeros(len(symbols), dtype=U64)
-            held.append((context, symbols, np.ones(len(symbols), dtype=np.int64)))
-            held = [merged()]
-            size = len(held[0][0])
+                context, lower = np.zeros(len(symbols), dtype=U64), symbols
+            held.append((context, lower, np.ones(len(lower), dtype=np.int64)))
+            size += len(lower)
             if size > HELD:
-                yield rows(*held[0])
-                held = []
+                held = [merged()]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield from rows(*held[0])
+                    held, size = [], 0
         if held:
-            yield rows(*held[0])
+            yield from rows(*merged())
+
+    counted = texts.mapInArrow(run, "context long, lower long, times long")
+    if length == 1:
+        return counted.groupBy(F.col("lower").alias("symbol")).agg(F.sum("times").alias("times"))
+    return counted.groupBy("context", "lower").agg(F.sum("times").alias("times"))
+
 
-    counted = texts.mapInArrow(run, "context long, symbol long, times long")
-    keys = ["context", "symbol"] if depth else ["symbol"]
-    return counted.groupBy(*keys).agg(F.sum("times").alias("times"))
+def _keyed(counted: DataFrame) -> DataFrame:
+    """The key of each gram beside its parts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, lower = (batch.column(n).to_numpy().view(U64) for n in ("context", "lower"))
+            yield pa.RecordBatch.from_arrays([pa.array(joint(context, lower).view(np.int64)), *batch.columns], ["gram", *batch.schema.names])
+
+    return counted.select("context", "lower", "times").mapInArrow(run, "gram long, context long, lower long, times long")
 
 
 class Tree:
-    """The contexts kept, by depth, with the log10 probabilities of their stored symbols and what is left for the parent."""
+    """Contexts by depth, with the log10 probabilities of their stored symbols and what is left for the parent."""
 
     def __init__(self, words: np.ndarray, word_logs: np.ndarray, rest: float):
         self.words, self.word_logs, self.unknown = Table(words), word_logs, rest
         self.depths: list[tuple[Table, np.ndarray, Table, np.ndarray]] = []
 
-    def _parents(self, depth: int, histories_at: list[np.ndarray], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the weight of the root and of the symbol where it is stored (else NaN), from contexts up to a depth."""
+    def score(self, histories_at: list[np.ndarray], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each symbol the log10 factor before its frequency at the root, and the whole log10 probability if it is
+        stored in a context (else NaN)."""
         total = np.zeros(len(symbols))
         open_ = np.ones(len(symbols), dtype=bool)
         log = np.full(len(symbols), np.nan)
-        for d in range(depth - 1, -1, -1):
+        keys = [symbols]
+        for history in histories_at:
+            keys.append(joint(history, keys[-1]))
+        for d in range(len(self.depths) - 1, -1, -1):
             contexts, rests, stored, logs = self.depths[d]
             found = contexts.find(histories_at[d])
             inside = np.flatnonzero(open_ & (found >= 0))
-            if not len(inside):
-                continue
-            place = stored.find(joint(histories_at[d][inside], symbols[inside]))
+            place = stored.find(keys[d + 1][inside])
             hit = place >= 0
             log[inside[hit]] = total[inside[hit]] + logs[place[hit]]
             open_[inside[hit]] = False
-            miss = inside[~hit]
-            total[miss] += rests[found[miss]]
+            total[inside[~hit]] += rests[found[inside[~hit]]]
         return total, log
 
-    def score(self, histories_at: list[np.ndarray], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each symbol the log10 factor before its frequency at the root, and the whole log10 probability if it is
-        stored in a context (else NaN)."""
-        return self._parents(len(self.depths), histories_at, symbols)
-
     def root(self, symbols: np.ndarray) -> np.ndarray:
-        """log10 of the smoothed frequencies of the words that were broadcast, else NaN."""
+        """log10 of the smoothed frequencies of the words here, else NaN."""
         place = self.words.find(symbols)
         return np.where(place >= 0, self.word_logs[place] if len(self.word_logs) else np.nan, np.nan)
 
 
-def _grow(tree: Tree, depth: int, rows: list[dict[str, np.ndarray]], sizes: dict[int, int], chains: dict[int, tuple], tokens: int) -> None:
-    """Test the contexts of one length and keep those that gain. ``chains``: the keys of a context and of its suffixes."""
-    context, symbol, times = rows["context"], rows["symbol"], rows["times"].astype(float)
-    order = np.argsort(context, kind="stable")
-    context, symbol, times = context[order], symbol[order], times[order]
-    own = np.array([sizes[c] for c in context.tolist()], dtype=float)
-    above = [np.array([chains[c][d] for c in context.tolist()], dtype=U64) for d in range(depth)]
-    weight, stored = tree._parents(depth - 1, above, symbol)
-    parent = np.where(np.isnan(stored), weight + tree.root(symbol), stored)
-    share = times / own
-    starts = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, dtype=int)
-    gain = np.add.reduceat(times * (np.log10(share) - parent), starts) if len(starts) else np.zeros(0)
-    held = np.add.reduceat(share, starts) if len(starts) else np.zeros(0)
-    count = np.diff(np.append(starts, len(context)))
-    kept = gain >= 0.5 * np.log10(max(tokens, 10)) * count
-    rests = 1.0 - held * own[starts] / (own[starts] + PRIOR)
-    each = np.repeat(kept, count)
-    rest_each = np.repeat(rests, count)
-    logs = np.log10(times / (own + PRIOR) + rest_each * 10.0**parent)[each]
-    tree.depths.append(
-        (Table(context[starts][kept]), np.log10(rests[kept]), Table(joint(context[each], symbol[each])), logs)
-    )
-
-
 def _columns(df: DataFrame) -> dict[str, np.ndarray]:
-    """A bounded table of longs on the driver."""
+    """A bounded table of longs and doubles on the driver."""
     table = df.toArrow()
-    return {n: table.column(n).to_numpy().view(U64 if n != "times" else np.int64) for n in table.column_names}
+    out = {n: table.column(n).to_numpy() for n in table.column_names}
+    return {n: x.view(U64) if x.dtype == np.int64 and n != "times" else x for n, x in out.items()}
 
 
-def fit(docs: DataFrame) -> tuple[Tree, DataFrame, int, int]:
-    """The tree, the words with their counts (``symbol``, ``times``), the number of training tokens and of distinct ones."""
+class Model(NamedTuple):
+    """``words``: ``symbol``, ``times``; the number of training tokens and of distinct ones. For each length from 2,
+    ``stored``: ``gram``, ``context``, ``times``, ``log``, ``own`` (log10 of the value without the last term), ``kept``; and
+    ``contexts`` in the tree: ``context``, ``rest``, ``own``."""
+
+    words: DataFrame
+    tokens: int
+    distinct: int
+    stored: list[DataFrame]
+    contexts: list[DataFrame]
+
+    @property
+    def base(self) -> float:
+        return self.tokens + ADD * (self.distinct + 1)
+
+    @property
+    def often(self) -> float:
+        """The occurrences from which a word is broadcast."""
+        return max(1.0, WORD_SHARE * self.tokens)
+
+
+def learn(docs: DataFrame) -> Model:
+    """Count the rows that are not held out, and test all contexts of up to ``DEPTH`` words."""
     spark = docs.sparkSession
     texts = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
-    words = written(_counts(texts, None, 0), "words")
+    words = written(_counts(texts, None, 1), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
-    base = tokens + ADD * (distinct + 1)
-    frequent = _columns(words.where(F.col("times") >= max(1.0, WORD_SHARE * tokens)).orderBy(F.desc("times"), "symbol").limit(int(1 / WORD_SHARE)))
-    tree = Tree(frequent["symbol"], np.log10((frequent["times"] + ADD) / base), float(np.log10(ADD / base)))
-    least = max(LEAST, SYMBOL_SHARE * tokens)
-    usual = frequent["times"] >= least
-    symbols = frequent["symbol"][usual]
-    often = max(LEAST, CONTEXT_SHARE * tokens)
-    heads = (frequent["times"] >= often) & (frequent["symbol"] != END)
-    # A context of one word; its key, its size, and the keys of its suffixes.
-    keys = mix(frequent["symbol"][heads])
-    sizes = dict(zip(keys.tolist(), frequent["times"][heads].tolist()))
-    chains = {k: (k,) for k in sizes}
-    spelled = {k: (w,) for k, w in zip(keys.tolist(), frequent["symbol"][heads].tolist())}
-    for depth in range(1, DEPTH + 1):
-        if not sizes:
+    model = Model(words, tokens, distinct, [], [])
+    last = words.where(F.col("times") >= LEAST).select(
+        F.col("symbol").alias("gram"), "times", F.log10((F.col("times") + ADD) / model.base).alias("log")
+    )
+    cost = 0.5 * float(np.log10(max(tokens, 10)))
+    for length in range(2, DEPTH + 2):
+        known = Bitmap(last.select("gram"))
+        if not known.rows:
             break
-        shared = spark.sparkContext.broadcast((np.array(list(sizes), dtype=U64), symbols))
-        found = _counts(texts, shared, depth).where(F.col("times") >= least)
-        rows = _columns(written(found, "contexts"))
-        _grow(tree, depth, rows, sizes, chains, tokens)
-        sizes, chains, spelled = _longer(rows, spelled, often)
-    return tree, words, tokens, distinct
-
-
-def _longer(rows: dict[str, np.ndarray], spelled: dict[int, tuple], often: float) -> tuple[dict, dict, dict]:
-    """The contexts one word longer that are frequent: their sizes, suffix keys and words, oldest first."""
-    sizes, chains, words = {}, {}, {}
-    for context, symbol, times in zip(rows["context"].tolist(), rows["symbol"].tolist(), rows["times"].tolist()):
-        if times < often or symbol == int(END):
-            continue
-        sequence = (*spelled[context], symbol)
-        key = np.zeros(1, dtype=U64)
-        chain = []
-        for word in reversed(sequence):
-            key = mix(key * _STEP[0] + np.array([word], dtype=U64))
-            chain.append(int(key[0]))
-        sizes[chain[-1]], chains[chain[-1]], words[chain[-1]] = times, tuple(chain), sequence
-    return sizes, chains, words
+        shared = spark.sparkContext.broadcast(known)
+        counted = _counts(texts, shared, length).where(F.col("times") >= LEAST)
+        found = written(_keyed(counted), "grams")
+        above = last.select(F.col("gram").alias("context"), F.col("times").alias("size"))
+        below = last.select(F.col("gram").alias("lower"), F.col("log").alias("parent"))
+        joined = written(found.join(above, "context").join(below, "lower").drop("lower"), "joined")
+        tested = joined.groupBy("context").agg(
+            F.first("size").alias("size"),
+            F.sum("times").alias("held"),
+            F.sum(F.col("times") * (F.log10(F.col("times") / F.col("size")) - F.col("parent"))).alias("gain"),
+            F.count("*").alias("symbols"),
+        )
+        kept = tested.where(F.col("gain") >= cost * F.col("symbols"))
+        rest = F.log10(1 - F.col("held") / (F.col("size") + PRIOR))
+        contexts = written(kept.select("context", "size", rest.alias("rest")), "contexts")
+        smooth = F.log10(F.col("times") / (F.col("size") + PRIOR) + F.pow(F.lit(10.0), F.col("rest") + F.col("parent")))
+        stored = joined.join(contexts.drop("size"), "context", "left").withColumn("kept", F.col("rest").isNotNull())
+        stored = stored.withColumn("log", F.when(F.col("kept"), smooth).otherwise(F.col("parent")))
+        own = F.when(F.col("kept"), F.col("log") - F.col("parent") - F.col("rest")).otherwise(0.0)
+        stored = written(stored.select("gram", "context", "times", "log", own.alias("own"), "kept"), "stored")
+        model.stored.append(stored)
+        model.contexts.append(contexts)
+        last = stored
+    return model
+
+
+def fit(docs: DataFrame) -> tuple[Tree, DataFrame, int, int]:
+    """The usual part of the tree, the words with their counts (``symbol``, ``times``), the number of training tokens and of
+    distinct ones. The tree is the whole one if no length has more than ``USUAL`` grams."""
+    model = learn(docs)
+    tree = Tree(*_usual_words(model), float(np.log10(ADD / model.base)))
+    for stored, contexts in zip(model.stored, model.contexts):
+        often = _usual_from(stored)
+        heads = _columns(contexts.where(F.col("size") >= often).select("context", "rest"))
+        logs = _columns(stored.where(F.col("kept") & (F.col("times") >= often)).select("gram", "log"))
+        tree.depths.append((Table(heads["context"]), heads["rest"], Table(logs["gram"]), logs["log"]))
+    return tree, model.words, model.tokens, model.distinct
+
+
+def _usual_from(grams: DataFrame) -> int:
+    """The least ``times`` of which there are at most ``USUAL`` rows or more frequent ones."""
+    times = _columns(grams.groupBy("times").agg(F.count("*").alias("rows")).orderBy(F.desc("times")))
+    fit = int((np.cumsum(times["rows"].astype(np.int64)) <= USUAL).sum())
+    if fit:
+        return int(times["times"][fit - 1])
+    return int(times["times"].max(initial=0)) + 1
+
+
+def _usual_words(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The words that are broadcast and the log10 of their frequencies."""
+    usual = _columns(model.words.where(F.col("times") >= model.often))
+    return usual["symbol"], np.log10((usual["times"] + ADD) / model.base)
+
+
+def values(model: Model) -> DataFrame:
+    """``gram``, ``word`` (whether it is one), ``times``, ``base`` (of words) and ``value`` of every gram that adds to a score."""
+    base = F.log10((F.col("times") + ADD) / model.base)
+    words = model.words.select(F.col("symbol").alias("gram"), F.lit(True).alias("word"), "times", base.alias("base"), base.alias("own"))
+    longer = [s.select("gram", F.lit(False).alias("word"), "times", F.lit(0.0).alias("base"), "own") for s in model.stored]
+    parts = []
+    for part, contexts in zip([words, *longer], [*model.contexts, None]):  # those one longer
+        value = F.col("own")
+        if contexts is not None:
+            part = part.join(contexts.select(F.col("context").alias("gram"), "rest"), "gram", "left")
+            value = value + F.coalesce("rest", F.lit(0.0))
+        parts.append(part.select("gram", "word", "times", "base", value.alias("value")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part.where("value <> 0"))
+    return written(whole, "values")
+
+
+class Usual(NamedTuple):
+    """What is broadcast to score: a bitmap of all grams, and the usual ones."""
+
+    known: Bitmap
+    words: np.ndarray  # in order, as grams are
+    word_bases: np.ndarray
+    word_values: np.ndarray
+    grams: np.ndarray
+    gram_values: np.ndarray
 
 
 _PART = (
     "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
-    "rare array<struct<symbol: long, times: int>>"
+    "rare array<struct<gram: long, times: int>>"
 )
 
 
 def _scored(texts: DataFrame, shared) -> DataFrame:
-    """The part of every score that the broadcast tree and words give, and the other words of the text."""
+    """The part of every score that the broadcast grams give, and the other grams of the text that may be known."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        usual = shared.value
         for batch in pieces(batches, limit=SLICE):
             n = batch.num_rows
             symbols, edges = sequences(batch.column(2).to_pylist())
             owner = np.repeat(np.arange(n), np.diff(edges))
-            weight, stored = tree.score(histories(symbols, edges, len(tree.depths)), symbols)
-            root = tree.root(symbols)
-            rare = np.isnan(root)
-            base = np.where(rare, 0.0, root)
-            score = np.where(np.isnan(stored), weight + base, stored)
-
-            def total(values):
-                return np.bincount(owner, weights=values, minlength=n)
-
-            pair = np.rec.fromarrays([owner[rare], symbols[rare]], names="owner,symbol")
-            distinct, times = np.unique(pair, return_counts=True)
-            cuts = np.searchsorted(distinct.owner, np.arange(n + 1))
+            known, base, score = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n)
+            rare_owner, rare_gram = [], []
+            for length, keys in enumerate(grams(symbols, edges, DEPTH + 1), 1):
+                some = np.flatnonzero(usual.known.maybe(keys) & ((keys != 0) | (length == 1)))
+                held, value = (usual.words, usual.word_values) if length == 1 else (usual.grams, usual.gram_values)
+                place = np.searchsorted(held, keys[some])
+                hit = place < len(held)
+                hit[hit] = held[place[hit]] == keys[some[hit]]
+                who, place = owner[some[hit]], place[hit]
+                if length == 1:
+                    known = np.bincount(who, minlength=n)
+                    base += np.bincount(who, weights=usual.word_bases[place], minlength=n)
+                score += np.bincount(who, weights=value[place], minlength=n)
+                rare_owner.append(owner[some[~hit]])
+                rare_gram.append(keys[some[~hit]])
+            who, gram = np.concatenate(rare_owner), np.concatenate(rare_gram)
+            order = np.lexsort((gram, who))
+            who, gram = who[order], gram[order]
+            fresh = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (gram[1:] != gram[:-1]))) if len(who) else np.zeros(0, dtype=int)
+            times = np.diff(np.append(fresh, len(who)))
+            cuts = np.searchsorted(who[fresh], np.arange(n + 1))
             items = pa.StructArray.from_arrays(
-                [pa.array(distinct.symbol.view(np.int64)), pa.array(times.astype(np.int32))], ["symbol", "times"]
+                [pa.array(gram[fresh].view(np.int64)), pa.array(times.astype(np.int32))], ["gram", "times"]
             )
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array(np.diff(edges)),
-                    pa.array(total(~rare).astype(np.int64)),
-                    pa.array(total(base)),
-                    pa.array(total(score)),
+                    pa.array(known.astype(np.int64)),
+                    pa.array(base),
+                    pa.array(score),
                     pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), items),
                 ],
                 ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
@@ -299,30 +406,36 @@ def score_texts(docs: DataFrame) -> DataFrame:
     Without training rows every token has probability 1 at the root. Other columns are not looked at; an empty table gives an
     empty result.
     """
-    tree, words, tokens, distinct = fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    model = learn(docs)
+    whole = values(model)
+    least = _usual_from(whole.where(~F.col("word")))
+    often = F.col("times") >= F.when(F.col("word"), model.often).otherwise(least)
+    words = _columns(whole.where(F.col("word") & often).select("gram", "base", "value"))
+    grams_ = _columns(whole.where(~F.col("word") & often).select("gram", "value"))
+    order, order_ = np.argsort(words["gram"]), np.argsort(grams_["gram"])
+    tables = [words[n][order] for n in ("gram", "base", "value")] + [grams_[n][order_] for n in ("gram", "value")]
+    shared = docs.sparkSession.sparkContext.broadcast(Usual(Bitmap(whole.select("gram")), *tables))
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         held_out(F.col("doc_id")).alias("held_out"),
         F.col("text").cast("string").alias("text"),
     )
     part = written(_scored(texts, shared).withColumn("row_id", F.monotonically_increasing_id()), "parts")
-    base = tokens + ADD * (distinct + 1)
-    rare = part.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.symbol", F.col("r.times").alias("held"))
-    below = words.where(F.col("times") < max(1.0, WORD_SHARE * tokens) if tokens else F.lit(False))
-    looked = rare.join(below, "symbol", "left")
-    times = F.coalesce("times", F.lit(0))
+    rare = part.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.gram", F.col("r.times").alias("held"))
+    looked = rare.join(whole.where(~often).select("gram", "word", "base", "value"), "gram")
     sums = looked.groupBy("row_id").agg(
-        F.sum(F.col("held") * F.log10((times + ADD) / base)).alias("more"),
-        F.sum(F.when(times > 0, F.col("held")).otherwise(0)).alias("seen"),
+        F.sum(F.col("held") * F.col("base")).alias("more_base"),
+        F.sum(F.col("held") * F.col("value")).alias("more"),
+        F.sum(F.when(F.col("word"), F.col("held")).otherwise(0)).alias("seen"),
     )
-    more = F.coalesce("more", F.lit(0.0))
+    n_known = F.col("known") + F.coalesce("seen", F.lit(0))
+    unknown = (F.col("n_tokens") - n_known) * float(np.log10(ADD / model.base))
     return part.drop("rare").join(sums, "row_id", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        n_known.cast("long").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + unknown).alias("base_score"),
+        (F.col("score") + F.coalesce("more", F.lit(0.0)) + unknown).alias("score"),
     )
