@@ -127,3 +127,16 @@ def test_words_hash_alike_wherever_they_stand(monkeypatch):
     monkeypatch.setattr(words, "SLAB", 64)
     cut, cut_edges = batch_words(texts)
     assert cut_edges.tolist() == edges.tolist() and cut[0] == plain[0]
+
+
+def test_frequent_shingles_link_sets_of_unlike_sizes():
+    import numpy as np
+
+    from turnwise.llm.ngram_jaccard import set_signatures
+    from turnwise.llm.words import seeds
+
+    large = np.sort(seeds(200, 9))
+    for seed in range(20):  # half of the set is similar at 50 percent
+        small = np.sort(np.random.default_rng(seed).permutation(large)[:100])
+        found = [set_signatures(len(x), np.full(len(x), 1000), x, 50) for x in (small, large)]
+        assert len(np.intersect1d(*found))

@@ -40,7 +40,7 @@ FREQUENT = 64  # a shingle in more documents than this belongs to the frequent c
 CLASS_SHARE = 0.1  # frequent classes per shingle of a set
 BLOCK_TOKENS = 1 << 19
 BLOCK_NODES = 1 << 10
-GROWTH = 1.25  # of the sizes in a band; at least 100 / percent
+GROWTH = 1.25  # of the sizes in a band, or 100 / percent if that is more
 
 
 def need(n, percent: int):
@@ -274,9 +274,10 @@ def set_signatures(n: int, counts: np.ndarray, tokens: np.ndarray, percent: int)
     remaining -= len(singles)
     if remaining > 0:
         often = tokens[rare:]
-        band = int(math.log(n) / math.log(GROWTH))
+        growth = max(GROWTH, 100 / percent)  # similar sets lie at most one band apart
+        band = int(math.log(n) / math.log(growth))
         for label in (band, band + 1):
-            classes = max(1, int(GROWTH**label * CLASS_SHARE))
+            classes = max(1, int(growth**label * CLASS_SHARE))
             kind = (often >> U64(7)) % U64(classes)
             seen = np.zeros(len(often), dtype=bool)
             seen[np.unique(kind, return_index=True)[1]] = True
