@@ -9,7 +9,7 @@ from turnwise.plans import (
     TextLoader,
     VectorModel,
 )
-from turnwise.session import configure, local_session
+from turnwise.session import configure, local_session, release, scratch
 
 __all__ = [
     "ConceptModel",
@@ -21,4 +21,6 @@ __all__ = [
     "VectorModel",
     "configure",
     "local_session",
+    "release",
+    "scratch",
 ]
