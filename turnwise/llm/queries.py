@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.byte_bpe import round_trip_digests
 from turnwise.llm.chunk_dedup import repeated_spans
+from turnwise.llm.jump_shards import shard_documents, shard_sql
 from turnwise.llm.maxscore import maxscore_search
 from turnwise.llm.ngram_jaccard import ngram_jaccard_join
 from turnwise.llm.packing import pack
@@ -108,3 +109,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_jump_shards"] = shard_sql()
