@@ -15,6 +15,7 @@ from turnwise.llm.maxscore import maxscore_search
 from turnwise.llm.ngram_jaccard import ngram_jaccard_join
 from turnwise.llm.packing import pack
 from turnwise.llm.prefix_forest import prefix_forest_search
+from turnwise.llm.source_divergence import source_divergence, source_divergence_sql
 from turnwise.llm.suffix_tree_lm import score_texts
 from turnwise.llm.tool_calls import SCHEMAS, conversation_calls, format_tool_calls
 from turnwise.llm.toxicity import toxicity
@@ -111,6 +112,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_source_divergence"] = source_divergence_sql()
+
+
 @query
 def op13_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
