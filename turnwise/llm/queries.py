@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.byte_bpe import round_trip_digests
 from turnwise.llm.chunk_dedup import repeated_spans
+from turnwise.llm.conversation_repair import audit_conversations, audit_sql, damaged
 from turnwise.llm.jump_shards import shard_documents, shard_sql
 from turnwise.llm.maxscore import maxscore_search
 from turnwise.llm.ngram_jaccard import ngram_jaccard_join
@@ -112,6 +113,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return audit_conversations(conversations, damaged(conversations))
+
+
+ORACLE["op11_conversation_repair"] = audit_sql()
+
+
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
