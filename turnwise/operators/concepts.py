@@ -335,32 +335,6 @@ def concept_vectors_all(base: DataFrame, similarity: DataFrame) -> DataFrame:
     )
 
 
-def sparse_similarity(vectors: DataFrame, *, brief: bool = False) -> DataFrame:
-    """Turn similarity from long concept vectors of any width (all terms as key terms)."""
-    entry = F.struct("term", "value")
-    turns = vectors.groupBy("conv_id", "turn").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("values"),
-        F.sqrt(F.sum(F.col("value") ** 2)).alias("norm"),
-    )
-    units = turns.select(
-        "conv_id", "turn", F.transform_values("values", lambda _, x: x / F.col("norm")).alias("unit")
-    )
-    shared = F.map_zip_with(
-        "a.unit", "b.unit", lambda _, x, y: F.coalesce(x * y, F.lit(0.0))
-    )
-    cosine = F.aggregate(F.map_values(shared), F.lit(0.0), lambda s, p: s + p)
-    return (
-        turn_pairs(units, ["unit"], brief=brief)
-        .select(
-            "conv_id",
-            F.col("a.turn").alias("row_turn"),
-            F.col("b.turn").alias("col_turn"),
-            cosine.alias("similarity"),
-        )
-        .filter("similarity != 0")
-    )
-
-
 def term_overlap(base: DataFrame, lists: DataFrame) -> DataFrame:
     """``conv_id, row_turn, col_turn, n_terms``: key terms two turns share, where there are any."""
     held = attach(base, lists).select(

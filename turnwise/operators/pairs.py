@@ -118,12 +118,14 @@ def pairwise_similarity(
         F.col("b.turn").alias("col_turn"),
         dot("a.unit", "b.unit", dims).alias("similarity"),
     ).filter("similarity != 0")
-    if not diagonal:
-        return cells
-    same = units.select(
+    return cells.unionByName(own_cells(units)) if diagonal else cells
+
+
+def own_cells(units: DataFrame) -> DataFrame:
+    """The cells of each turn with itself."""
+    return units.select(
         "conv_id",
         F.col("turn").alias("row_turn"),
         F.col("turn").alias("col_turn"),
         F.lit(1.0).alias("similarity"),
     )
-    return cells.unionByName(same)

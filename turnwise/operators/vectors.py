@@ -6,11 +6,18 @@ the words' unit vectors, so words are summed first and no term-by-term table is
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.text import TextFunction, tokens
-from turnwise.operators.ordering import attach, place
+from turnwise.operators.cells import WIDTH, in_cells, lists, matrix, meet
+from turnwise.operators.ordering import attach, block_of, place
 from turnwise.operators.pairs import dot, dot_arrays, unit_vectors
 
 # A vector table of at most this many numbers (64 MB as floats) goes to every executor.
@@ -109,3 +116,140 @@ def feature_arrays(
     known = keyed.withColumn("by_rank", by_rank)
     values = F.transform(F.sequence(F.lit(1), F.lit(n_terms)), value)
     return known.select("conv_id", "turn", values.alias("vector"))
+
+
+# ---------------------------------------------------------------- all terms as key terms
+
+# Terms per block of a conversation's vocabulary.
+TERM_BLOCK = 1024
+# Copies of the facts of a conversation where its terms look them up.
+TERM_SALTS = 64
+
+
+def known_words(base: DataFrame, word_vectors: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """``conv_id, [block,] turn, term, unit``: the different words of each turn that have a vector."""
+    return look_up(_turn_words(base), unit_vectors(word_vectors.select("term", "vector")), shape)
+
+
+def term_blocks(words: DataFrame) -> DataFrame:
+    """``conv_id, term, unit, block, blocks``: the vocabulary of each conversation in blocks by a hash of the term."""
+    terms = words.select("conv_id", "term", "unit").dropDuplicates(["conv_id", "term"])
+    sizes = terms.groupBy("conv_id").agg(F.expr(f"count(*) div {TERM_BLOCK} + 1").alias("blocks"))
+    salted = terms.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(TERM_SALTS)))
+    return attach(salted, sizes).withColumn("block", F.pmod(F.xxhash64("term", F.lit(7)), F.col("blocks")))
+
+
+def _cosines(cell: pa.Table, dims: int) -> Iterator[pa.RecordBatch]:
+    own = cell["i"][0].as_py() == cell["j"][0].as_py()
+    side = cell["side"].to_numpy()
+    one = cell.filter(pa.array(side == 0))
+    other = one if own else cell.filter(pa.array(side == 1))
+    values = matrix(one["unit"], dims) @ matrix(other["unit"], dims).T
+    a = np.repeat(np.arange(len(one)), len(other))
+    b = np.tile(np.arange(len(other)), len(one))
+    keys, terms = one["term"].combine_chunks().take(pa.array(a)), other["term"].combine_chunks().take(pa.array(b))
+    conv = pa.array([cell["conv_id"][0].as_py()] * len(a), pa.int64())
+    names = ["conv_id", "key", "term", "similarity"]
+    for at in [(keys, terms)] if own else [(keys, terms), (terms, keys)]:
+        yield pa.RecordBatch.from_arrays([conv, *at, pa.array(values.ravel())], names=names)
+
+
+def term_similarity_all(words: DataFrame, dims: int) -> DataFrame:
+    """:func:`term_similarity` with every term as a key term: block against block of the vocabulary."""
+    schema = "conv_id bigint, key string, term string, similarity double"
+    rows = meet(term_blocks(words).withColumn("conv_id", F.col("conv_id").cast("bigint")))
+    return in_cells(rows, ["conv_id", "i", "j"], partial(_cosines, dims=dims), schema)
+
+
+def _features(cell: pa.Table, dims: int) -> Iterator[pa.RecordBatch]:
+    is_turn = pc.is_null(cell["term"])
+    turns, terms = cell.filter(is_turn), cell.filter(pc.invert(is_turn))
+    values = matrix(turns["unit"], dims) @ matrix(terms["unit"], dims).T
+    a, b = np.nonzero(values)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([cell["conv_id"][0].as_py()] * len(a), pa.int64()),
+            turns["turn"].combine_chunks().take(pa.array(a)),
+            terms["term"].combine_chunks().take(pa.array(b)),
+            pa.array(values[a, b]),
+        ],
+        names=["conv_id", "turn", "term", "value"],
+    )
+
+
+def features_all(words: DataFrame, dims: int) -> DataFrame:
+    """``conv_id, turn, term, value``: the feature vectors with every term as a key term; zero cells are absent.
+
+    Turns in blocks meet terms in blocks; a cell is one small matrix product.
+    """
+    sums = _summed(words, "unit", dims).select(
+        "conv_id", "turn", F.col("vector").alias("unit"), block_of("turn", WIDTH).alias("block")
+    )
+    terms = term_blocks(words)
+    term_sizes = terms.groupBy("conv_id").agg(F.first("blocks").alias("others"))
+    turn_sizes = sums.groupBy("conv_id").agg((F.max("block") + 1).alias("others"))
+    j = F.explode(F.expr("sequence(0L, others - 1)"))
+    left = attach(sums, term_sizes).select(
+        "conv_id", F.col("block").alias("i"), j.alias("j"), "turn", F.lit(None).cast("string").alias("term"), "unit"
+    )
+    right = attach(terms.drop("blocks"), turn_sizes).select(
+        "conv_id", j.alias("i"), F.col("block").alias("j"), F.lit(None).cast("bigint").alias("turn"), "term", "unit"
+    )
+    both = left.unionByName(right).withColumns({c: F.col(c).cast("bigint") for c in ("conv_id", "turn")})
+    schema = "conv_id bigint, turn bigint, term string, value double"
+    return in_cells(both, ["conv_id", "i", "j"], partial(_features, dims=dims), schema)
+
+
+def _grams(cell: pa.Table, dims: int) -> Iterator[pa.RecordBatch]:
+    units = matrix(cell["unit"], dims)
+    conv = pa.array([cell["conv_id"][0].as_py()], pa.int64())
+    yield pa.RecordBatch.from_arrays([conv, lists((units.T @ units).reshape(1, -1))], names=["conv_id", "gram"])
+
+
+def _roots(batches: Iterable[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    """Square root of the summed matrices of each conversation; one sum is held at a time."""
+
+    def done() -> pa.RecordBatch:
+        size, axes = np.linalg.eigh(total)
+        root = (axes * np.sqrt(np.maximum(size, 0.0))) @ axes.T
+        return pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), lists(root.reshape(1, -1))], names=["conv_id", "root"])
+
+    conv, total, begun = None, np.zeros((dims, dims)), False
+    for batch in batches:
+        ids = batch.column("conv_id").to_pylist()
+        values = matrix(pa.chunked_array([batch.column("gram")]), dims * dims)
+        for i, value in zip(ids, values):
+            if begun and i != conv:
+                yield done()
+                total = np.zeros((dims, dims))
+            conv, begun = i, True
+            total += value.reshape(dims, dims)
+    if begun:
+        yield done()
+
+
+def _turned(batches: Iterable[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        roots = matrix(pa.chunked_array([batch.column("root")]), dims * dims).reshape(-1, dims, dims)
+        sums = matrix(pa.chunked_array([batch.column("vector")]), dims)
+        turned = np.einsum("nij,nj->ni", roots, sums)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("conv_id"), batch.column("turn"), lists(turned)], names=["conv_id", "turn", "vector"]
+        )
+
+
+def arrays_all(words: DataFrame, dims: int) -> DataFrame:
+    """``conv_id, turn, vector``: vectors of ``dims`` numbers whose products are those of the all-terms feature vectors.
+
+    With U the unit vectors of a conversation's terms and s the sum of those of a turn, the feature vector is U s, and
+    products of feature vectors are s' (U'U) t. U'U is a small square matrix, summed over blocks of terms, and its
+    square root times s has the same products: the vocabulary is never a dimension.
+    """
+    blocks = term_blocks(words).drop("blocks").withColumn("conv_id", F.col("conv_id").cast("bigint"))
+    kind = "conv_id bigint, gram array<double>"
+    grams = in_cells(blocks, ["conv_id", "block"], partial(_grams, dims=dims), kind)
+    ordered = grams.repartition("conv_id").sortWithinPartitions("conv_id")
+    roots = ordered.mapInArrow(partial(_roots, dims=dims), "conv_id bigint, root array<double>")
+    sums = _summed(words, "unit", dims).withColumn("conv_id", F.col("conv_id").cast("bigint"))
+    met = attach(sums, roots).select("conv_id", F.col("turn").cast("bigint"), "vector", "root")
+    return met.mapInArrow(partial(_turned, dims=dims), "conv_id bigint, turn bigint, vector array<double>")

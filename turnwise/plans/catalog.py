@@ -584,10 +584,24 @@ def similarity_concept(spark, sf_dir):
     return rounded(concept_model(spark, sf_dir).conversation_similarity(), "similarity")
 
 
+def _all_terms_model(spark, sf_dir):
+    return ConceptModel(conversations(spark, sf_dir), "all", SENTENCE_WINDOW)
+
+
 @query
 def similarity_concept_all_terms(spark, sf_dir):
-    model = ConceptModel(conversations(spark, sf_dir), "all", SENTENCE_WINDOW)
-    return rounded(model.conversation_similarity(), "similarity")
+    return rounded(_all_terms_model(spark, sf_dir).conversation_similarity(), "similarity")
+
+
+@query
+def term_overlap_all_terms(spark, sf_dir):
+    return _all_terms_model(spark, sf_dir).term_overlap()
+
+
+@query
+def common_concepts_all_terms(spark, sf_dir):
+    found = _all_terms_model(spark, sf_dir).common_concepts()
+    return found.withColumn("concepts", text_of("concepts", ", "))
 
 
 @query
@@ -619,6 +633,20 @@ def similarity_vector(spark, sf_dir):
     return rounded(vector_model(spark, sf_dir).conversation_similarity(), "similarity")
 
 
+def _all_terms_vector_model(spark, sf_dir):
+    return VectorModel(conversations(spark, sf_dir), word_vectors(spark, sf_dir), "all")
+
+
+@query
+def feature_vectors_all_terms(spark, sf_dir):
+    return rounded(_all_terms_vector_model(spark, sf_dir).feature_vectors(), "value")
+
+
+@query
+def similarity_vector_all_terms(spark, sf_dir):
+    return rounded(_all_terms_vector_model(spark, sf_dir).conversation_similarity(), "similarity")
+
+
 @query
 def similarity_mean_vector(spark, sf_dir):
     data = conversations(spark, sf_dir)
@@ -653,6 +681,21 @@ def recurrence_embedding(spark, sf_dir):
     return rounded(_embedding_model(spark, sf_dir).all_topic_recurrences(), "score")
 
 
+@query
+def similarity_embedding_above(spark, sf_dir):
+    """Similar pairs of conversations of a thousand turns."""
+    rows = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id div 1000 AS conv_id", "vec_id % 1000 AS turn", "embedding", "cast(label AS string) AS speaker", "'' AS text"
+    )
+    model = EmbeddingModel(Conversations(rows, dense=True), rows, 64)
+    return rounded(model.conversation_similarity(threshold=0.3), "similarity")
+
+
+@query
+def similarity_concept_above(spark, sf_dir):
+    return rounded(concept_model(spark, sf_dir).conversation_similarity(threshold=0.4567), "similarity")
+
+
 # ---------------------------------------------------------------- recurrence
 
 
@@ -782,6 +825,14 @@ def texts_for_cells(spark, sf_dir):
     return tables_.texts(selected).select("conv_id", "turn", "speaker", "text")
 
 
+@query
+def texts_above_threshold(spark, sf_dir):
+    """The turns that are similar to another one, found without the table of all pairs."""
+    model = concept_model(spark, sf_dir)
+    tables_ = PlotTables.of_model(model.conversations, model, threshold=0.8765)
+    return tables_.texts(tables_.long.filter("x_index < y_index")).select("conv_id", "turn", "speaker", "text")
+
+
 @query
 def plot_groups(spark, sf_dir):
     return plot(spark, sf_dir).groups()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.text import TextFunction, default_stopwords, sentences, tokens
-from turnwise.operators import concepts, conversation, pairs, recurrence, terms, vectors
+from turnwise.operators import concepts, conversation, pairs, products, recurrence, similar, terms, vectors
 from turnwise.operators.ordering import all_brief
 from turnwise.operators.prepare import prepare_turns
 from turnwise.operators.recurrence import check_choice
@@ -245,11 +245,20 @@ class _VectorBacked:
         """Write the vectors down: small next to the texts, and read several times."""
         return lay_out(rows, ["conv_id"]) if self.brief else cut_lineage(rows)
 
-    def conversation_similarity(self, diagonal: bool = False) -> DataFrame:
-        """``conv_id, row_turn, col_turn, similarity``; zero cells are absent."""
-        return pairs.pairwise_similarity(
-            self.units, dims=self.dims, diagonal=diagonal, brief=self.brief
-        )
+    def conversation_similarity(self, diagonal: bool = False, threshold: float | None = None) -> DataFrame:
+        """``conv_id, row_turn, col_turn, similarity``; zero cells are absent.
+
+        With a ``threshold`` above 0 the pairs below it are absent, too, and mostly not formed.
+        """
+        if threshold is None or threshold <= 0:
+            cells = pairs.pairwise_similarity(self.units, dims=self.dims, diagonal=diagonal, brief=self.brief)
+            return cells if threshold is None else cells.filter(F.col("similarity") >= threshold)
+        cells = similar.similar_pairs(self.units, self.dims, threshold, brief=self.brief)
+        return cells.unionByName(pairs.own_cells(self.units)) if diagonal else cells
+
+    def pairs_formed(self, threshold: float) -> DataFrame:
+        """How many pairs :meth:`conversation_similarity` takes up: ``conv_id, pairs, formed, similar``."""
+        return similar.pairs_formed(self.units, self.dims, threshold, brief=self.brief)
 
     def topic_recurrences(
         self,
@@ -359,25 +368,31 @@ class ConceptModel(_VectorBacked):
             return concepts.concept_vectors_all(self.base, known)
         return concepts.concept_vectors(self.arrays, self.lists, brief=self.brief)
 
-    def conversation_similarity(self, diagonal: bool = False) -> DataFrame:
+    @_per_stopwords
+    def vectors_all(self) -> DataFrame:
+        """The concept vectors with every term as a key term, written down."""
+        return cut_lineage(self.concept_vectors())
+
+    def conversation_similarity(self, diagonal: bool = False, threshold: float | None = None) -> DataFrame:
         if self.key_terms != "all":
-            return super().conversation_similarity(diagonal)
-        vectors_all = self._keep(self.concept_vectors())
-        cells = concepts.sparse_similarity(vectors_all, brief=self.brief)
-        if not diagonal:
-            return cells
-        turns = vectors_all.select("conv_id", F.col("turn").alias("row_turn")).distinct()
-        return cells.unionByName(
-            turns.withColumn("col_turn", F.col("row_turn")).withColumn("similarity", F.lit(1.0))
-        )
+            return super().conversation_similarity(diagonal, threshold)
+        found = products.sparse_products(products.unit_entries(self.vectors_all))
+        cells = found.withColumnRenamed("value", "similarity").filter("similarity != 0")
+        if diagonal:
+            cells = cells.unionByName(pairs.own_cells(self.vectors_all.select("conv_id", "turn").distinct()))
+        return cells if threshold is None else cells.filter(F.col("similarity") >= threshold)
 
     def term_overlap(self) -> DataFrame:
-        return concepts.term_overlap(self.base, self.lists)
+        if self.key_terms != "all":
+            return concepts.term_overlap(self.base, self.lists)
+        shared = products.sparse_products(products.turn_terms(self.base))
+        return shared.select("conv_id", "row_turn", "col_turn", F.col("value").cast("bigint").alias("n_terms"))
 
     def common_concepts(self, n_concepts: int = 5) -> DataFrame:
-        return concepts.common_concepts(
-            self.units, self.lists, n_concepts, brief=self.brief
-        )
+        if self.key_terms != "all":
+            return concepts.common_concepts(self.units, self.lists, n_concepts, brief=self.brief)
+        found = products.sparse_products(products.unit_entries(self.vectors_all), n_concepts)
+        return found.select("conv_id", "row_turn", "col_turn", F.col("top").alias("concepts")).filter(F.size("concepts") > 0)
 
 
 class VectorModel(_VectorBacked):
@@ -385,21 +400,33 @@ class VectorModel(_VectorBacked):
 
     Args:
         word_vectors: ``term, vector``.
+        key_terms: number of top terms (by turns), an explicit sequence, or ``"all"``; with all terms the vectors the model
+            compares are as long as a word vector (``vectors.arrays_all``), not as the vocabulary.
     """
 
     def __init__(
         self,
         conversations: Conversations,
         word_vectors: DataFrame,
-        key_terms: int | Sequence[str] = 20,
+        key_terms: str | int | Sequence[str] = 20,
     ) -> None:
         terms.check_key_terms(key_terms)
-        if key_terms == "all":
-            raise ValueError("give a number of key terms or a sequence of them")
         self.conversations = conversations
         self.word_vectors = word_vectors
         self.key_terms = key_terms
-        self.dims = concepts.key_term_count(key_terms)
+
+    @cached_property
+    def shape(self) -> tuple[int, int]:
+        """Number of word vectors and numbers per vector."""
+        return vectors.vector_shape(self.word_vectors)
+
+    @property
+    def dims(self) -> int:
+        return self.shape[1] if self.key_terms == "all" else concepts.key_term_count(self.key_terms)
+
+    @property
+    def words(self) -> DataFrame:
+        return vectors.known_words(self.base, self.word_vectors, self.shape)
 
     @property
     def base(self) -> DataFrame:
@@ -410,10 +437,14 @@ class VectorModel(_VectorBacked):
         return cut_lineage(concepts.key_term_lists(self.base, self.key_terms))
 
     def term_similarity(self) -> DataFrame:
+        if self.key_terms == "all":
+            return vectors.term_similarity_all(self.words, self.dims)
         return vectors.term_similarity(self.base, self.lists, self.word_vectors)
 
     @_per_stopwords
     def arrays(self) -> DataFrame:
+        if self.key_terms == "all":
+            return self._keep(vectors.arrays_all(self.words, self.dims))
         return self._keep(vectors.feature_arrays(self.base, self.lists, self.word_vectors, self.dims))
 
     @_per_stopwords
@@ -421,6 +452,8 @@ class VectorModel(_VectorBacked):
         return pairs.unit_vectors(self.arrays)
 
     def feature_vectors(self) -> DataFrame:
+        if self.key_terms == "all":
+            return vectors.features_all(self.words, self.dims)
         return concepts.concept_vectors(self.arrays, self.lists, brief=self.brief)
 
 

@@ -311,6 +311,11 @@ COMMON = """common AS (
       WHERE a.x * b.x > 0)) WHERE r <= 5 GROUP BY ALL)"""
 ORACLE["common_concepts"] = f"""WITH {MODEL}, {COMMON}
 SELECT conv_id, i AS row_turn, j AS col_turn, concepts FROM common"""
+ORACLE["term_overlap_all_terms"] = f"""WITH {CHAIN}
+SELECT a.conv_id, a.turn AS row_turn, b.turn AS col_turn, count(*) AS n_terms
+FROM dt a JOIN dt b ON a.conv_id = b.conv_id AND a.term = b.term AND a.turn < b.turn GROUP BY ALL"""
+ORACLE["common_concepts_all_terms"] = f"""WITH {CHAIN}, {vector_chain('occ')}, {COMMON}
+SELECT conv_id, i AS row_turn, j AS col_turn, concepts FROM common"""
 
 # ---------------------------------------------------------------- vector models
 
@@ -331,6 +336,10 @@ SELECT conv_id, ti AS key, tj AS term, {rnd('s', 'similarity')} FROM vs"""
 ORACLE["feature_vectors"] = f"""WITH {CHAIN}, {VECTORS}
 SELECT conv_id, turn, k AS term, {rnd('x', 'value')} FROM v"""
 ORACLE["similarity_vector"] = f"WITH {CHAIN}, {VECTORS} {PAIRS}"
+ALL_VECTORS = VECTORS.replace("FROM kt JOIN occ ON occ.conv_id = kt.conv_id", "FROM occ kt JOIN occ ON occ.conv_id = kt.conv_id")
+ORACLE["feature_vectors_all_terms"] = f"""WITH {CHAIN}, {ALL_VECTORS}
+SELECT conv_id, turn, k AS term, {rnd('x', 'value')} FROM v"""
+ORACLE["similarity_vector_all_terms"] = f"WITH {CHAIN}, {ALL_VECTORS} {PAIRS}"
 ORACLE["similarity_mean_vector"] = f"""WITH {CHAIN}, {VECTORS},
 long AS (
   SELECT conv_id, turn, d, avg(vec[d + 1]) AS m
@@ -348,6 +357,8 @@ sim AS (
   FROM et a JOIN et b ON a.conv_id = b.conv_id AND a.turn < b.turn)"""
 ORACLE["similarity_embedding"] = f"WITH {EMBEDDED} {PAIRS}"
 ORACLE["similarity_embedding_renumbered"] = ORACLE["similarity_embedding"]
+ORACLE["similarity_embedding_above"] = f"WITH {EMBEDDED.replace('10', '1000')} {PAIRS} WHERE s >= 0.3"
+ORACLE["similarity_concept_above"] = f"WITH {MODEL} {PAIRS} WHERE s >= 0.4567"
 
 # ---------------------------------------------------------------- recurrence
 
@@ -477,5 +488,6 @@ ORACLE["texts_for_cells"] = f"""WITH {PLOT}
 SELECT conv_id, turn, speaker, text FROM tt WHERE EXISTS (
   SELECT 1 FROM long l WHERE l.conv_id = tt.conv_id AND tt.turn IN (l.x_index, l.y_index)
     AND l.x_index < l.y_index AND l.similarity >= 0.8765)"""
+ORACLE["texts_above_threshold"] = ORACLE["texts_for_cells"]
 ORACLE["plot_groups"] = f"""WITH {FULL}, g AS (SELECT DISTINCT conv_id, "group" FROM tiles)
 SELECT conv_id, "group", count(*) OVER (PARTITION BY conv_id) AS n_groups FROM g"""

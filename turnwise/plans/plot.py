@@ -35,6 +35,12 @@ class PlotTables:
         self.threshold = threshold
         self.tile_padding = tile_padding
 
+    @classmethod
+    def of_model(cls, conversations: Conversations, model, *, threshold: float | None = None, **options) -> PlotTables:
+        """The tables of a model's similarities; pairs below a threshold above 0 are mostly not even formed."""
+        cells = model.conversation_similarity(diagonal=True, threshold=threshold)
+        return cls(conversations, cells, threshold=threshold, **options)
+
     @cached_property
     def tiles(self) -> DataFrame:
         shown = layout.turns_in_similarity(self.conversations.turns, self.long)
