@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnwise.functions.keywords import available as keyword_automaton
+from turnwise.functions.keywords import keyword_hits
 from turnwise.functions.patterns import SearchPattern
 from turnwise.functions.text import binding, strip_spaces, strip_tags
 from turnwise.operators.ordering import block_of
+from turnwise.session import cut_lineage
 
 SORTS = ("text_id", "left_context", "right_context")
 HIT = (
@@ -260,13 +263,17 @@ def search_many(
 ) -> DataFrame:
     """:func:`search` for several keywords, with a ``keyword`` column.
 
-    Texts without any of the keywords are dropped first; each keyword is then one more projection
-    of the same row, so the texts are read once.
+    All literal keywords are found by one automaton that passes over a text once, however many there are. Regular
+    expressions are searched one by one, each a projection of the same row, in the texts that hold one of them.
     """
     text = F.col(options.pop("text", "text"))
     patterns = [SearchPattern(k, **options) for k in dict.fromkeys(keywords)]
     if not patterns:
         raise ValueError("no keywords given")
+    if window_width < 0:
+        raise ValueError("window_width must not be negative")
+    if not patterns[0].regex and keyword_automaton():
+        return df.select(*columns, F.inline(keyword_hits(patterns, window_width)(text)))
     hits = F.array(
         *[
             F.struct(
@@ -307,6 +314,12 @@ def sort_results(
     return results.withColumn("__key", first).orderBy("__key", *rest).drop("__key")
 
 
+# Rows from the start up to which a page is a plain top-k, and to which a far page's range is narrowed.
+NEAR_ROWS = 10_000
+# Splitters per pass over the keys of a far page.
+SPLITTERS = 16
+
+
 def result_page(
     results: DataFrame,
     page: int = 1,
@@ -314,13 +327,104 @@ def result_page(
     by: str = "text_id",
     ties: Sequence[str] = ("text_id", "match_no"),
 ) -> DataFrame:
-    """One page of the sorted results; near pages are a top-k, not a full sort."""
+    """One page of the sorted results. A near page is a top-k; a far one costs a few counts more, never a full sort.
+
+    For a far page the keys are written down. Sampled splitters cut them into ranges, counts tell in which range the page starts,
+    and the range is cut again until it is small: only that range is sorted, and no task holds the rows before it. Rows
+    that agree in the sort key and ``ties`` go by their other columns.
+    """
     if page < 1:
         raise ValueError("pages count from 1")
     skipped = (page - 1) * results_per_page
     first, *rest = sort_keys(by, ties)
-    keyed = results.withColumn("__key", first).orderBy("__key", *rest)
-    return keyed.offset(skipped).limit(results_per_page).drop("__key")
+    keyed = results.withColumn("__key", first)
+    if skipped + results_per_page <= NEAR_ROWS:
+        return keyed.orderBy("__key", *rest).offset(skipped).limit(results_per_page).drop("__key")
+    others = [c for c in results.columns if c not in ties]
+    order = F.struct("__key", *ties, *[F.col(f"`{c}`") for c in others])
+    rows = cut_lineage(keyed.select(*results.columns, order.alias("__order")))
+    return _page_at(rows, skipped, results_per_page).select(*results.columns)
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    """A value that was read from a row, as a literal of its type."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return F.array(*[_literal(v, kind.elementType) for v in value]).cast(kind)
+    return F.lit(value).cast(kind)
+
+
+def _page_at(rows: DataFrame, skipped: int, length: int) -> DataFrame:
+    """``length`` rows from position ``skipped`` on in the order of the column ``__order``."""
+    kind = rows.schema["__order"].dataType
+    order = F.col("__order")
+    inside, start, last = rows, 0, None  # the rows from position ``start`` on, before ``last``, in which the page begins
+    size = rows.count()
+    while size > NEAR_ROWS and skipped < start + size:
+        fraction = min(1.0, 16 * SPLITTERS / size)
+        drawn = sorted_sample(inside.select("__order").sample(fraction, seed=size), 64 * SPLITTERS)
+        if not drawn:
+            drawn = [inside.select("__order").first()["__order"]]
+        step = -(-len(drawn) // SPLITTERS)
+        splitters = [_literal(v, kind) for v in drawn[::step]]
+        counts = inside.agg(
+            *[F.count_if(order < s).alias(f"l{i}") for i, s in enumerate(splitters)],
+            *[F.count_if(order <= s).alias(f"u{i}") for i, s in enumerate(splitters)],
+        ).first()
+        below = [counts[f"l{i}"] for i in range(len(splitters))]
+        upto = [counts[f"u{i}"] for i in range(len(splitters))]
+        wanted = skipped - start
+        at = max((i for i in range(len(splitters)) if below[i] <= wanted), default=None)
+        if at is not None and wanted < upto[at]:  # the page starts among equal rows
+            equal = min(length, upto[at] - wanted)
+            found = rows.filter(order == splitters[at]).limit(equal)
+            if equal < length:
+                found = found.unionByName(rows.filter(order > splitters[at]).orderBy(order).limit(length - equal))
+            return found.orderBy(order)
+        following = next((i for i in range(len(splitters)) if below[i] > wanted), None)
+        end = size if following is None else below[following]
+        first = 0 if at is None else upto[at]
+        if at is not None:
+            inside = inside.filter(order > splitters[at])
+        if following is not None:
+            inside = inside.filter(order < splitters[following])
+        start, size = start + first, end - first
+        last = last if following is None else splitters[following]
+    found = inside.orderBy(order).offset(skipped - start).limit(length)
+    if last is None or skipped + length <= start + size:
+        return found
+    # The page runs over the end of the range: the rest is the least of what follows.
+    following = rows.filter(order >= last).orderBy(order).limit(skipped + length - start - size)
+    return found.unionByName(following).orderBy(order)
+
+
+def sorted_sample(keys: DataFrame, most: int) -> list:
+    """At most ``most`` keys of a small sample, in order."""
+    return [r["__order"] for r in keys.limit(most).orderBy("__order").collect()]
+
+
+def numbered_results(
+    results: DataFrame, by: str = "text_id", ties: Sequence[str] = ("text_id", "match_no"), *, name: str = "position"
+) -> DataFrame:
+    """The sorted results with their position, from 0.
+
+    The sort cuts the rows into ranges; their sizes give every range its first position. The number of ranges is that of
+    the shuffle's partitions, so the table of sizes is small.
+    """
+    first, *rest = sort_keys(by, ties)
+    ordered = results.withColumn("__key", first).orderBy("__key", *rest).drop("__key")
+    written = cut_lineage(ordered.withColumn("__id", F.monotonically_increasing_id()))
+    placed = written.withColumns(
+        {"__range": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("n"))
+    starts = sizes.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    numbered = placed.join(F.broadcast(starts), "__range")
+    return numbered.withColumn(name, F.col("__start") + F.col("__at")).drop("__id", "__range", "__at", "__start")
 
 
 # ---------------------------------------------------------------- chunks of tagged lines
@@ -449,6 +553,22 @@ def remove_tags(results: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- lines around a word
 
 
+# Bits that tell which lines stand near a hit: at most 2**20 numbers of 64 bits are broadcast.
+LINE_BITS = 1 << 26
+
+
+def _near_hits(lines: DataFrame, hits: DataFrame, reach: int, keys: Sequence[str], order: str) -> DataFrame:
+    """The lines within ``reach`` of a hit, and a few others that share a bit with one."""
+    place = F.pmod(F.xxhash64(*keys, order), F.lit(LINE_BITS))
+    word, bit = F.expr("__place div 64"), F.expr("cast(__place % 64 as int)")
+    near = hits.select(*keys, F.explode(F.sequence(F.col(order) - reach, F.col(order) + reach)).alias(order))
+    marks = near.select(place.alias("__place")).groupBy(word.alias("__word"))
+    marks = marks.agg(F.bit_or(F.expr("shiftleft(1L, cast(__place % 64 as int))")).alias("__bits"))
+    placed = lines.withColumn("__place", place).withColumn("__word", word)
+    met = placed.join(F.broadcast(marks), "__word").filter(F.call_function("getbit", "__bits", bit) == 1)
+    return met.drop("__place", "__word", "__bits")
+
+
 def line_context(
     lines: DataFrame,
     word: str,
@@ -461,10 +581,15 @@ def line_context(
 ) -> DataFrame:
     """Lines containing a word, with the lines before and after: ``order, before, line, after``.
 
-    Lines are numbered densely by ``order``. Each block of lines borrows ``context_length`` lines
-    from its neighbours, so a source of any size is searched in blocks.
+    Lines are numbered densely by ``order``. The hits are found in a first scan, and only lines near one leave the second:
+    a bitmap of the hashed places of the lines that are wanted, at most 8 MB, goes to every executor. These lines are
+    put together in blocks; each borrows ``context_length`` lines from its neighbours, so a source of any size
+    is searched in blocks, and a word that is nowhere moves no line.
     """
     width = max(width, context_length)
+    known = lines.select(*keys, F.col(order).cast("bigint").alias(order), F.col(text).alias("line"))
+    holds = F.contains("line", F.lit(word))
+    known = _near_hits(known, known.filter(holds), context_length, keys, order)
     near = F.lit(context_length)
     at = F.expr(f"cast(`{order}` % {width} as int)")
     block = block_of(order, width)
@@ -475,17 +600,15 @@ def line_context(
             F.when(at >= F.lit(width) - near, block + 1),
         )
     )
-    spread = lines.select(
-        *keys, order, F.col(text).alias("line"), block.alias("__own"), F.explode(homes).alias("__block")
-    )
+    spread = known.select(*keys, order, "line", block.alias("__own"), F.explode(homes).alias("__block"))
     window = Window.partitionBy(*keys, "__block").orderBy(order)
-    before = F.collect_list("line").over(window.rowsBetween(-context_length, -1))
-    after = F.collect_list("line").over(window.rowsBetween(1, context_length))
+    before = F.collect_list("line").over(window.rangeBetween(-context_length, -1))
+    after = F.collect_list("line").over(window.rangeBetween(1, context_length))
     if context_length == 0:
         before = after = F.array().cast("array<string>")
     return (
         spread.withColumn("before", before)
         .withColumn("after", after)
-        .filter((F.col("__own") == F.col("__block")) & F.contains("line", F.lit(word)))
+        .filter((F.col("__own") == F.col("__block")) & holds)
         .select(*keys, order, "before", "line", "after")
     )

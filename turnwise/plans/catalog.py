@@ -374,14 +374,14 @@ def dedup_metadata(spark, sf_dir):
 @query
 def kwic_sort_text_id(spark, sf_dir):
     found = kwic.search(documents(spark, sf_dir), "the", whole_word=True, window_width=20)
-    return kwic.sort_results(found, "text_id")
+    return kwic.numbered_results(found, "text_id")
 
 
 def _with_sort_key(spark, sf_dir, by):
     found = kwic.search(documents(spark, sf_dir), "the", whole_word=True, window_width=20)
     key = kwic.sort_keys(by)[0]
-    keyed = kwic.sort_results(found, by).withColumn("sort_key", key)
-    return keyed.select("text_id", "match_no", by, "sort_key")
+    keyed = kwic.numbered_results(found, by).withColumn("sort_key", key)
+    return keyed.select("position", "text_id", "match_no", by, "sort_key")
 
 
 @query
@@ -422,6 +422,21 @@ def kwic_page_left(spark, sf_dir):
     return kwic.result_page(found, 2, 50, by="left_context")
 
 
+@query
+def kwic_page_far(spark, sf_dir):
+    found = kwic.search(documents(spark, sf_dir), "e", window_width=20)
+    return kwic.numbered_results(kwic.result_page(found, 2000, by="right_context"), "right_context")
+
+
+@query
+def line_context_rare(spark, sf_dir):
+    """A word that few lines hold: only the lines around them are put together."""
+    found = kwic.line_context(document_lines(spark, sf_dir), "license", 3, keys=["text_id"])
+    return found.select(
+        "text_id", "line_no", text_of("before", "\n").alias("before"), "line", text_of("after", "\n").alias("after")
+    )
+
+
 @query
 def line_context(spark, sf_dir):
     found = kwic.line_context(document_lines(spark, sf_dir), "the", 2, keys=["text_id"])
@@ -435,6 +450,18 @@ def kwic_many(spark, sf_dir):
     return kwic.search_many(documents(spark, sf_dir), KEYWORDS, whole_word=True, window_width=20)
 
 
+def thousands_of_words() -> list[str]:
+    """Invented keywords of two to four letters."""
+    letters = "etaoinsrhl"
+    return [a + b + c + d for a in letters for b in letters for c in ("", *letters[:5]) for d in ("", *letters[:8])]
+
+
+@query
+def kwic_many_thousands(spark, sf_dir):
+    found = kwic.search_many(documents(spark, sf_dir), thousands_of_words(), whole_word=True, window_width=5)
+    return found.groupBy("keyword").agg(F.count("*").alias("n"), F.countDistinct("text_id").alias("n_texts"))
+
+
 @query
 def kwic_many_regex(spark, sf_dir):
     """Patterns that Spark reads like Python, and one that only Python reads."""

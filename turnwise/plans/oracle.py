@@ -148,14 +148,15 @@ ORACLE["kwic_with_metadata"] = f"""WITH {ROWS}, {CHUNKS}, {LINE_TABLE},
 SELECT p.chunk, match_no, p."row", p."row" AS text_id, substring(p.text, st + 1, len) AS match, r.lang, l.quality
 FROM placed p LEFT JOIN rows_ r ON r."row" = p."row" LEFT JOIN labels l ON l.doc_id = r.doc_id"""
 ORACLE["dedup_metadata"] = "SELECT DISTINCT lang, source FROM documents"
-ORACLE["kwic_sort_text_id"] = found(THE, 20, masked=True)
+ORACLE["kwic_sort_text_id"] = f"""
+SELECT *, row_number() OVER (ORDER BY text_id, match_no) - 1 AS position FROM ({found(THE, 20, masked=True)})"""
 LEFT_WORDS = rf"list_reverse(string_split_regex(lower({STRIP.format('left_context')}), '\s'))"
 RIGHT_KEY = f"lower({STRIP.format('right_context')})"
 ORACLE["kwic_sort_left"] = f"""
-SELECT text_id, match_no, left_context, array_to_string({LEFT_WORDS}, '|') AS sort_key
+SELECT row_number() OVER (ORDER BY {LEFT_WORDS}, text_id, match_no) - 1 AS position, text_id, match_no, left_context, array_to_string({LEFT_WORDS}, '|') AS sort_key
 FROM ({found(THE, 20, masked=True)})"""
 ORACLE["kwic_sort_right"] = f"""
-SELECT text_id, match_no, right_context, {RIGHT_KEY} AS sort_key FROM ({found(THE, 20, masked=True)})"""
+SELECT row_number() OVER (ORDER BY {RIGHT_KEY}, text_id, match_no) - 1 AS position, text_id, match_no, right_context, {RIGHT_KEY} AS sort_key FROM ({found(THE, 20, masked=True)})"""
 ORACLE["strip_row_tags"] = f"""WITH {ROWS} SELECT "row", {UNTAG.format('text')} AS text FROM ({TAGGED})"""
 COUNTS = rf"""SELECT text_id, n AS n_matches FROM (
   SELECT doc_id AS text_id, len(regexp_extract_all({ASCII.format('text')}, '{THE}')) AS n FROM documents)
@@ -168,19 +169,35 @@ ORACLE["kwic_page"] = f"""SELECT * FROM ({found(THE, masked=True)})
 ORDER BY {RIGHT_KEY}, text_id, match_no LIMIT 20 OFFSET 40"""
 ORACLE["kwic_page_left"] = f"""SELECT * FROM ({found(THE, masked=True)})
 ORDER BY {LEFT_WORDS}, text_id, match_no LIMIT 50 OFFSET 50"""
-ORACLE["line_context"] = f"""WITH {LINES}
+ORACLE["kwic_page_far"] = f"""
+SELECT *, row_number() OVER (ORDER BY {RIGHT_KEY}, text_id, match_no) - 1 AS position FROM (
+  SELECT * FROM ({found("(?i)e", 20)}) ORDER BY {RIGHT_KEY}, text_id, match_no LIMIT 20 OFFSET 39980)"""
+
+
+def around(word: str, n: int) -> str:
+    return f"""WITH {LINES}
 SELECT text_id, line_no, before, line, after FROM (
   SELECT text_id, line_no, text AS line,
     coalesce(string_agg(text, chr(10)) OVER (PARTITION BY text_id ORDER BY line_no
-      ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before,
+      ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), '') AS before,
     coalesce(string_agg(text, chr(10)) OVER (PARTITION BY text_id ORDER BY line_no
-      ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS after
-  FROM lines) WHERE contains(line, 'the')"""
+      ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING), '') AS after
+  FROM lines) WHERE contains(line, '{word}')"""
+
+
+ORACLE["line_context"] = around("the", 2)
+ORACLE["line_context_rare"] = around("license", 3)
 ORACLE["kwic_many"] = " UNION ALL ".join(
     rf"SELECT text_id, '{k}' AS keyword, match_no, left_context, match, right_context"
     rf" FROM ({found(rf'(?i)\b{k}\b', 20, masked=True)})"
     for k in KEYWORDS
 )
+ORACLE["kwic_many_thousands"] = f"""
+SELECT keyword, count(*) AS n, count(DISTINCT text_id) AS n_texts FROM (
+  SELECT doc_id AS text_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS keyword FROM documents)
+WHERE keyword IN (
+  SELECT a || b || c || d FROM unnest({list('etaoinsrhl')}) w(a), unnest({list('etaoinsrhl')}) x(b),
+    unnest({['', *'etaoi']}) y(c), unnest({['', *'etaoinsr']}) z(d)) GROUP BY keyword"""
 ORACLE["kwic_many_regex"] = f"""
 SELECT 'x*' AS keyword, * FROM ({ORACLE["kwic_regex_empty_match"]})
 UNION ALL
