@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnwise.sources import quoted
 from turnwise.sources.tables import keyed_lines, plain_lines
 
 # Up to this many rows of per-split or per-file facts (about 200 bytes each) go to every executor.
@@ -79,12 +80,16 @@ def read_csv(
 ) -> DataFrame:
     """A CSV file with header, plus ``source_file`` and ``row``.
 
-    Quoted fields may hold line breaks, which ties each file to one task; with files that have
-    none, ``multi_line=False`` lets Spark split them. Giving the ``schema`` saves a pass.
+    Quoted fields may hold line breaks; a file is read by many tasks all the same (:mod:`turnwise.sources.quoted`).
+    With files that have none, ``multi_line=False`` leaves it all to Spark's reader. Giving the ``schema`` saves a pass.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     small = split_bound(spark, path) <= BROADCAST_ROWS
+    if multi_line:
+        lines = _located(spark.read.option("lineSep", "\n").text(path))
+        records = quoted.quoted_records(lines, small=small)
+        return number_file_rows(quoted.parsed(records, schema, small=small), small=small, place="__place")
+    reader = spark.read.option("header", True).option("escape", '"')
+    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return number_file_rows(_located(reader.csv(path)), small=small)
 
 
