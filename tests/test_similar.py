@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from turnwise import ConceptModel, Conversations, PlotTables, VectorModel
+from turnwise import ConceptModel, Conversations, ModelPlot, PlotTables, VectorModel
 from turnwise.operators import cells, products, similar, vectors
 from turnwise.operators.cells import split_cells
 
@@ -183,14 +183,26 @@ def test_word_vectors_of_all_terms(spark, talk, monkeypatch):
     assert model.pairs_formed(0.1).where("conv_id = 0").first()["pairs"] == 3
 
 
-def test_plot_of_a_model_above_a_threshold(talk):
+@pytest.mark.parametrize("threshold", [None, 0.0, 0.5])
+def test_plot_of_a_model_equals_the_plot_of_its_table(talk, threshold):
     model = ConceptModel(talk, 3)
-    all_cells = PlotTables(talk, model.conversation_similarity(diagonal=True), threshold=0.5)
-    few = PlotTables.of_model(talk, model, threshold=0.5)
-    columns = ["conv_id", "x_index", "y_index", "similarity"]
-    assert few.triangles().select(columns).exceptAll(all_cells.triangles().select(columns)).isEmpty()
-    assert few.triangles().count() == all_cells.triangles().count()
-    assert few.tiles.count() == all_cells.tiles.count()
+    one = PlotTables(talk, model.conversation_similarity(diagonal=True), model=model, threshold=threshold)
+    other = ModelPlot(talk, model, labelled=True, threshold=threshold)
+
+    def rows(df):
+        return sorted(repr(sorted((k, round(v, 9) if isinstance(v, float) else v) for k, v in r.asDict().items())) for r in df.collect())
+
+    assert rows(one.triangles()) == rows(other.triangles())
+    assert rows(one.diagonal()) == rows(other.diagonal().drop("concepts"))
+    assert rows(one.tiles) == rows(other.tiles)
+    assert rows(one.groups()) == rows(other.groups())
+    shown = one.cells if threshold is None else one.cells.where(f"similarity >= {threshold}")
+    assert rows(shown) == rows(other.cells.drop("concepts"))
+
+
+def test_no_join_on_the_table_of_pairs(talk):
+    plan = ModelPlot(talk, ConceptModel(talk, 3), labelled=True).triangles()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
 
 
 def test_meet_copies_to_all_pairs_of_blocks(spark):

@@ -5,6 +5,7 @@ from turnwise.plans import (
     Concordance,
     Conversations,
     EmbeddingModel,
+    ModelPlot,
     PlotTables,
     TextLoader,
     VectorModel,
@@ -16,6 +17,7 @@ __all__ = [
     "Concordance",
     "Conversations",
     "EmbeddingModel",
+    "ModelPlot",
     "PlotTables",
     "TextLoader",
     "VectorModel",

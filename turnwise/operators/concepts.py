@@ -352,26 +352,26 @@ def term_overlap(base: DataFrame, lists: DataFrame) -> DataFrame:
     ).filter("n_terms > 0")
 
 
-def common_concepts(
-    units: DataFrame, lists: DataFrame, n_concepts: int = 5, *, brief: bool = False
-) -> DataFrame:
-    """``conv_id, row_turn, col_turn, concepts``: the strongest concepts two turns share.
-
-    Ordered by the product of the two unit-vector values, rounded to 9 digits, then by term.
-    """
-    named = attach(with_block(units, brief), lists).select(
+def named_units(units: DataFrame, lists: DataFrame, *, brief: bool = False) -> DataFrame:
+    """``conv_id, turn, concepts``: the unit vector of a turn as a list of ``term, x``; other columns stay."""
+    kept = [c for c in units.columns if c not in ("conv_id", "turn")]
+    return attach(with_block(units, brief), lists).select(
         "conv_id",
         "turn",
+        *kept,
         F.transform(
             "key_terms",
             lambda k: F.struct(k["term"].alias("term"), F.col("unit")[k["rank"] - 1].alias("x")),
         ).alias("concepts"),
     )
-    pairs = turn_pairs(named, ["concepts"], brief=brief)
+
+
+def shared_concepts(a: str, b: str, n_concepts: int) -> Column:
+    """The terms of the largest positive products of two lists of :func:`named_units`, rounded to 9 digits, then by term."""
     positive = F.filter(
         F.zip_with(
-            "a.concepts",
-            "b.concepts",
+            a,
+            b,
             lambda p, q: F.struct((p["x"] * q["x"]).alias("product"), p["term"].alias("term")),
         ),
         lambda c: c["product"] > 0,
@@ -382,10 +382,20 @@ def common_concepts(
             lambda c: F.struct((-F.round(c["product"], 9)).alias("minus"), c["term"].alias("term")),
         )
     )
-    top = F.transform(F.slice(ordered, 1, n_concepts), lambda c: c["term"])
+    return F.transform(F.slice(ordered, 1, n_concepts), lambda c: c["term"])
+
+
+def common_concepts(
+    units: DataFrame, lists: DataFrame, n_concepts: int = 5, *, brief: bool = False
+) -> DataFrame:
+    """``conv_id, row_turn, col_turn, concepts``: the strongest concepts two turns share.
+
+    Ordered by the product of the two unit-vector values, rounded to 9 digits, then by term.
+    """
+    pairs = turn_pairs(named_units(units, lists, brief=brief), ["concepts"], brief=brief)
     return pairs.select(
         "conv_id",
         F.col("a.turn").alias("row_turn"),
         F.col("b.turn").alias("col_turn"),
-        top.alias("concepts"),
+        shared_concepts("a.concepts", "b.concepts", n_concepts).alias("concepts"),
     ).filter(F.size("concepts") > 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.text import token_count
@@ -35,24 +35,30 @@ def turns_in_similarity(turns: DataFrame, long: DataFrame) -> DataFrame:
 
 
 def tile_layout(
-    turns: DataFrame, *, padding: int = TILE_PADDING, group_column: str = "speaker"
+    turns: DataFrame, *, padding: int = TILE_PADDING, group_column: str = "speaker", brief: bool = False
 ) -> DataFrame:
     """``conv_id, turn, group, n_words, size, position`` of each turn's tile.
 
     ``size`` is the logarithm of the number of words; tiles follow each other with ``padding``
     between, and ``position`` is the middle of one. A turn without words has neither (null).
+    ``brief`` promises that every conversation fits one block.
     """
     n_words = token_count(F.col("text"))
     size = F.when(F.col("n_words") > 0, F.ln("n_words"))
     sized = turns.select(
         "conv_id", "turn", F.col(group_column).alias("group"), n_words.alias("n_words")
     ).withColumn("size", size)
-    before = running_totals(
-        sized,
-        ["conv_id"],
-        "turn",
-        {"index": F.lit(1).cast("bigint"), "room": F.coalesce("size", F.lit(0.0))},
-    )
+    if brief:
+        earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+        room = F.coalesce(F.sum(F.coalesce("size", F.lit(0.0))).over(earlier), F.lit(0.0))
+        before = sized.withColumns({"index": F.count("*").over(earlier), "room": room})
+    else:
+        before = running_totals(
+            sized,
+            ["conv_id"],
+            "turn",
+            {"index": F.lit(1).cast("bigint"), "room": F.coalesce("size", F.lit(0.0))},
+        )
     position = F.col("room") + F.col("size") / 2 + F.col("index") * padding
     return before.withColumn("position", position).drop("index", "room")
 
@@ -77,23 +83,43 @@ def tile_attributes(long: DataFrame, tiles: DataFrame) -> DataFrame:
     return long.join(x, ["conv_id", "x_index"], "left").join(y, ["conv_id", "y_index"], "left")
 
 
+#: What a turn brings to the cells it is in, and how its x and y side call it there.
+SIDES = {
+    "x": {"size": "width", "position": "x_position", "group": "x_group", "n_words": "n_words"},
+    "y": {"size": "height", "position": "y_position", "group": "y_group"},
+}
+
+
+def carried_cells(pairs: DataFrame, x: str, y: str, *others: str) -> DataFrame:
+    """Cells with the attributes of both tiles from pairs that carry them, the columns starting with ``x`` and ``y``.
+
+    The same columns as :func:`tile_attributes`, without a join.
+    """
+    sides = [
+        F.col(f"{prefix}{name}").alias(called)
+        for side, prefix in (("x", x), ("y", y))
+        for name, called in SIDES[side].items()
+    ]
+    return pairs.select("conv_id", "x_index", "y_index", "similarity", *sides, *others)
+
+
 def diagonal_tiles(cells: DataFrame, turns: DataFrame) -> DataFrame:
     """The cells of a turn with itself, with its text."""
     texts = turns.select("conv_id", F.col("turn").alias("x_index"), "text")
     return cells.filter("x_index = y_index").join(texts, ["conv_id", "x_index"], "left")
 
 
-def similarity_triangles(cells: DataFrame) -> DataFrame:
+def similarity_triangles(cells: DataFrame, *others: str) -> DataFrame:
     """The cells of two different turns with the corners of their upper and lower triangle.
 
     The y axis runs downwards. Upper: bottom left, top left, top right. Lower: bottom left, top right,
-    bottom right.
+    bottom right. ``others`` names more columns to keep.
     """
     left = F.col("x_position") - F.col("width") / 2
     right = F.col("x_position") + F.col("width") / 2
     top = F.col("y_position") - F.col("height") / 2
     bottom = F.col("y_position") + F.col("height") / 2
-    kept = ["conv_id", "x_index", "y_index", "x_group", "y_group", "similarity"]
+    kept = ["conv_id", "x_index", "y_index", "x_group", "y_group", "similarity", *others]
     return cells.filter("x_index < y_index").select(
         *kept,
         F.array(left, left, right).alias("upper_triangle_x"),
@@ -108,7 +134,8 @@ def similarity_threshold(cells: DataFrame, threshold: float | None = None) -> Da
     return cells.filter(F.col("similarity") >= F.lit(0.0 if threshold is None else float(threshold)))
 
 
-def _label(concepts: Column) -> Column:
+def label(concepts: Column) -> Column:
+    """A list of concepts as text."""
     return F.coalesce(F.array_join(concepts, ", "), F.lit(""))
 
 
@@ -121,7 +148,7 @@ def cells_with_concepts(cells: DataFrame, concepts: DataFrame) -> DataFrame:
         F.col("concepts").alias("__concepts"),
     )
     joined = cells.join(labels, ["conv_id", "x_index", "y_index"], "left")
-    return joined.withColumn("concepts", _label(F.col("__concepts"))).drop("__concepts")
+    return joined.withColumn("concepts", label(F.col("__concepts"))).drop("__concepts")
 
 
 def texts_for_cells(turns: DataFrame, selected: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ What is left is summed in the order of the dimensions, so values equal those of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -102,7 +102,9 @@ def _candidates(left: np.ndarray, right: np.ndarray, threshold: float, own: bool
     return a, b, formed
 
 
-def _similar(cell: pa.Table, dims: int, threshold: float, report: bool) -> Iterator[pa.RecordBatch]:
+def _similar(
+    cell: pa.Table, dims: int, threshold: float, report: bool, payload: Sequence[str] = ()
+) -> Iterator[pa.RecordBatch]:
     # Within a block the earlier turn stands first.
     one, other, own = _two(cell.sort_by("turn"))
     left, right = matrix(one["unit"], dims), matrix(other["unit"], dims)
@@ -119,28 +121,24 @@ def _similar(cell: pa.Table, dims: int, threshold: float, report: bool) -> Itera
         pairs = len(left) * (len(left) - 1) // 2 if own else len(left) * len(right)
         yield pa.RecordBatch.from_pylist([{"conv_id": conv_id, "pairs": pairs, "formed": formed, "similar": len(a)}])
         return
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([conv_id] * len(a), pa.int64()),
-            one["turn"].combine_chunks().take(pa.array(a)),
-            other["turn"].combine_chunks().take(pa.array(b)),
-            pa.array(value),
-        ],
-        names=["conv_id", "row_turn", "col_turn", "similarity"],
-    )
+    x, y = one.take(pa.array(a)), other.take(pa.array(b))
+    columns = [pa.array([conv_id] * len(a), pa.int64()), x["turn"], y["turn"], pa.array(value)]
+    carried = [side[c] for side in (x, y) for c in payload]
+    names = ["conv_id", "row_turn", "col_turn", "similarity", *[f"{s}_{c}" for s in "ab" for c in payload]]
+    yield from pa.table([*columns, *carried], names=names).to_batches()
 
 
-def _cells(units: DataFrame, dims: int, threshold: float, brief: bool) -> DataFrame:
+def _cells(units: DataFrame, dims: int, threshold: float, brief: bool, payload: Sequence[str] = ()) -> DataFrame:
     """The turns in the pairs of blocks that may hold a similar pair: ``conv_id, i, j, side, turn, unit``."""
     if not threshold > 0:
         raise ValueError("only a threshold above 0 rules pairs out")
     block = F.lit(0).cast("bigint") if brief else block_of("turn", WIDTH)
-    rows = units.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "unit", block.alias("block"))
+    rows = units.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "unit", *payload, block.alias("block"))
     same = rows.select("*", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side")).drop("block")
     if brief:
         return same
     kind = "conv_id bigint, block bigint, high array<double>, low array<double>, middle array<double>, angle double"
-    extents = in_cells(rows, ["conv_id", "block"], partial(_extents, dims=dims), kind)
+    extents = in_cells(rows.drop(*payload), ["conv_id", "block"], partial(_extents, dims=dims), kind)
     ends = extents.groupBy("conv_id").agg(F.max("block").alias("last")).where("last > 0")
     grouped = extents.withColumn("number", F.col("block")).withColumn("block", block_of("block", GROUP))
     groups = attach(grouped, ends).withColumn("blocks", F.expr(f"last div {GROUP} + 1"))
@@ -156,14 +154,19 @@ def _cells(units: DataFrame, dims: int, threshold: float, brief: bool) -> DataFr
     return same.unionByName(far.drop("block"))
 
 
-def similar_pairs(units: DataFrame, dims: int, threshold: float, *, brief: bool = False) -> DataFrame:
+def similar_pairs(
+    units: DataFrame, dims: int, threshold: float, *, brief: bool = False, payload: Sequence[str] = ()
+) -> DataFrame:
     """``conv_id, row_turn, col_turn, similarity`` of the pairs of turns with at least this similarity, which is above 0.
 
     ``units`` is a table ``conv_id, turn, unit`` with ``dims`` numbers a vector; ``brief`` promises that every conversation
     fits one block. Blocks whose extents rule a similar pair out are not even brought together.
+    The ``payload`` columns of both turns come along, as ``a_<name>`` and ``b_<name>``.
     """
-    work = partial(_similar, dims=dims, threshold=float(threshold), report=False)
-    return in_cells(_cells(units, dims, threshold, brief), ["conv_id", "i", "j"], work, PAIRS)
+    work = partial(_similar, dims=dims, threshold=float(threshold), report=False, payload=tuple(payload))
+    kinds = {c: units.schema[c].dataType.simpleString() for c in payload}
+    schema = ", ".join([PAIRS, *[f"{s}_{c} {kinds[c]}" for s in "ab" for c in payload]])
+    return in_cells(_cells(units, dims, threshold, brief, payload), ["conv_id", "i", "j"], work, schema)
 
 
 def pairs_formed(units: DataFrame, dims: int, threshold: float, *, brief: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from turnwise.operators import concepts, conversation, layout, prepare, recurren
 from turnwise.operators import concordance as kwic
 from turnwise.operators.ordering import number_rows, top_rows
 from turnwise.plans.conversation import ConceptModel, Conversations, EmbeddingModel, VectorModel
-from turnwise.plans.plot import PlotTables
+from turnwise.plans.plot import ModelPlot
 from turnwise.session import configure, cut_lineage, scratch_path
 from turnwise.sources import files, results, tables
 
@@ -104,12 +104,9 @@ def vector_model(spark: SparkSession, sf_dir: str) -> VectorModel:
     return VectorModel(conversations(spark, sf_dir), word_vectors(spark, sf_dir), KEY_TERMS)
 
 
-def plot(spark: SparkSession, sf_dir: str, *, labelled: bool = False, threshold=None) -> PlotTables:
+def plot(spark: SparkSession, sf_dir: str, *, labelled: bool = False, threshold=None) -> ModelPlot:
     model = concept_model(spark, sf_dir)
-    cells = model.conversation_similarity(diagonal=True)
-    return PlotTables(
-        model.conversations, cells, model=model if labelled else None, threshold=threshold
-    )
+    return ModelPlot(model.conversations, model, labelled=labelled, threshold=threshold)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -800,8 +797,7 @@ def similarity_long(spark, sf_dir):
 @query
 def turns_in_similarity(spark, sf_dir):
     tables_ = plot(spark, sf_dir)
-    shown = layout.turns_in_similarity(tables_.conversations.turns, tables_.long)
-    return shown.select("conv_id", "turn", "speaker")
+    return tables_.shown().select("conv_id", "turn", "speaker")
 
 
 @query
@@ -855,8 +851,7 @@ def texts_for_cells(spark, sf_dir):
 @query
 def texts_above_threshold(spark, sf_dir):
     """The turns that are similar to another one, found without the table of all pairs."""
-    model = concept_model(spark, sf_dir)
-    tables_ = PlotTables.of_model(model.conversations, model, threshold=0.8765)
+    tables_ = plot(spark, sf_dir, threshold=0.8765)
     return tables_.texts(tables_.long.filter("x_index < y_index")).select("conv_id", "turn", "speaker", "text")
 
 
