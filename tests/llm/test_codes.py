@@ -45,6 +45,20 @@ def test_byte_pairs_equal_the_library(pairs, encoding):
     assert pairs.decode(coded).to_pylist() == [t.encode() for t in texts]
 
 
+def test_words_equal_the_library():
+    encoder = packing.WordEncoder(open(WORDS, "rb").read())
+    library = Tokenizer.from_file(WORDS)
+    signs = ["Σ", "ΑΣ.", "İ", "İ.", "ß%%%", "it's", "'s", "$5", "x_y", "½", "²,", "ǅ", "ﬁ.", "e\u0301", "\u0301", "ŉ.", "<|", "'", "ª)"]
+    draw = random.Random(8)
+    parts = ODD + signs + ["the", "ing", " ", "é", "."]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 12))) for _ in range(4000)]
+    texts += [" ".join(draw.choices(parts, k=draw.randint(0, 40))) for _ in range(2000)]
+    for start in range(0, len(texts), 1500):
+        some = texts[start : start + 1500]
+        ids = [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(pa.array(some)).to_pylist()]
+        assert ids == [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
+
+
 def test_very_long_pre_tokens(pairs, encoding):
     draw = random.Random(3)
     text = "".join(draw.choices("abcdefgh", k=20_000))
