@@ -11,7 +11,6 @@ rounds in a row are cut into windows of the sequence length, without gaps.
 
 from __future__ import annotations
 
-import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
@@ -80,11 +79,11 @@ class WordEncoder:
 
     def _word_ends(self) -> np.ndarray | None:
         """Which ids end a word, where the tokenizer marks that."""
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         if not suffix:
             return None
-        ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        size = self.tokenizer.get_vocab_size()
+        ends = np.fromiter((self.tokenizer.id_to_token(i).endswith(suffix) for i in range(size)), dtype=bool, count=size)
         return ends
 
     def encode(self, texts: pa.Array, end: int | None = None) -> pa.BinaryArray:
