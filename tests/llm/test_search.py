@@ -98,3 +98,13 @@ def test_many_copies_of_a_vector_do_not_hide_others(spark, monkeypatch):
         total += 20
     assert hit >= 0.9 * total
     assert [got[600][r] for r in range(1, 21)] == list(range(500, 520))
+
+
+def test_a_query_among_few_near_rows_gets_all_its_neighbours(spark):
+    """The query itself takes a place in every tree, but none in the result."""
+    draw = np.random.default_rng(4)
+    array = draw.standard_normal((420, 16)).astype(np.float32)
+    array[:20] = array[0] + 1e-4 * draw.standard_normal((20, 16)).astype(np.float32)
+    table = vectors(spark, array)
+    found = prefix_forest_search(table, table.where("vec_id < 20"))
+    assert {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()} == {i: 20 for i in range(20)}

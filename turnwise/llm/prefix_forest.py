@@ -98,6 +98,9 @@ def _search(k: int, trees: int, bits: int, share: float, seed: int):
             enough = min(len(rows) * trees, max(trees * k, int(share * len(rows))))
             found = candidates(forest, queries, enough)
             for query_id, query, near in zip(left.column("id").to_pylist(), queries, found):
+                others = sum(int((ids[i] != query_id).sum()) for i in near[: k + 2].tolist())
+                if others < k and len(near) < len(rows):
+                    near = np.arange(len(rows))  # up to the roots of the trees: the query alone is no neighbour
                 score = rows[near] @ query
                 if len(near) > k + 1:  # one of them may be the query itself
                     kth = np.partition(score, len(score) - k - 1)[-k - 1]
@@ -135,7 +138,8 @@ def prefix_forest_search(
 ) -> DataFrame:
     """About the ``k`` largest inner products of each query: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
-    Candidates are all rows of ``vectors`` but those with the id of the query. A higher share of ``candidates`` or more
+    Candidates are all rows of ``vectors`` but those with the id of the query; a query gets ``k`` rows wherever there are
+    as many. A higher share of ``candidates`` or more
     ``trees`` find more of the true neighbours; on vectors without any clusters the defaults find over nine
     tenths. Scores are exact, ties go to the smaller id.
 
