@@ -112,6 +112,28 @@ def test_order_follows_links_and_needs(spark):
     assert circle.count() == 5
 
 
+def test_a_circle_adds_no_round_for_other_conversations(spark, monkeypatch):
+    circle = [(1, 0, "a"), (1, 1, "b")]
+    chain = [(2, t, f"m{t}") for t in range(6)]
+    schema = "conv_id bigint, turn bigint, message_id string"
+    wanted = [(1, "a", "b"), (1, "b", "a"), *[(2, f"m{t}", f"m{t + 1}") for t in range(5)]]
+    needs = spark.createDataFrame(wanted, "conv_id bigint, message_id string, needed string")
+    made, real = [], tc.written
+    monkeypatch.setattr(tc, "written", lambda df, name: made.append(name) or real(df, name))
+    counts, orders = [], []
+    for others in (0, 40):
+        made.clear()
+        messages = circle + chain + [(100 + i, t, f"x{t}") for i in range(others) for t in range(3)]
+        found = tc._ordered(spark.createDataFrame(messages, schema), needs)
+        keys = {(r["conv_id"], r["message_id"]): (r["order_turn"], r["order_hop"]) for r in found.collect()}
+        assert len(keys) == len(messages)
+        chained = [keys[2, f"m{t}"] for t in range(6)]
+        assert chained == sorted(chained, reverse=True) and len(set(chained)) == 6
+        counts.append(len(made))
+        orders.append({k: v for k, v in keys.items() if k[0] < 100})
+    assert counts[0] == counts[1] and orders[0] == orders[1]
+
+
 def test_derived_calls_are_linked(spark):
     turns = [(7, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(6)] + [(8, 0, None, None)]
     messages, needs = tc.conversation_calls(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))

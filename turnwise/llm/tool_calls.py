@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator, Mapping
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,30 +100,35 @@ def _checked(schemas: Mapping[str, Mapping]):
 def _ordered(messages: DataFrame, needs: DataFrame) -> DataFrame:
     """``messages`` with ``order_turn``, ``order_hop``: a key that puts each message behind what it needs.
 
-    Each round lifts the messages that stand before something they need. Messages in a circle of needs
-    never settle: they are lifted ``hop`` times at most the number of messages lifted in the first round, and then stay.
+    Each round lifts the messages that stand before something they need, and goes on with the conversations in which one
+    was lifted. Messages in a circle of needs never settle: a conversation is left as it is after as many rounds as it has
+    messages, which is more than any order without a circle takes, so other conversations neither add nor lose a round.
     """
-    keys = written(messages.select("conv_id", "message_id", F.struct("turn", F.lit(0).cast("long").alias("hop")).alias("key")), "order")
-    limit = None
-    rounds = 0
+    first = messages.select("conv_id", "message_id", F.struct("turn", F.lit(0).cast("long").alias("hop")).alias("key"))
+    sizes = messages.groupBy("conv_id").agg(F.count("*").alias("rounds"))
+    open_ = written(first.join(sizes.where("conv_id IS NOT NULL"), "conv_id", "left"), "order")
+    settled = []
+    done = 0
     while True:
-        needed = needs.join(keys.select("conv_id", F.col("message_id").alias("needed"), F.col("key").alias("before")), ["conv_id", "needed"])
+        needed = needs.join(
+            open_.select("conv_id", F.col("message_id").alias("needed"), F.col("key").alias("before")), ["conv_id", "needed"]
+        )
         after = needed.groupBy("conv_id", "message_id").agg(F.max("before").alias("before"))
-        lifted = keys.join(after, ["conv_id", "message_id"], "left").withColumn(
+        lifted = open_.join(after, ["conv_id", "message_id"], "left").withColumn(
             "next", F.struct(F.col("before.turn").alias("turn"), (F.col("before.hop") + 1).alias("hop"))
         )
-        late = F.col("before").isNotNull() & (F.col("next") > F.col("key"))
-        moved = written(
-            lifted.select("conv_id", "message_id", F.when(late, F.col("next")).otherwise(F.col("key")).alias("key"), F.coalesce(late, F.lit(False)).alias("moved")),
-            "order",
+        late = F.coalesce(F.col("before").isNotNull() & (F.col("next") > F.col("key")), F.lit(False))
+        moved = lifted.select(
+            "conv_id", "message_id", F.when(late, F.col("next")).otherwise(F.col("key")).alias("key"), "rounds", late.alias("moved")
         )
-        count = moved.where("moved").count()
-        keys = moved.drop("moved")
-        rounds += 1
-        if limit is None:
-            limit = messages.count()
-        if not count or rounds > limit:
+        moved = written(moved, "order")
+        done += 1
+        going = moved.where(F.col("moved") & (F.col("rounds") > done)).select("conv_id").distinct()
+        settled.append(moved.join(going, "conv_id", "left_anti").select("conv_id", "message_id", "key"))
+        if going.isEmpty():
             break
+        open_ = written(moved.join(going, "conv_id", "left_semi").drop("moved"), "order")
+    keys = reduce(DataFrame.unionByName, settled)
     return messages.join(keys, ["conv_id", "message_id"]).select(
         messages["*"], F.col("key.turn").alias("order_turn"), F.col("key.hop").alias("order_hop")
     )
