@@ -140,3 +140,16 @@ def test_frequent_shingles_link_sets_of_unlike_sizes():
         small = np.sort(np.random.default_rng(seed).permutation(large)[:100])
         found = [set_signatures(len(x), np.full(len(x), 1000), x, 50) for x in (small, large)]
         assert len(np.intersect1d(*found))
+
+
+def test_a_pair_of_blocks_with_an_empty_side_links_nothing():
+    import pyarrow as pa
+
+    from turnwise.llm.ngram_jaccard import _compare
+
+    rows = {"key": [1, 2], "copies": [1, 1], "tokens": [[1, 2, 3]] * 2}
+    for side in (0, 1):
+        assert _compare(pa.table({**rows, "side": [side] * 2, "i": [0, 0], "j": [1, 1]}), 80).num_rows == 0
+    inside = _compare(pa.table({**rows, "side": [0, 0], "i": [0, 0], "j": [0, 0]}), 80).to_pylist()
+    across = _compare(pa.table({**rows, "side": [0, 1], "i": [0, 0], "j": [1, 1]}), 80).to_pylist()
+    assert inside == across and sum(r["links"] for r in inside) == 2

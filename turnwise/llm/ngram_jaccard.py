@@ -323,16 +323,18 @@ def signatures(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _compare(table: pa.Table, percent: int) -> pa.Table:
-    """The links inside a block, or between the two sides of a pair of blocks."""
+    """The links inside a block, or between the two sides of a pair of blocks; none if a side is empty."""
+    side = table.column("side").to_numpy()
+    inner = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    if not inner and (side == side[0]).all():
+        return pa.table({name: pa.array([], pa.int64()) for name in ("a", "b", "links")})
     keys = table.column("key").to_numpy()
     copies = table.column("copies").to_numpy()
-    side = table.column("side").to_numpy()
     lists = [x.values.to_numpy() for x in table.column("tokens")]
     sizes = np.array([len(x) for x in lists])
     ids = np.unique(np.concatenate(lists), return_inverse=True)[1]
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     flag = np.zeros(int(ids.max()) + 1, dtype=np.int32)
-    inner = bool((side == side[0]).all())
     links = np.zeros(len(keys), dtype=np.int64)
     root = np.arange(len(keys))
     a, b = [], []
