@@ -12,7 +12,8 @@ A token is scored in the longest suffix of its history that is in the tree.
 
 The model grows with the corpus and is a set of written tables, a row for every sequence of words (gram) that occurs
 ``LEAST`` times. A gram is counted if its two shorter grams are frequent, which a bitmap of bounded size may err
-about on one side only; counts are made per task, then summed by key. The tests are groupings of these tables.
+about on one side only; counts are made per task and travel packed by ranges of keys (``blobs``), each range summed for
+itself. The tests are groupings of these tables.
 
 The logarithm of a score is a sum over the grams of a text. A gram ``s w`` has the value
 
@@ -20,7 +21,7 @@ The logarithm of a score is a sum over the grams of a text. A gram ``s w`` has t
 
 where ``rest`` is 1 outside the tree: what was added for the shorter gram and for ``s`` as a context is taken back. So
 the grams of a text are looked up one by one: words of a share of ``WORD_SHARE`` or more and the ``USUAL`` most frequent
-longer grams in a broadcast table, all others by a join.
+longer grams in a broadcast table, all others packed by range, next to the values of that range.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.llm.blobs import ENTRIES, ROWS, cuts, dealt, handed, packed, range_of, runs, unpacked
 from turnwise.llm.words import U64, batch_words, mix, pieces, seeds
-from turnwise.llm.written import written
+from turnwise.llm.written import passing, tidy, written
+from turnwise.session import delete_scratch
 
 FOLDS = 10  # rows of fold 0 are held out
 DEPTH = 3
@@ -46,6 +49,8 @@ ADD = 0.1
 SLICE = 2 << 20
 HELD = 3 << 19  # keys a task counts before it hands them on
 PASSED = 1 << 17  # of them at a time
+PLACE = np.uint16  # of a text in a slice
+RANGE = 1 << 19  # training tokens for which there is one more range of grams
 BITS = 27  # of a place in the largest bitmap
 
 _STEP = seeds(1, 303)[0]
@@ -124,62 +129,110 @@ class Bitmap:
         return (self.words[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) > 0
 
 
-def _counts(texts: DataFrame, shared, length: int) -> DataFrame:
-    """``context``, ``lower``, ``times`` of the grams of a length that may be frequent in the training texts; all words, as
-    ``symbol``, at length 1."""
+def _words(texts: DataFrame) -> DataFrame:
+    """``symbol``, ``times`` of all words of the training texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held = Held()
+        for batch in pieces(batches, limit=SLICE):
+            symbols, _ = sequences(batch.column(0).to_pylist())
+            held.add(symbols)
+            if held.full():
+                yield from _word_rows(held.merged())
+        yield from _word_rows(held.merged())
 
-        def merged():
-            context, lower, times = (np.concatenate([x[i] for x in held]) for i in range(3))
-            key = joint(context, lower) if length > 1 else lower
-            found, first, place = np.unique(key, return_index=True, return_inverse=True)
-            return context[first], lower[first], np.bincount(place, weights=times, minlength=len(found)).astype(np.int64)
+    return texts.mapInArrow(run, "symbol long, times long").groupBy("symbol").agg(F.sum("times").alias("times"))
 
-        def rows(context, lower, times) -> Iterator[pa.RecordBatch]:
-            arrays = [pa.array(context.view(np.int64)), pa.array(lower.view(np.int64)), pa.array(times)]
-            whole = pa.RecordBatch.from_arrays(arrays, ["context", "lower", "times"])
-            return (whole.slice(start, PASSED) for start in range(0, len(times), PASSED))
 
-        size = 0
-        for batch in pieces(batches, limit=SLICE):
-            symbols, edges = sequences(batch.column(0).to_pylist())
-            if length > 1:
-                lower = grams(symbols, edges, length - 1)[-1]
-                context = histories(symbols, edges, length - 1)[-1]
-                some = np.flatnonzero(context)
-                likely = shared.value.maybe(lower)
-                some = some[likely[some] & likely[some - 1]]
-                context, lower = context[some], lower[some]
-            else:
-                context, lower = np.zeros(len(symbols), dtype=U64), symbols
-            held.append((context, lower, np.ones(len(lower), dtype=np.int64)))
-            size += len(lower)
-            if size > HELD:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield from rows(*held[0])
-                    held, size = [], 0
-        if held:
-            yield from rows(*merged())
+def _word_rows(merged: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    symbols, times = merged
+    return handed(["symbol", "times"], [pa.array(symbols.view(np.int64)), pa.array(times)], PASSED)
+
+
+class Held:
+    """Keys that a task has seen, each with numbers that the key decides, and how often."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
 
-    counted = texts.mapInArrow(run, "context long, lower long, times long")
-    if length == 1:
-        return counted.groupBy(F.col("lower").alias("symbol")).agg(F.sum("times").alias("times"))
-    return counted.groupBy("context", "lower").agg(F.sum("times").alias("times"))
+    def add(self, *columns: np.ndarray, times: np.ndarray | None = None) -> None:
+        self.parts.append((*columns, np.ones(len(columns[0]), dtype=np.int64) if times is None else times))
+        self.size += len(columns[0])
 
+    def full(self) -> bool:
+        """Whether it is time to hand them on; repeats are put together before."""
+        if self.size > HELD:
+            self.parts = [self._united()]
+            self.size = len(self.parts[0][0])
+        return self.size > HELD // 2 and len(self.parts) == 1
 
-def _keyed(counted: DataFrame) -> DataFrame:
-    """The key of each gram beside its parts."""
+    def _united(self) -> tuple[np.ndarray, ...]:
+        *columns, times = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(columns[0])
+        key = columns[0][order]
+        fresh = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+        times = np.add.reduceat(times[order], fresh) if len(fresh) else times
+        return (key[fresh], *(c[order[fresh]] for c in columns[1:]), times)
+
+    def merged(self) -> tuple[np.ndarray, ...]:
+        """All of them, in order; none are left. Nothing held gives a key and its times without rows."""
+        out = self._united() if self.parts else (np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64))
+        self.parts, self.size = [], 0
+        return out
+
+
+_COUNTED = "range long, context binary, lower binary, times binary"
+
+
+def _frequent(texts: DataFrame, shared, length: int, bits: int) -> DataFrame:
+    """``gram``, ``context``, ``lower``, ``times`` of the grams of a length that occur ``LEAST`` times in the training texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context, lower = (batch.column(n).to_numpy().view(U64) for n in ("context", "lower"))
-            yield pa.RecordBatch.from_arrays([pa.array(joint(context, lower).view(np.int64)), *batch.columns], ["gram", *batch.schema.names])
+        held = Held()
 
-    return counted.select("context", "lower", "times").mapInArrow(run, "gram long, context long, lower long, times long")
+        def rows() -> Iterator[pa.RecordBatch]:
+            if not held.parts:
+                return
+            key, context, lower, times = held.merged()
+            place = range_of(key, bits)
+            edges = cuts(place)
+            first = pa.array(place[edges[:-1]])
+            yield from handed(["range", "context", "lower", "times"], [first, *(packed(x, edges) for x in (context, lower, times))])
+
+        for batch in pieces(batches, limit=SLICE):
+            symbols, edges = sequences(batch.column(0).to_pylist())
+            keys = grams(symbols, edges, length)
+            some = np.flatnonzero(keys[-1])
+            likely = shared.value.maybe(keys[-2])
+            some = some[likely[some] & likely[some - 1]]
+            held.add(keys[-1][some], keys[-2][some - 1], keys[-2][some])
+            if held.full():
+                yield from rows()
+        yield from rows()
+
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = Held(), None
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if held.parts:
+                key, context, lower, times = held.merged()
+                often = np.flatnonzero(times >= LEAST)
+                arrays = [pa.array(x[often].view(np.int64)) for x in (key, context, lower, times)]
+                yield from handed(["gram", "context", "lower", "times"], arrays, PASSED)
+
+        for place, found in runs(batches, "range"):
+            if place != now:
+                yield from rows()
+                now = place
+            n = found.num_rows
+            context, lower = (unpacked(found.column(c), 0, n, U64) for c in ("context", "lower"))
+            held.add(joint(context, lower), context, lower, times=unpacked(found.column("times"), 0, n, np.int64))
+            if held.size > HELD:
+                held.full()
+        yield from rows()
+
+    return dealt(texts.mapInArrow(run, _COUNTED), "range").mapInArrow(summed, "gram long, context long, lower long, times long")
 
 
 class Tree:
@@ -232,6 +285,12 @@ class Model(NamedTuple):
     distinct: int
     stored: list[DataFrame]
     contexts: list[DataFrame]
+    folders: list[str]  # of ``stored``
+
+    @property
+    def bits(self) -> int:
+        """Of the number of a range of grams: a range has about ``RANGE`` grams of a length at most."""
+        return max(4, (self.tokens // RANGE).bit_length())
 
     @property
     def base(self) -> float:
@@ -245,11 +304,16 @@ class Model(NamedTuple):
 
 def learn(docs: DataFrame) -> Model:
     """Count the rows that are not held out, and test all contexts of up to ``DEPTH`` words."""
+    with tidy(docs.sparkSession):
+        return _learned(docs)
+
+
+def _learned(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     texts = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
-    words = written(_counts(texts, None, 1), "words")
+    words = written(_words(texts), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
-    model = Model(words, tokens, distinct, [], [])
+    model = Model(words, tokens, distinct, [], [], [])
     last = words.where(F.col("times") >= LEAST).select(
         F.col("symbol").alias("gram"), "times", F.log10((F.col("times") + ADD) / model.base).alias("log")
     )
@@ -259,11 +323,11 @@ def learn(docs: DataFrame) -> Model:
         if not known.rows:
             break
         shared = spark.sparkContext.broadcast(known)
-        counted = _counts(texts, shared, length).where(F.col("times") >= LEAST)
-        found = written(_keyed(counted), "grams")
+        found, counted = passing(_frequent(texts, shared, length, model.bits), "grams")
         above = last.select(F.col("gram").alias("context"), F.col("times").alias("size"))
         below = last.select(F.col("gram").alias("lower"), F.col("log").alias("parent"))
-        joined = written(found.join(above, "context").join(below, "lower").drop("lower"), "joined")
+        joined, folder = passing(found.join(above, "context").join(below, "lower").drop("lower"), "joined")
+        delete_scratch(spark, counted)
         tested = joined.groupBy("context").agg(
             F.first("size").alias("size"),
             F.sum("times").alias("held"),
@@ -277,7 +341,10 @@ def learn(docs: DataFrame) -> Model:
         stored = joined.join(contexts.drop("size"), "context", "left").withColumn("kept", F.col("rest").isNotNull())
         stored = stored.withColumn("log", F.when(F.col("kept"), smooth).otherwise(F.col("parent")))
         own = F.when(F.col("kept"), F.col("log") - F.col("parent") - F.col("rest")).otherwise(0.0)
-        stored = written(stored.select("gram", "context", "times", "log", own.alias("own"), "kept"), "stored")
+        stored, place = passing(stored.select("gram", "context", "times", "log", own.alias("own"), "kept"), "stored")
+        delete_scratch(spark, folder)
+        shared.unpersist()
+        model.folders.append(place)
         model.stored.append(stored)
         model.contexts.append(contexts)
         last = stored
@@ -342,20 +409,34 @@ class Usual(NamedTuple):
 
 
 _PART = (
-    "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
-    "rare array<struct<gram: long, times: int>>"
+    "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
+    "range long, first long, grams binary, rows binary"
 )
+_TEXT = ["row_id", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
+_RARE = ["range", "first", "grams", "rows"]
+_LOOKED = "first long, range long, rows binary, bases binary, values binary"
+
+
+def _scored(texts: DataFrame, shared, bits: int) -> DataFrame:
+    """The part of every score that the broadcast grams give (``_TEXT``), and rows of the other grams that may be known
+    (``_RARE``), by range; ``rows`` counts the texts from ``first`` on."""
+    schema = pa.schema(
+        [("row_id", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64())]
+        + [("base", pa.float64()), ("score", pa.float64()), ("range", pa.int64()), ("first", pa.int64())]
+        + [("grams", pa.binary()), ("rows", pa.binary())]
+    )
 
-
-def _scored(texts: DataFrame, shared) -> DataFrame:
-    """The part of every score that the broadcast grams give, and the other grams of the text that may be known."""
+    def filled(**columns: pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         usual = shared.value
-        for batch in pieces(batches, limit=SLICE):
+        few = (b.slice(start, 1 << 16) for b in pieces(batches, limit=SLICE) for start in range(0, b.num_rows, 1 << 16))
+        for batch in few:
             n = batch.num_rows
-            symbols, edges = sequences(batch.column(2).to_pylist())
-            owner = np.repeat(np.arange(n), np.diff(edges))
+            symbols, edges = sequences(batch.column("text").to_pylist())
+            owner = np.repeat(np.arange(n, dtype=PLACE), np.diff(edges))
             known, base, score = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n)
             rare_owner, rare_gram = [], []
             for length, keys in enumerate(grams(symbols, edges, DEPTH + 1), 1):
@@ -371,66 +452,161 @@ def _scored(texts: DataFrame, shared) -> DataFrame:
                 score += np.bincount(who, weights=value[place], minlength=n)
                 rare_owner.append(owner[some[~hit]])
                 rare_gram.append(keys[some[~hit]])
+            yield filled(
+                row_id=batch.column("row_id"),
+                doc_id=batch.column("doc_id"),
+                held_out=batch.column("held_out"),
+                n_tokens=pa.array(np.diff(edges)),
+                known=pa.array(known.astype(np.int64)),
+                base=pa.array(base),
+                score=pa.array(score),
+            )
             who, gram = np.concatenate(rare_owner), np.concatenate(rare_gram)
-            order = np.lexsort((gram, who))
+            order = np.argsort(gram)
             who, gram = who[order], gram[order]
-            fresh = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (gram[1:] != gram[:-1]))) if len(who) else np.zeros(0, dtype=int)
-            times = np.diff(np.append(fresh, len(who)))
-            cuts = np.searchsorted(who[fresh], np.arange(n + 1))
-            items = pa.StructArray.from_arrays(
-                [pa.array(gram[fresh].view(np.int64)), pa.array(times.astype(np.int32))], ["gram", "times"]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(np.diff(edges)),
-                    pa.array(known.astype(np.int64)),
-                    pa.array(base),
-                    pa.array(score),
-                    pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), items),
-                ],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
-            )
+            place = range_of(gram, bits)
+            at = cuts(place)
+            if len(at) > 1:
+                first = pa.array(np.full(len(at) - 1, batch.column("row_id")[0].as_py()))
+                whole = filled(range=pa.array(place[at[:-1]]), first=first, grams=packed(gram, at), rows=packed(who, at))
+                yield from (whole.slice(start, ROWS) for start in range(0, whole.num_rows, ROWS))
 
     return texts.mapInArrow(run, _PART)
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
-    """Learn from the rows of ``docs`` that are not held out, and score every row.
+def _by_range(looked: DataFrame, bits: int) -> DataFrame:
+    """Rows of values in the shape of ``_RARE``: ``first`` is null, and ``rows`` holds base and value of each gram."""
 
-    Returns ``doc_id``, ``held_out``, ``n_tokens`` (words and one end), ``n_known`` (seen in training), ``train_tokens``, ``base_score`` (word
-    frequencies, ``ADD`` added to each count) and ``score``, both log10 of a probability of the text.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
 
-    Null and empty texts are an end alone. Repeated rows are counted and scored each. A null ``doc_id`` is not held out.
-    Without training rows every token has probability 1 at the root. Other columns are not looked at; an empty table gives an
-    empty result.
+        def rows() -> Iterator[pa.RecordBatch]:
+            gram, base, value = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(gram)
+            place = range_of(gram[order], bits)
+            at = cuts(place)
+            both = np.stack((base[order], value[order]), axis=1)
+            arrays = [pa.array(place[at[:-1]]), pa.nulls(len(at) - 1, pa.int64()), packed(gram[order], at), packed(both.ravel(), at * 2)]
+            held.clear()
+            return handed(_RARE, arrays)
+
+        for batch in batches:
+            if batch.num_rows:
+                gram = batch.column("gram").to_numpy().view(U64)
+                held.append((gram, batch.column("base").to_numpy(), batch.column("value").to_numpy()))
+            if sum(len(x[0]) for x in held) > HELD // 2:
+                yield from rows()
+        if held:
+            yield from rows()
+
+    return looked.select("gram", "base", "value").mapInArrow(run, "range long, first long, grams binary, rows binary")
+
+
+def _looked_up(rare: DataFrame, looked: DataFrame, bits: int) -> DataFrame:
+    """``row_id``, ``more_base``, ``more``, ``seen``: what the grams that are not broadcast add to each text.
+
+    In a range the values come first, then the grams of one slice of texts after the other.
     """
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, table, numbers = None, [], None, None
+        for place, found in runs(batches, "range"):
+            if place != now:
+                now, parts, table, numbers = place, [], None, np.zeros((0, 2))
+            n = found.num_rows
+            values = found.column("first").null_count  # they stand before all others
+            if values:
+                numbers_of = unpacked(found.column("rows"), 0, values, np.float64).reshape(-1, 2)
+                parts.append((unpacked(found.column("grams"), 0, values, U64), numbers_of))
+            if values == n:
+                continue
+            if table is None:
+                table = Table(np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, dtype=U64))
+                numbers = np.concatenate([numbers, *(y for _, y in parts)])
+                parts = []
+            for first, some in runs([found.slice(values)], "first"):
+                at = table.find(unpacked(some.column("grams"), 0, some.num_rows, U64))
+                hit = np.flatnonzero(at >= 0)
+                if len(hit):
+                    who = unpacked(some.column("rows"), 0, some.num_rows, PLACE)[hit]
+                    edges = np.append(np.arange(0, len(hit), ENTRIES), len(hit))
+                    both = numbers[at[hit]]
+                    same = [pa.array(np.full(len(edges) - 1, x)) for x in (first, place)]
+                    arrays = [*same, packed(who, edges), packed(both[:, 0], edges), packed(both[:, 1], edges)]
+                    yield from handed(["first", "range", "rows", "bases", "values"], arrays)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, np.zeros((0, 3))
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            some = np.flatnonzero(sums.any(axis=1))
+            arrays = [pa.array(now + some), pa.array(sums[some, 0]), pa.array(sums[some, 1]), pa.array(sums[some, 2].astype(np.int64))]
+            return handed(["row_id", "more_base", "more", "seen"], arrays, PASSED)
+
+        for first, found in runs(batches, "first"):
+            if first != now:
+                if now is not None:
+                    yield from rows()
+                now, sums = first, np.zeros((0, 3))
+            n = found.num_rows
+            who = unpacked(found.column("rows"), 0, n, PLACE)
+            base, value = (unpacked(found.column(c), 0, n, np.float64) for c in ("bases", "values"))
+            if int(who.max(initial=0)) >= len(sums):
+                sums = np.concatenate((sums, np.zeros((int(who.max()) + 1 - len(sums), 3))))
+            # A word has a base below 0, a longer gram none.
+            sums[:, 0] += np.bincount(who, weights=base, minlength=len(sums))
+            sums[:, 1] += np.bincount(who, weights=value, minlength=len(sums))
+            sums[:, 2] += np.bincount(who, weights=base < 0, minlength=len(sums))
+        if now is not None:
+            yield from rows()
+
+    both = dealt(_by_range(looked, bits).unionByName(rare.select(*_RARE)), "range", "first")
+    met, folder = passing(both.mapInArrow(find, _LOOKED), "met")
+    found, _ = passing(dealt(met, "first", "range").mapInArrow(add, "row_id long, more_base double, more double, seen long"), "sums")
+    delete_scratch(looked.sparkSession, folder)
+    return found
+
+
+def _parts(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, what the broadcast grams add to the scores, and what the others add."""
+    spark = docs.sparkSession
     model = learn(docs)
     whole = values(model)
+    for folder in model.folders:
+        delete_scratch(spark, folder)
     least = _usual_from(whole.where(~F.col("word")))
     often = F.col("times") >= F.when(F.col("word"), model.often).otherwise(least)
     words = _columns(whole.where(F.col("word") & often).select("gram", "base", "value"))
     grams_ = _columns(whole.where(~F.col("word") & often).select("gram", "value"))
     order, order_ = np.argsort(words["gram"]), np.argsort(grams_["gram"])
     tables = [words[n][order] for n in ("gram", "base", "value")] + [grams_[n][order_] for n in ("gram", "value")]
-    shared = docs.sparkSession.sparkContext.broadcast(Usual(Bitmap(whole.select("gram")), *tables))
+    shared = spark.sparkContext.broadcast(Usual(Bitmap(whole.select("gram")), *tables))
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         held_out(F.col("doc_id")).alias("held_out"),
         F.col("text").cast("string").alias("text"),
+        F.monotonically_increasing_id().alias("row_id"),  # consecutive in a slice
     )
-    part = written(_scored(texts, shared).withColumn("row_id", F.monotonically_increasing_id()), "parts")
-    rare = part.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.gram", F.col("r.times").alias("held"))
-    looked = rare.join(whole.where(~often).select("gram", "word", "base", "value"), "gram")
-    sums = looked.groupBy("row_id").agg(
-        F.sum(F.col("held") * F.col("base")).alias("more_base"),
-        F.sum(F.col("held") * F.col("value")).alias("more"),
-        F.sum(F.when(F.col("word"), F.col("held")).otherwise(0)).alias("seen"),
-    )
+    part = written(_scored(texts, shared, model.bits), "parts")
+    rare = part.where("range IS NOT NULL").select(*_RARE)
+    return model, part, _looked_up(rare, whole.where(~often), model.bits)
+
+
+def score_texts(docs: DataFrame) -> DataFrame:
+    """Learn from the rows of ``docs`` that are not held out, and score every row.
+
+    Returns ``doc_id``, ``held_out``, ``n_tokens`` (words and one end), ``n_known`` (seen in training), ``train_tokens``, ``base_score`` (word
+    frequencies, ``ADD`` added to each count) and ``score``, both log10 of a probability of the text.
+
+    Null and empty texts are an end alone. Repeated rows are counted and scored each. A null ``doc_id`` is not held out.
+    Without training rows every token has probability 1 at the root. Other columns are not looked at; an empty table gives an
+    empty result.
+    """
+    with tidy(docs.sparkSession):
+        model, part, sums = _parts(docs)
     n_known = F.col("known") + F.coalesce("seen", F.lit(0))
     unknown = (F.col("n_tokens") - n_known) * float(np.log10(ADD / model.base))
-    return part.drop("rare").join(sums, "row_id", "left").select(
+    return part.where("row_id IS NOT NULL").select(*_TEXT).join(sums, "row_id", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

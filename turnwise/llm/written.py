@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.session import configure, scratch_path
 
 BATCH_ROWS = 2000
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -21,6 +25,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries made inside the block delete the files of their shuffles when they end, not at some later collection.
+
+    A DataFrame that is handed out is better made outside, as whoever runs it again would need these files.
+    """
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, before)
+
+
+def passing(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """:func:`written` for a large table that is soon deleted: the written rows and their folder. What was shuffled to make them
+    is deleted at once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with tidy(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with the settings that the operators want.
 
