@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
@@ -62,6 +63,19 @@ def test_stages_take_effect(spark, documents, tmp_path):
     check_packing([(r["doc_id"], r["text"]) for r in after.collect()], final, 2048)
 
 
+def test_own_columns_of_the_documents_stay(spark, documents, tmp_path):
+    texts = [(i, random_text(i, 60, 50_000)) for i in range(40)] + [(3, random_text(3, 60, 50_000)), (50, None)]
+    own = {"score": 7.5, "nth": 2, "Score_": 1}
+    docs = documents(texts).withColumns({name: F.lit(value) for name, value in own.items()})
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    clean = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    one = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert clean.columns == one.columns == docs.columns
+    assert one.count() == 41 and clean.count() <= 42
+    assert {(r["score"], r["nth"], r["Score_"]) for r in one.collect() + clean.collect()} == {(7.5, 2, 1)}
+
+
 def test_an_empty_corpus(spark, documents, tmp_path):
     documents([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -76,4 +90,4 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_has_a_query():
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES}
-    assert numbers == set(range(1, 11)) and "pipeline" in queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in queries()

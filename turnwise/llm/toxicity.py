@@ -121,8 +121,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return featured.groupBy(F.lit(0).alias("all")).applyInArrow(_fit, "place long, weight double")
 
 
-def score_toxicity(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """``docs`` with a column ``score`` more. The model has at most ``2 ** BITS + 1`` rows and is broadcast.
+def score_toxicity(docs: DataFrame, model: DataFrame, column: str = "score") -> DataFrame:
+    """``docs`` with one column more, which must not be there yet. The model has at most ``2 ** BITS + 1`` rows and is broadcast.
 
     Null and empty texts get the score of a text without features; without a model (no labels) every score is 0.
     """
@@ -145,11 +145,11 @@ def score_toxicity(docs: DataFrame, model: DataFrame) -> DataFrame:
             score = 1.0 / (1.0 + np.exp(-np.clip(total + weights[-1], -700, 700)))
             if weights[-1] == -np.inf:
                 score = np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, column])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType([*docs.schema.fields]).add("score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(column, DoubleType())
     return docs.mapInArrow(run, schema)
 
 
