@@ -24,11 +24,20 @@ def _checked(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A name for a column of a stage's own, whatever columns ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. The model is learned from the labels of the documents here, as in ``op10``."""
     prepared(spark)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model).where("score < 0.5").select(*docs.columns)
+    score = _fresh(docs, "score")
+    return score_toxicity(docs, model, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +53,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not again.isEmpty():
         again = _checked(again)
         order = Window.partitionBy("doc_id", "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
-        first = kept.join(again, "doc_id", "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1")
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(first.drop("nth"))
+        nth = _fresh(docs, "nth")
+        first = kept.join(again, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(first.drop(nth))
     return kept.select(*docs.columns)
 
 
