@@ -1,4 +1,6 @@
+from collections import Counter
 from itertools import product
+from random import Random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -504,3 +506,36 @@ def test_wide_vectors_of_a_long_conversation(spark, dims):
     for a, b in product("ABC", "ABC"):
         cells = [cosine[i, j] for i in range(150) for j in range(i + 1, 150) if (speakers[i], speakers[j]) == (a, b)]
         assert abs(grouped[a, b] - sum(cells) / len(cells)) < 1e-9
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 20, 70])
+def test_masks_count_as_windows_do(spark, width):
+    """Against windows that are written out: short turns, turns of several stretches, empty turns and sentences."""
+    random = Random(width)
+    long = [[random.choice("abcdefg") for _ in range(random.randint(0, 3))] for _ in range(200)]
+    turns = [[], [[]], [["a"]], [["a", "b"], ["c"]], [["b"]] * 90, long]
+    turns = [[list(dict.fromkeys(s)) for s in turn] for turn in turns]
+    rows = [(0, i // 3, i, turn) for i, turn in enumerate(turns)]
+    terms = spark.createDataFrame(rows, "conv_id bigint, block bigint, turn bigint, sentences array<array<string>>")
+    windows, pairs, occurs = 0, Counter(), Counter()
+    for turn in turns:
+        for start in range(max(len(turn) - width, 0) + 1):
+            held = sorted({t for s in turn[start : start + width] for t in s})
+            windows += 1
+            occurs.update(held)
+            pairs.update((a, b) for a in held for b in held if a != b)
+    base = concepts.window_terms(terms, width)
+    assert concepts.total_windows(base).first()["n_windows"] == windows
+    assert {r["term"]: r["occurrence"] for r in concepts.term_occurrence(base).collect()} == occurs
+    assert {(r["term_i"], r["term_j"]): r["n"] for r in concepts.term_cooccurrence(base).collect()} == pairs
+    cells = {(r["term_i"], r["term_j"]): r for r in concepts.term_contingency(base).collect()}
+    assert {k: r["i_j"] for k, r in cells.items()} == pairs
+    assert all(r["i_j"] + r["i_not_j"] == occurs[i] for (i, _), r in cells.items())
+    lists = concepts.key_term_lists(base, ["c", "nowhere", "a"])
+    weights = {r["term"]: r["weights"] for r in concepts.key_similarity(base, lists, 3).collect()}
+    full = {(r["term_i"], r["term_j"]): r["similarity"] for r in concepts.window_term_similarity(base).collect()}
+    for term in occurs:
+        assert weights[term] == pytest.approx([full.get(("c", term), 0), 0, full.get(("a", term), 0)])
+    masks = concepts.window_masks(base).groupBy("turn", "stretch", "term").count()
+    assert masks.filter("count > 1").isEmpty()
+    assert masks.filter("turn = 4").count() <= 90 // 16 + 1  # a term that is in all windows: one row a stretch

@@ -22,6 +22,9 @@ from turnwise.operators.pairs import turn_pairs
 from turnwise.operators.prepare import with_block
 from turnwise.operators.terms import check_key_terms
 
+# Windows per mask: enough for neighbours to share one, few enough that the terms of a stretch meet mostly.
+SHORTEST_STRETCH, LONGEST_STRETCH = 16, 64
+
 
 def sliding_windows(items: Column, width: int) -> Column:
     """All runs of ``width`` neighbouring items; one run of everything where there are fewer."""
@@ -69,26 +72,59 @@ def sentence_terms(
 
 
 def window_terms(terms: DataFrame, width: int = 3) -> DataFrame:
-    """``conv_id, [block,] turn, windows``: the different terms of each window of sentences."""
+    """``conv_id, [block,] turn, sentences, width``: what the windows of sentences are told from.
+
+    No window is ever a row: see :func:`window_masks`.
+    """
     if width < 1:
         raise ValueError("a window needs at least one sentence")
-    windows = F.transform(
-        sliding_windows(F.col("sentences"), width), lambda run: F.array_distinct(F.flatten(run))
-    )
-    return terms.select(*place(terms), "turn", windows.alias("windows"))
+    return terms.select(*place(terms), "turn", "sentences", F.lit(width).alias("width"))
+
+
+def in_sentences(base: DataFrame) -> DataFrame:
+    """A table of :func:`window_terms`; windows given as such (a column ``windows``) are windows of one sentence."""
+    if "windows" not in base.columns:
+        return base
+    return base.withColumnRenamed("windows", "sentences").withColumn("width", F.lit(1))
 
 
 def total_windows(base: DataFrame) -> DataFrame:
     """``conv_id, n_windows``; a turn without sentences has one (empty) window."""
-    return base.groupBy("conv_id").agg(F.sum(F.size("windows")).cast("bigint").alias("n_windows"))
+    windows = F.greatest(F.size("sentences") - F.col("width") + 1, F.lit(1))
+    return in_sentences(base).groupBy("conv_id").agg(F.sum(windows).cast("bigint").alias("n_windows"))
+
+
+def window_masks(base: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """``conv_id, [block,] turn, [kept,] stretch, term, mask``: the windows that hold a term, one bit each.
+
+    The windows of a turn are cut into stretches of at most 64 neighbours. A sentence lies in a run of windows, so it gives its
+    terms one run of bits per stretch, however wide the windows are; windows with two terms are the bits in both masks.
+    """
+    stretch = F.least(F.lit(LONGEST_STRETCH), F.greatest(F.lit(SHORTEST_STRETCH), F.col("width") * 4))
+    where = [*place(base), "turn", *kept]
+    placed = in_sentences(base).select(
+        *where,
+        "width",
+        stretch.alias("bits"),
+        F.greatest(F.size("sentences") - F.col("width"), F.lit(0)).alias("end"),
+        F.posexplode("sentences").alias("at", "words"),
+    ).withColumns(
+        {"first": F.greatest(F.col("at") - F.col("width") + 1, F.lit(0)), "last": F.least("at", "end")}
+    )
+    runs = placed.withColumn("stretch", F.explode(F.expr("sequence(first div bits, last div bits)")))
+    low = F.expr("cast(greatest(first - stretch * bits, 0) AS int)")
+    high = F.expr("cast(least(last - stretch * bits, bits - 1) AS int)")
+    ones = F.lit(-1).cast("bigint")
+    run = F.call_function("shiftleft", ones, low).bitwiseAND(F.call_function("shiftrightunsigned", ones, 63 - high))
+    words = runs.select(*where, "stretch", run.alias("run"), F.explode("words").alias("term"))
+    return words.groupBy(*where, "stretch", "term").agg(F.bit_or("run").alias("mask"))
 
 
 def term_counts(base: DataFrame) -> DataFrame:
     """``conv_id, term, occurrence, n_turns``: windows and turns holding the term."""
-    words = F.explode(F.flatten("windows")).alias("term")
-    per_turn = base.select(*place(base), "turn", words).groupBy(*place(base), "turn", "term")
+    per_turn = window_masks(base).groupBy(*place(base), "turn", "term")
     return (
-        per_turn.agg(F.count("*").alias("n"))
+        per_turn.agg(F.sum(F.bit_count("mask")).alias("n"))
         .groupBy("conv_id", "term")
         .agg(F.sum("n").alias("occurrence"), F.count("*").alias("n_turns"))
     )
@@ -96,30 +132,45 @@ def term_counts(base: DataFrame) -> DataFrame:
 
 def term_occurrence(base: DataFrame) -> DataFrame:
     """``conv_id, term, occurrence``: windows containing the term."""
-    terms = base.select("conv_id", F.explode(F.flatten("windows")).alias("term"))
-    return terms.groupBy("conv_id", "term").agg(F.count("*").alias("occurrence"))
+    return window_masks(base).groupBy("conv_id", "term").agg(F.sum(F.bit_count("mask")).alias("occurrence"))
 
 
-def _pair_counts(base: DataFrame) -> DataFrame:
-    """``conv_id, term_i, term_j, n, o_i, o_j, n_windows`` for every pair that occurs together, ``term_i < term_j``.
+def _stretch_pairs(masks: DataFrame, kept: Sequence[str], carried: Sequence[str]) -> DataFrame:
+    """``conv_id, kept, i, j, n``: the terms that meet in a stretch, as structs of ``term, mask, carried``, ``i.term < j.term``.
 
-    The windows are dealt out by themselves, not by conversation, so a huge conversation is counted in many
-    tasks; the number of windows of each term travels beside the term, so the table of pairs is joined with nothing.
+    Stretches are dealt out by themselves, not by conversation or turn, so a huge conversation and a turn as long as a
+    book are counted in many tasks.
     """
-    counted = attach(base, total_windows(base)).select(
-        "conv_id", "n_windows", "turn", F.posexplode("windows").alias("window", "w")
+    keys = ["conv_id", "turn", "stretch"]
+    entry = F.struct("term", "mask", *carried)
+    lists = (
+        masks.repartition(*keys)
+        .groupBy(*keys)
+        .agg(*[F.first(c).alias(c) for c in kept], F.sort_array(F.collect_list(entry)).alias("w"))
     )
-    words = counted.select("conv_id", "n_windows", "turn", "window", F.explode("w").alias("term"))
-    known = words.join(term_occurrence(base), ["conv_id", "term"])
-    entry = F.struct("term", F.col("occurrence").alias("o"))
-    windows = known.groupBy("conv_id", "turn", "window").agg(
-        F.first("n_windows").alias("n_windows"), F.sort_array(F.collect_list(entry)).alias("w")
+    first = lists.select("conv_id", *kept, "w", F.posexplode("w").alias("at", "i"))
+    later = F.filter(
+        F.slice("w", F.col("at") + 2, F.size("w")), lambda j: j["mask"].bitwiseAND(F.col("i.mask")) != 0
     )
-    later = F.slice("w", F.col("at") + 2, F.size("w"))
-    first = windows.select("conv_id", "n_windows", "w", F.posexplode("w").alias("at", "i"))
-    pairs = first.select("conv_id", "n_windows", "i", F.explode(later).alias("j"))
+    pairs = first.select("conv_id", *kept, "i", F.explode(later).alias("j"))
+    both = F.bit_count(F.col("i.mask").bitwiseAND(F.col("j.mask")))
+    return pairs.withColumn("n", both)
+
+
+def _pair_counts(base: DataFrame) -> DataFrame:
+    """``conv_id, term_i, term_j, n, o_i, o_j, n_windows`` for every pair that occurs together, ``term_i < term_j``.
+
+    The number of windows of each term travels beside the term, so the table of pairs is joined with nothing. A term meets its
+    number once per block, with all its masks there in one row, so a term that is everywhere in a huge conversation is no hot key.
+    """
+    masks = window_masks(attach(base, total_windows(base)), ["n_windows"])
+    span = F.struct("turn", "stretch", "mask")
+    postings = masks.groupBy(*place(base), "n_windows", "term").agg(F.collect_list(span).alias("spans"))
+    known = postings.join(term_occurrence(base), ["conv_id", "term"])
+    spans = known.select("conv_id", "n_windows", "term", F.col("occurrence").alias("o"), F.inline("spans"))
+    pairs = _stretch_pairs(spans, ["n_windows"], ["o"])
     return pairs.groupBy("conv_id", F.col("i.term").alias("term_i"), F.col("j.term").alias("term_j")).agg(
-        F.count("*").alias("n"),
+        F.sum("n").alias("n"),
         F.first("i.o").alias("o_i"),
         F.first("j.o").alias("o_j"),
         F.first("n_windows").alias("n_windows"),
@@ -136,13 +187,9 @@ def _mirrored(pairs: DataFrame, kept: Sequence[str], swapped: Sequence[tuple[str
 
 def term_cooccurrence(base: DataFrame) -> DataFrame:
     """``conv_id, term_i, term_j, n``: windows containing both, for every ordered pair that occurs."""
-    window = base.select("conv_id", F.explode("windows").alias("w"))
-    # Dealt out by window: the pairs of a huge conversation are counted in many tasks.
-    spread = window.repartition(F.col("conv_id"), F.xxhash64("w"))
-    first = spread.select("conv_id", "w", F.explode("w").alias("term_i"))
-    later = F.filter("w", lambda t: t > F.col("term_i"))
-    pairs = first.select("conv_id", "term_i", F.explode(later).alias("term_j"))
-    counts = pairs.groupBy("conv_id", "term_i", "term_j").agg(F.count("*").alias("n"))
+    pairs = _stretch_pairs(window_masks(base), [], [])
+    terms = [F.col("i.term").alias("term_i"), F.col("j.term").alias("term_j")]
+    counts = pairs.groupBy("conv_id", *terms).agg(F.sum("n").alias("n"))
     return _mirrored(counts, ["n"])
 
 
@@ -187,12 +234,16 @@ def contingency_cells(cooccurrence: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def similarity_score(i_j: Column, i_not_j: Column, not_i_j: Column, neither: Column, n: Column) -> Column:
-    """The term similarity from a contingency table."""
+    """The term similarity from a contingency table.
 
-    def probability(count: Column) -> Column:
-        return F.when(count == 0, F.lit(1.0)).otherwise(count / n)
+    The number of windows cancels out; a probability that counts as 1 is a count of ``n``. Products of whole numbers and one
+    division: sums of such values hardly depend on the order of the rows.
+    """
+
+    def counted(count: Column) -> Column:
+        return F.when(count == 0, n).otherwise(count).cast("double")
 
-    return (i_j / n) * probability(neither) / (probability(not_i_j) * probability(i_not_j))
+    return i_j.cast("double") * counted(neither) / (counted(not_i_j) * counted(i_not_j))
 
 
 def term_similarity(contingency: DataFrame) -> DataFrame:
@@ -240,43 +291,38 @@ def key_term_count(key_terms: int | Sequence[str]) -> int:
 def key_similarity(base: DataFrame, lists: DataFrame, n_terms: int) -> DataFrame:
     """``conv_id, term, weights``: similarity of a term with each key term, in rank order.
 
-    One aggregation over the terms of the windows, with one counter per key term: key terms times
+    One aggregation over the terms of the stretches of windows, with one counter per key term: key terms times
     vocabulary, never vocabulary squared, and no pair of terms is ever a row.
     """
     ranks = F.sequence(F.lit(1), F.lit(n_terms))
-    known = F.map_from_arrays("key_terms.rank", "key_terms.occurrence")
+
+    def by_rank(field: str) -> Column:
+        known = F.map_from_arrays("key_terms.rank", f"key_terms.{field}")
+        return binding(known, lambda values: F.transform(ranks, lambda r: F.element_at(values, r)))
+
     facts = lists.select(
         "conv_id",
         "n_windows",
-        F.col("key_terms.term").alias("names"),
-        F.col("key_terms.rank").alias("ranks"),
-        binding(
-            known,
-            lambda by_rank: F.transform(
-                ranks, lambda r: F.coalesce(F.element_at(by_rank, r), F.lit(0))
-            ),
-        ).alias("o_keys"),
+        by_rank("term").alias("names"),
+        F.transform(by_rank("occurrence"), lambda o: F.coalesce(o, F.lit(0))).alias("o_keys"),
     )
     kept = ["conv_id", "n_windows", "o_keys"]
-    windows = attach(base, facts).select(*kept, "names", "ranks", F.explode("windows").alias("w"))
-    # Ranks of the key terms a window holds: found once per window, not once per term of it.
-    held = F.filter(
-        F.zip_with(
-            "names", "ranks", lambda name, rank: F.when(F.array_contains(F.col("w"), name), rank)
-        ),
-        lambda rank: rank.isNotNull(),
+    stretches = window_masks(base).groupBy(*place(base), "turn", "stretch")
+    held = attach(stretches.agg(F.collect_list(F.struct("term", "mask")).alias("w")), facts)
+    # Masks of the key terms: found once per stretch, not once per term of it.
+    masks = binding(
+        F.map_from_entries("w"),
+        lambda found: F.transform("names", lambda name: F.coalesce(F.element_at(found, name), F.lit(0).cast("bigint"))),
     )
-    windows = windows.select(*kept, "names", "ranks", held.alias("held"), "w")
-    terms = windows.select(*kept, "names", "ranks", "held", F.explode("w").alias("term"))
-    at = F.array_position("names", F.col("term")).cast("int")
-    own = F.coalesce(F.get("ranks", at - 1), F.lit(0))
+    terms = held.select(*kept, "names", masks.alias("masks"), F.inline("w"))
+    own = F.coalesce(F.array_position("names", F.col("term")), F.lit(0))
     counts = (
-        terms.select(*kept, "held", "term", own.alias("own"))
+        terms.select(*kept, "masks", "term", "mask", own.alias("own"))
         .groupBy(*kept, "term")
         .agg(
-            F.count("*").alias("o_term"),
+            F.sum(F.bit_count("mask")).alias("o_term"),
             *[
-                F.expr(f"count_if(array_contains(held, {r}) AND own <> {r}) AS c{r}")
+                F.expr(f"sum(if(own = {r}, 0, bit_count(mask & masks[{r - 1}]))) AS c{r}")
                 for r in range(1, n_terms + 1)
             ],
         )
@@ -299,8 +345,8 @@ def _with_turns(base: DataFrame, weights: DataFrame) -> DataFrame:
     The terms of a block become posting lists in place (at most one block of turns long), so a term
     that is everywhere in a huge conversation meets its weights block by block.
     """
-    words = F.explode(F.array_distinct(F.flatten("windows"))).alias("term")
-    terms = base.select(*place(base), "turn", words)
+    words = F.explode(F.array_distinct(F.flatten("sentences"))).alias("term")
+    terms = in_sentences(base).select(*place(base), "turn", words)
     postings = terms.groupBy(*place(base), "term").agg(F.collect_list("turn").alias("turns"))
     met = postings.join(weights, ["conv_id", "term"])
     return met.select(
@@ -337,10 +383,10 @@ def concept_vectors_all(base: DataFrame, similarity: DataFrame) -> DataFrame:
 
 def term_overlap(base: DataFrame, lists: DataFrame) -> DataFrame:
     """``conv_id, row_turn, col_turn, n_terms``: key terms two turns share, where there are any."""
-    held = attach(base, lists).select(
+    held = attach(in_sentences(base), lists).select(
         "conv_id",
         "turn",
-        F.array_intersect(F.col("key_terms.term"), F.flatten("windows")).alias("held"),
+        F.array_intersect(F.col("key_terms.term"), F.flatten("sentences")).alias("held"),
     )
     pairs = turn_pairs(held.filter(F.size("held") > 0), ["held"], brief="block" not in base.columns)
     shared = F.size(F.array_intersect("a.held", "b.held")).cast("bigint")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.operators.cells import WIDTH, in_cells, meet
+from turnwise.operators.concepts import in_sentences
 from turnwise.operators.ordering import attach, block_of
 
 CELL = 1 << 16  # entries of a block in a cell, about
@@ -141,5 +142,5 @@ def unit_entries(vectors: DataFrame) -> DataFrame:
 
 def turn_terms(base: DataFrame) -> DataFrame:
     """Every term of every turn with the value 1."""
-    terms = F.explode(F.array_distinct(F.flatten("windows"))).alias("term")
-    return base.select("conv_id", "turn", terms).withColumn("x", F.lit(1.0))
+    terms = F.explode(F.array_distinct(F.flatten("sentences"))).alias("term")
+    return in_sentences(base).select("conv_id", "turn", terms).withColumn("x", F.lit(1.0))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.text import TextFunction, tokens
 from turnwise.operators.cells import WIDTH, in_cells, lists, matrix, meet
+from turnwise.operators.concepts import in_sentences
 from turnwise.operators.ordering import attach, block_of, place
 from turnwise.operators.pairs import dot, dot_arrays, unit_vectors
 
@@ -80,8 +81,8 @@ def _key_units(lists: DataFrame, units: DataFrame, shape: tuple[int, int]) -> Da
 
 
 def _turn_words(base: DataFrame) -> DataFrame:
-    words = F.explode(F.array_distinct(F.flatten("windows"))).alias("term")
-    return base.select(*place(base), "turn", words)
+    words = F.explode(F.array_distinct(F.flatten("sentences"))).alias("term")
+    return in_sentences(base).select(*place(base), "turn", words)
 
 
 def term_similarity(base: DataFrame, lists: DataFrame, word_vectors: DataFrame) -> DataFrame:
