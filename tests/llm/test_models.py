@@ -101,6 +101,16 @@ def test_labels_of_held_out_rows_and_other_columns_do_not_count(spark, documents
     assert rows(tox.toxicity(docs, labels), "doc_id", "score") == rows(tox.toxicity(other, turned), "doc_id", "score")
 
 
+def test_an_id_in_many_rows_is_learned_from_once(spark, documents):
+    rows = [(i, "fine words" if i % 2 else "vile scum") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    plain = sorted(map(tuple, tox.fit_toxicity(documents(rows), labels).collect()))
+    often = documents(rows + [(1, "fine words"), (2, "wholly other words"), (2, None)] * 40)
+    assert sorted(map(tuple, tox.fit_toxicity(often, labels).collect())) == plain
+    few = tox.fit_toxicity(documents(rows), labels, sample_rows=5)
+    assert few.count() <= len(plain)
+
+
 def test_toxicity_of_odd_rows(spark, documents):
     docs, labels, _ = labelled(spark, documents, 100)
     odd = documents([(1000, None), (1001, ""), (None, "idiot"), (1002, "x " * 50_000), (3, "again"), (3, "again")])

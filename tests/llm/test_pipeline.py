@@ -63,6 +63,19 @@ def test_stages_take_effect(spark, documents, tmp_path):
     check_packing([(r["doc_id"], r["text"]) for r in after.collect()], final, 2048)
 
 
+def test_an_id_with_several_texts_loses_only_the_copies(spark, documents):
+    a, b, c = (random_text(70 + i, 60, 50_000) for i in range(3))
+    near = " ".join(b.split()[:-1])
+    given = [(3, a), (7, a), (7, b), (7, b), (9, near), (9, c), (7, near), (8, None), (8, ""), (8, ""), (8, a), (5, c), (None, a)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(given), "")
+    rows = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    want = [(3, a), (7, min(b, near)), (8, None), (8, ""), (5, c), (None, a)]
+    assert rows == sorted(want, key=repr)
+    # Two classes whose least id is the same keep a row each.
+    both = corpus_pipeline.drop_near_duplicates(spark, documents([(7, a), (7, b), (8, a), (9, b)]), "")
+    assert sorted(r["text"] for r in both.collect()) == sorted([a, b])
+
+
 def test_own_columns_of_the_documents_stay(spark, documents, tmp_path):
     texts = [(i, random_text(i, 60, 50_000)) for i in range(40)] + [(3, random_text(3, 60, 50_000)), (50, None)]
     own = {"score": 7.5, "nth": 2, "Score_": 1}

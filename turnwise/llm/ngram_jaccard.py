@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from turnwise.llm.components import components
 from turnwise.llm.words import U64, batch_words, mix, pieces, seeds
@@ -109,6 +110,21 @@ def shingle_table(docs: DataFrame, words: int) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, n_shingles long, key long")
 
 
+def with_set_key(docs: DataFrame, column: str, size: str, words: int = 5) -> DataFrame:
+    """``docs`` with the key of the shingle set of each row and its size, as two columns that must not be there yet."""
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text=names[at]):
+            sets = shingle_sets(batch.column(at).to_pylist(), words)
+            more = [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, column, size])
+
+    schema = StructType([*docs.schema.fields]).add(column, LongType()).add(size, LongType())
+    return docs.mapInArrow(run, schema)
+
+
 _COUNTED = "part int, one binary, keys binary, many binary, local_keys binary, local_counts binary"
 
 
@@ -400,7 +416,7 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     ``docs`` needs ``doc_id`` and ``text``; other columns are not looked at. Words are runs of characters other
     than ASCII white space, A to Z lower-cased; a text of fewer than ``words`` words is one shingle. Returns one row
     per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the least ``doc_id`` that links lead to, its own
-    included), ``n_links`` (linked rows, copies included).
+    included), ``n_links`` (linked rows, copies included), ``set_key`` (equal sets) and ``class_key`` (sets that links connect).
 
     Null and empty texts have no shingles and no links. Repeated rows are copies of each other and link. A null
     ``doc_id`` takes part through rows with the same set and an id only; alone it has a null component. An empty
@@ -421,7 +437,7 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     linked = components(found.where("a <> b").select("a", "b"))
     named = linked.join(nodes.select(F.col("key").alias("node"), "first_id"), "node")
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = linked.join(first, "root").select(F.col("node").alias("key"), "component_id")
+    component = linked.join(first, "root").select(F.col("node").alias("key"), "component_id", "root")
     counts = found.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     classes = (
         nodes.join(component, "key", "left")
@@ -429,12 +445,13 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
         .select(
             "key",
             F.coalesce("component_id", "first_id").alias("component_id"),
+            F.coalesce("root", "key").alias("class_key"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
     classes = written(classes, "classes")
     full = table.where("n_shingles > 0").join(classes, "key")
-    empty = table.where("n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")
-    )
-    return full.select("doc_id", "n_shingles", "component_id", "n_links").union(empty)
+    alone = [F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")]
+    empty = table.where("n_shingles = 0").select("doc_id", "n_shingles", *alone, "key", F.col("key").alias("class_key"))
+    every = full.select(*empty.columns).union(empty)
+    return every.withColumnRenamed("key", "set_key")

@@ -90,11 +90,11 @@ def held_out(doc_id, folds: int = FOLDS):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``place``, ``weight``: the model, learned from the labelled rows that are not held out.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``place``, ``weight``: the model, learned from the labelled rows that are not held out, at most ``sample_rows`` of them.
 
     ``docs`` needs ``doc_id`` and ``text``, ``labels`` ``doc_id`` and ``toxic``; a document with several labels is toxic if one
-    of them says so. Null ids and labels are not learned from.
+    of them says so. Null ids and labels are not learned from. Of an id with several rows the least text is learned from.
     """
     given = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     given = given.where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -102,10 +102,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         given.agg((F.max("toxic") > 0).cast("int").alias("label"))
         .withColumn("hash", F.xxhash64("doc_id"))
         .orderBy("hash", "doc_id")
-        .limit(TRAIN_ROWS)
+        .limit(sample_rows)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "hash", "label", "text")  # at most TRAIN_ROWS
+    labelled = texts.join(F.broadcast(sample), "doc_id")  # at most sample_rows ids
+    rows = labelled.groupBy("doc_id", "hash", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=SLICE):
