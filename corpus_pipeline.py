@@ -7,11 +7,11 @@ and reads it again as the documents of the next stage. All stages but the last r
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm.chunk_dedup import remove_spans, repeated_spans
-from turnwise.llm.ngram_jaccard import ngram_jaccard_join
+from turnwise.llm.ngram_jaccard import ngram_jaccard_join, with_set_key
 from turnwise.llm.packing import pack
 from turnwise.llm.toxicity import fit_toxicity, score_toxicity
 from turnwise.llm.written import prepared, written
@@ -41,22 +41,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the least ``doc_id`` stays; of rows that repeat id and text, one.
+    """Of documents that links connect, the one with the least ``doc_id`` stays; of its rows that repeat, one.
 
-    Rows without an id cannot be named by others and stay.
+    Rows are told apart by id and set of shingles, so an id that stands with several texts loses only those that others stand
+    for. Rows without words stay, once per id and text. Rows without an id cannot be named by others and stay.
     """
     prepared(spark)
-    groups = written(ngram_jaccard_join(docs).select("doc_id", "component_id"), "groups")
-    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(_checked(gone), "doc_id", "left_anti")
-    again = written(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if not again.isEmpty():
-        again = _checked(again)
-        order = Window.partitionBy("doc_id", "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
-        nth = _fresh(docs, "nth")
-        first = kept.join(again, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(first.drop(nth))
-    return kept.select(*docs.columns)
+    found = ngram_jaccard_join(docs).where("doc_id IS NOT NULL")
+    groups = written(found.select("doc_id", "set_key", "class_key", "component_id"), "groups")
+    repeats = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    ids = written(repeats.where("n > 1 OR component_id <> doc_id"), "ids")
+    kept = docs.join(_checked(ids.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    again = ids.where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    again = _checked(again)
+    own, key, size = (_fresh(docs, name) for name in ("group", "set_key", "set_size"))
+    rows = with_set_key(docs.join(again, "doc_id", "left_semi").select(*docs.columns), key, size)
+    least = groups.join(again, "doc_id", "left_semi").where("doc_id = component_id")
+    least = least.select("doc_id", F.col("set_key").alias(key), F.col("class_key").alias(own)).distinct()
+    first = F.min(F.struct(*docs.columns)).alias("row")
+    text = F.when(F.col(size) == 0, F.col("text"))
+    once = rows.join(least, ["doc_id", key]).groupBy("doc_id", own, text.alias("words")).agg(first)
+    return kept.unionByName(once.select("row.*"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
