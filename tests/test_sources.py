@@ -129,3 +129,15 @@ def test_prepared_texts(spark):
     assert [(r["text_id"], r["text"], r["tokens"]) for r in got] == [(0, "a", ["a"]), (1, "b", ["b"])]
     with pytest.raises(ValueError, match="order"):
         prepare.prepare_texts(df, "body")
+
+
+def test_rows_of_a_folder_that_holds_one_text(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    lines = [(i, f"line {i}\nmore {i}") for i in range(50)]
+    df = spark.createDataFrame(lines, "id bigint, text string").repartitionByRange(7, "id").sortWithinPartitions("id")
+    df.select("text").write.text(path)
+    found = files.read_lines(spark, path, as_one=True)
+    assert found.select("source_file").distinct().count() > 1
+    want = [(i, t) for i, t in enumerate(x for _, text in lines for x in text.split("\n"))]
+    assert sorted((r["row"], r["text"]) for r in found.collect()) == want
+    assert found.select("source_file").distinct().count() == files.read_lines(spark, path).where("row = 0").count()

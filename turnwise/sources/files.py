@@ -124,15 +124,26 @@ def _raw_lines(spark: SparkSession, path: str, encoding: str) -> tuple[DataFrame
     return joined, small, None if small else "__at"
 
 
-def read_lines(spark: SparkSession, path: str, *, encoding: str = "fallback") -> DataFrame:
+def _as_one(numbered: DataFrame) -> DataFrame:
+    """Rows of the files of a folder, numbered per file, numbered on over all of them in the order of their names."""
+    sizes = numbered.groupBy("source_file").agg(F.count("*").alias("__rows"))
+    before = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("source_file", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    joined = numbered.join(starts, "source_file")
+    return joined.withColumn("row", (F.col("__start") + F.col("row")).cast("bigint")).drop("__start")
+
+
+def read_lines(spark: SparkSession, path: str, *, encoding: str = "fallback", as_one: bool = False) -> DataFrame:
     """Text files, one text per line: ``source_file, text, row``.
 
     Lines are stripped, those of at most one character dropped, the rest numbered per file.
     ``encoding="fallback"`` reads a file as UTF-8 if all of it is valid, else as Latin-1; naming
-    the encoding saves that pass.
+    the encoding saves that pass. With ``as_one`` the path is a folder that holds one text in several files, in the order of
+    their names (as Spark writes a sorted table), and rows are numbered on from file to file.
     """
     lines, small, place = _raw_lines(spark, path, encoding)
-    return number_file_rows(plain_lines(lines), small=small, place=place)
+    numbered = number_file_rows(plain_lines(lines), small=small, place=place)
+    return _as_one(numbered) if as_one else numbered
 
 
 def read_keyed_lines(
