@@ -20,6 +20,7 @@ def talk(spark):
             rows.append((conv, turn, "A", text))
             if (conv, turn) in ((2, 1), (2, 3)):
                 rows.append((conv, turn, "A", text if turn == 1 else "wak wbl. wcm"))
+    rows += [(0, 9, "A", None), (3, 0, "A", None), (2, 2, None, None)]  # a text that is null is one window
     return spark.createDataFrame(rows, "conv_id bigint, turn bigint, speaker string, text string")
 
 

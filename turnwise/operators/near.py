@@ -174,7 +174,7 @@ def _turn_pairs(cell: pa.Table, n: int) -> Iterator[pa.Table]:
 
 
 def _by_conversation(base: DataFrame, work, schema: str) -> DataFrame:
-    rows = base.select("conv_id", "turn", "sentences", F.col("width").cast("int").alias("width")).where("sentences IS NOT NULL")
+    rows = base.select("conv_id", "turn", "sentences", F.col("width").cast("int").alias("width"))
     placed = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
     return placed.mapInArrow(partial(_batched, work=work), schema)
 
