@@ -131,3 +131,40 @@ def test_a_word_that_is_nowhere_moves_no_line(spark):
     one = kwic._near_hits(df.withColumnRenamed("text", "line"), df.where("line_no = 700"), 2, [], "line_no")
     assert {698, 699, 700, 701, 702} <= {r["line_no"] for r in one.collect()} and one.count() < 10
     assert kwic.line_context(df, "nowhere", 2).count() == 0
+
+
+@pytest.mark.parametrize("ignore_case", [True, False])
+def test_crowded_matches_are_cut_from_the_text(spark, ignore_case):
+    draw = random.Random(5)
+    texts = TEXTS + [None, *["".join(draw.choice("aAbTsſSKkİiı.é\n\U0001f600") for _ in range(80)) for _ in range(50)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
+    for word in ("a", "s", "k", "i", "aa", ".", "\U0001f600"):
+        found = kwic.search(df, word, ignore_case=ignore_case, window_width=7, offsets=True)
+        assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+        pattern = re.compile(re.escape(word), re.I if ignore_case else 0)
+        expected = [
+            (i, n, t[max(m.start() - 7, 0) : m.start()], m.group(), t[m.end() : m.end() + 7], m.start())
+            for i, t in enumerate(texts)
+            for n, m in enumerate(pattern.finditer(t or ""))
+        ]
+        assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_text_that_is_not_utf8(spark):
+    df = spark.sql("SELECT 1 AS text_id, cast(X'61FF6261' AS string) AS text")
+    assert [r["match_no"] for r in kwic.search(df, "a").collect()] == [0, 1]
+
+
+def test_far_page_writes_columns_once_and_goes_on_in_the_range(spark, hits, monkeypatch):
+    monkeypatch.setattr(kwic, "NEAR_ROWS", 100)
+    kept, cut = [], kwic.cut_lineage
+
+    def noted(df):
+        kept.append((df.columns, (done := cut(df)).count()))
+        return done
+
+    monkeypatch.setattr(kwic, "cut_lineage", noted)
+    kwic.result_page(hits, 600, 20, "right_context").collect()
+    assert all(columns == ["__order"] for columns, _ in kept)
+    sizes = [n for _, n in kept]
+    assert len(sizes) > 1 and sizes[0] == 30000 and sizes == sorted(sizes, reverse=True) and sizes[1] < 30000 / 4

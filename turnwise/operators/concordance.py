@@ -160,6 +160,11 @@ def may_match(text: Column, pattern: SearchPattern) -> Column:
     return F.rlike(text, F.lit(pattern.java))
 
 
+def _crowded(pattern: SearchPattern) -> bool:
+    """Do matches stand so close that a context is put together from many pieces? Python cuts it from the text at once."""
+    return not pattern.regex and not pattern.whole_word and len(pattern.keyword) <= 2
+
+
 def search(
     df: DataFrame,
     keyword: str,
@@ -182,7 +187,9 @@ def search(
         raise ValueError("window_width must not be negative")
     pattern = SearchPattern(keyword, regex, ignore_case, whole_word)
     hits = df.filter(may_match(F.col(text), pattern))
-    if not pattern.in_jvm:
+    if _crowded(pattern):
+        hits, text = hits.withColumn("__valid", F.make_valid_utf8(F.col(text))), "__valid"
+    if not pattern.in_jvm or _crowded(pattern):
         return found_rows(hits, columns, text, searched(pattern.compiled), window_width, offsets=offsets)
     return hits.select(*columns, F.inline(_hits(F.col(text), pattern, window_width, offsets)))
 
@@ -315,8 +322,10 @@ def result_page(
         return keyed.orderBy("__key", *rest).offset(skipped).limit(results_per_page).drop("__key")
     others = [c for c in results.columns if c not in ties]
     order = F.struct("__key", *ties, *[F.col(f"`{c}`") for c in others])
-    rows = cut_lineage(keyed.select(*results.columns, order.alias("__order")))
-    return _page_at(rows, skipped, results_per_page).select(*results.columns)
+    # The order holds all columns: nothing is written twice.
+    rows = cut_lineage(keyed.select(order.alias("__order")))
+    found = _page_at(rows, skipped, results_per_page)
+    return found.select(*[F.col("__order")[c].alias(c) for c in results.columns])
 
 
 def _literal(value, kind: T.DataType) -> Column:
@@ -364,6 +373,8 @@ def _page_at(rows: DataFrame, skipped: int, length: int) -> DataFrame:
             inside = inside.filter(order > splitters[at])
         if following is not None:
             inside = inside.filter(order < splitters[following])
+        if end - first < size:  # the next passes read only this range
+            inside = cut_lineage(inside)
         start, size = start + first, end - first
         last = last if following is None else splitters[following]
     found = inside.orderBy(order).offset(skipped - start).limit(length)
