@@ -14,7 +14,7 @@ from turnwise.llm.chunk_dedup import remove_spans, repeated_spans
 from turnwise.llm.ngram_jaccard import ngram_jaccard_join, with_set_key
 from turnwise.llm.packing import pack
 from turnwise.llm.toxicity import fit_toxicity, score_toxicity
-from turnwise.llm.written import prepared, written
+from turnwise.llm.written import FEW_ROWS, prepared, written
 
 #: A list of at most so many ids (16 bytes each) is broadcast; a longer one is joined by a shuffle.
 FEW_IDS = 1 << 20
@@ -34,7 +34,7 @@ def _fresh(docs: DataFrame, name: str) -> str:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. The model is learned from the labels of the documents here, as in ``op10``."""
-    prepared(spark)
+    prepared(spark, FEW_ROWS)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = _fresh(docs, "score")
     return score_toxicity(docs, model, score).where(F.col(score) < 0.5).select(*docs.columns)
@@ -46,7 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by id and set of shingles, so an id that stands with several texts loses only those that others stand
     for. Rows without words stay, once per id and text. Rows without an id cannot be named by others and stay.
     """
-    prepared(spark)
+    prepared(spark, FEW_ROWS)
     found = ngram_jaccard_join(docs).where("doc_id IS NOT NULL")
     groups = written(found.select("doc_id", "set_key", "class_key", "component_id"), "groups")
     repeats = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
@@ -68,13 +68,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur in an earlier document are cut out; every document stays, ``n_chars`` is counted again."""
-    prepared(spark)
+    prepared(spark, FEW_ROWS)
     return remove_spans(docs, written(repeated_spans(docs), "spans"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, as in ``op8``."""
-    prepared(spark)
+    prepared(spark, FEW_ROWS)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -91,7 +91,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the table ``documents``."""
-    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepared(spark, FEW_ROWS).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
     return docs

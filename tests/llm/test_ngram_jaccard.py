@@ -153,3 +153,32 @@ def test_a_pair_of_blocks_with_an_empty_side_links_nothing():
     inside = _compare(pa.table({**rows, "side": [0, 0], "i": [0, 0], "j": [0, 0]}), 80).to_pylist()
     across = _compare(pa.table({**rows, "side": [0, 1], "i": [0, 0], "j": [1, 1]}), 80).to_pylist()
     assert inside == across and sum(r["links"] for r in inside) == 2
+
+
+def test_python_is_handed_few_rows_in_every_step(documents, spark, monkeypatch):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, write = spark.conf.get(setting), {}, nj.written
+
+    def noted(df, name):
+        seen[name] = int(spark.conf.get(setting))
+        return write(df, name)
+
+    monkeypatch.setattr(nj, "written", noted)
+    given = [(i, random_text(i % 3, 40)) for i in range(9)]
+    found = nj.ngram_jaccard_join(documents(given))
+    assert {"shingles", "sets", "signatures", "links"} <= set(seen)
+    assert all(seen[name] <= 256 for name in ("shingles", "sets", "signatures", "links"))
+    assert spark.conf.get(setting) == before
+    assert rows(found, "doc_id", "n_shingles", "component_id", "n_links") == brute(given)
+
+
+def test_signatures_of_several_batches(documents, spark):
+    texts = [random_text(k % 12, 60) for k in range(40)]
+    texts += [changed(texts[k], k, 1) for k in range(12)]
+    given = list(enumerate(texts))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = nj.ngram_jaccard_join(documents(given))
+        assert rows(found, "doc_id", "n_shingles", "component_id", "n_links") == brute(given)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -104,3 +104,23 @@ def test_query_equals_sql(spark, name):
 def test_every_operator_has_a_query():
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES}
     assert numbers == set(range(1, 14)) and "pipeline" in queries()
+
+
+def test_stages_hand_python_few_rows(spark, documents, tmp_path, monkeypatch):
+    setting, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, corpus_pipeline.written
+
+    def noted(df, name):
+        seen[name] = int(spark.conf.get(setting))
+        return write(df, name)
+
+    monkeypatch.setattr(corpus_pipeline, "written", noted)
+    before = spark.conf.get(setting)
+    documents([(i, random_text(i % 7, 40)) for i in range(30)]).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    try:
+        corpus_pipeline.run(spark, str(tmp_path))
+    finally:
+        spark.conf.set(setting, before)
+    stages = [n for n in seen if n.startswith("stage_")]
+    assert len(stages) == 4 and all(seen[n] <= 256 for n in stages)

@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from turnwise.llm.components import components
-from turnwise.llm.words import U64, batch_words, mix, pieces, seeds
-from turnwise.llm.written import written
+from turnwise.llm.words import U64, batch_words, mix, pieces, release, seeds
+from turnwise.llm.written import FEW_ROWS, batches_of, written
 
 EXTRA_PERCENT = 15  # of a set, looked at beyond the shortest prefix when documents are sorted out
 RANGE_ROWS = 1 << 19  # shingles per hash range
-BATCH_TOKENS = 1 << 21  # shingles counted at a time
+BATCH_TOKENS = 1 << 20  # shingles counted at a time
+SLICE = 1 << 20  # bytes of text whose shingles are made at a time
+SIGNED = 1 << 14  # signatures handed over at a time
 FREQUENT = 64  # a shingle in more documents than this belongs to the frequent classes
 CLASS_SHARE = 0.1  # frequent classes per shingle of a set
 BLOCK_TOKENS = 1 << 19
@@ -95,7 +97,7 @@ def shingle_table(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id``, ``n_shingles`` and the key of the set of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=SLICE):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -116,7 +118,7 @@ def with_set_key(docs: DataFrame, column: str, size: str, words: int = 5) -> Dat
     at = names.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text=names[at]):
+        for batch in pieces(batches, text=names[at], limit=SLICE):
             sets = shingle_sets(batch.column(at).to_pylist(), words)
             more = [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, column, size])
@@ -216,7 +218,7 @@ def likely_nodes(docs: DataFrame, nodes: DataFrame, words: int, percent: int) ->
             columns = list(zip(*found)) if found else [()] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
-        for batch in pieces(batches, text="text"):
+        for batch in pieces(batches, text="text", limit=SLICE):
             for tokens in shingle_sets(batch.column(0).to_pylist(), words):
                 sets.append(tokens)
                 size += len(tokens)
@@ -248,7 +250,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """The whole sets of some nodes: ``key``, ``n_shingles``, ``tokens``. Texts are shuffled compressed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=SLICE // 4):  # of compressed text
             texts = [None if x is None else zlib.decompress(x).decode() for x in batch.column(1).to_pylist()]
             sets = shingle_sets(texts, words)
             keys = [set_key(x) for x in sets]
@@ -263,7 +265,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             )
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text="text"):
+        for batch in pieces(batches, text="text", limit=SLICE):
             texts = [None if x is None else zlib.compress(x.encode(), 1) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "text"])
 
@@ -321,6 +323,14 @@ def signatures(sets: DataFrame, percent: int) -> DataFrame:
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            signed = np.concatenate([found for _, found in held]).view(np.int64)
+            owner = np.repeat([key for key, _ in held], [len(found) for _, found in held])
+            return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(signed)], ["key", "signature"])
+
+        n = 0
         for batch in batches:
             keys, sizes, times, tokens = batch.columns
             for i in range(batch.num_rows):
@@ -330,10 +340,14 @@ def signatures(sets: DataFrame, percent: int) -> DataFrame:
                     tokens[i].values.to_numpy().view(U64),
                     percent,
                 )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), keys[i].as_py())), pa.array(found.view(np.int64))],
-                    ["key", "signature"],
-                )
+                held.append((keys[i].as_py(), found))
+                n += len(found)
+                if n >= SIGNED:
+                    yield rows()
+                    held, n = [], 0
+        if held:
+            yield rows()
+        release()
 
     return kept.mapInArrow(run, "key long, signature long")
 
@@ -410,18 +424,8 @@ def verified(sets: DataFrame, nodes: DataFrame, candidates: DataFrame, percent:
     )
 
 
-def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """Group the documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
-
-    ``docs`` needs ``doc_id`` and ``text``; other columns are not looked at. Words are runs of characters other
-    than ASCII white space, A to Z lower-cased; a text of fewer than ``words`` words is one shingle. Returns one row
-    per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the least ``doc_id`` that links lead to, its own
-    included), ``n_links`` (linked rows, copies included), ``set_key`` (equal sets) and ``class_key`` (sets that links connect).
-
-    Null and empty texts have no shingles and no links. Repeated rows are copies of each other and link. A null
-    ``doc_id`` takes part through rows with the same set and an id only; alone it has a null component. An empty
-    table gives an empty result.
-    """
+def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows, the nodes and the links between nodes (see :func:`verified`), all written: no later step needs Python."""
     table = written(shingle_table(docs, words), "shingles")
     nodes = table.where("n_shingles > 0").groupBy("key").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")
@@ -434,6 +438,23 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     met = signed.join(least.where("least < most"), "signature").where("key > least")
     candidates = written(components(met.select(F.col("key").alias("a"), F.col("least").alias("b"))), "candidates")
     found = written(verified(sets, nodes, candidates, percent), "links")
+    return table, nodes, found
+
+
+def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """Group the documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
+
+    ``docs`` needs ``doc_id`` and ``text``; other columns are not looked at. Words are runs of characters other
+    than ASCII white space, A to Z lower-cased; a text of fewer than ``words`` words is one shingle. Returns one row
+    per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the least ``doc_id`` that links lead to, its own
+    included), ``n_links`` (linked rows, copies included), ``set_key`` (equal sets) and ``class_key`` (sets that links connect).
+
+    Null and empty texts have no shingles and no links. Repeated rows are copies of each other and link. A null
+    ``doc_id`` takes part through rows with the same set and an id only; alone it has a null component. An empty
+    table gives an empty result.
+    """
+    with batches_of(docs.sparkSession, FEW_ROWS):
+        table, nodes, found = _linked(docs, words, percent)
     linked = components(found.where("a <> b").select("a", "b"))
     named = linked.join(nodes.select(F.col("key").alias("node"), "first_id"), "node")
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -22,7 +22,7 @@ from turnwise.llm.words import SIGNS, U64, batch_words, mix, pieces, release, se
 BITS = 20
 TRAIN_ROWS = 16384
 EPOCHS = 8
-SLICE = 2 << 20  # bytes of text whose features are held at a time
+SLICE = 1 << 20  # bytes of text whose features are held at a time
 # Steps and L1 are large beside the usual: most features of a toxic text are harmless words that occur once, and a text
 # has thousands, so a weight has to be earned in several texts.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.1
