@@ -105,6 +105,19 @@ def test_words_equal_the_library():
         assert np.frombuffer(ids, encoder.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_and_the_signs_after_them_are_kept_apart():
+    library = Tokenizer.from_file(WORDS)
+    encoder = packing.WordEncoder(open(WORDS, "rb").read())
+    texts = ["zebra.%%% Zebra, zebra", "zebra.%%%", "\u0391\u03a3. \u0130. na\u00efve.,", "...", "", None, " \t", "<|x|>.", "it's. 42!"]
+    texts += [" ".join(f"{a}{b}{c}" for b in "xyz") for a in ["ab", "ABC", "\u00e9t\u00e9", "9"] for c in ["", ".", "?!", "'", "\u00df;"]]
+    ids = [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(pa.array(texts), 1).to_pylist()]
+    assert ids == [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert "zebra" in encoder.known and not any("zebra" in w for w in encoder.known if w != "zebra")
+    assert encoder.bare is not None
+    for none in ([], [None], [""]):
+        assert encoder.encode(pa.array(none, pa.string())).to_pylist() == [b""] * len(none)
+
+
 def check_packing(given, found, window):
     tokenizer = Tokenizer.from_file(WORDS)
     ids = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4") for _, t in given]

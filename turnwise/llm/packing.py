@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from turnwise.llm.gather import distinct_parts, filled, gathered, shorten
+from turnwise.llm.gather import Codes, binary, coded, distinct, filled, joined, listed, shorten
 from turnwise.llm.words import pieces
 from turnwise.llm.written import written
 from turnwise.operators.ordering import running_totals
@@ -50,23 +52,38 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         self.ends = self._word_ends()
+        self.bare = self._bare(definition)
 
     def _learn(self, words: Sequence[str]) -> None:
         """Encode new words: those of letters many at a time, as one text, which costs half as much."""
-        plain, alone = [], []
+        plain, letters, alone = [], [], []
         for word in words:
-            (plain if self.ends is not None and word.lower().isalpha() else alone).append(word)
-        for at in range(0, len(plain), TOGETHER):
-            some = plain[at : at + TOGETHER]
-            if not self._learn_together(some):
-                alone += some
+            if self.ends is None or not word.lower().isalpha():
+                alone.append(word)
+            elif self.bare is not None and word.isascii() and word.islower():
+                letters.append(word)
+            else:
+                plain.append(word)
+        for tokenizer, several in ((self.tokenizer, plain), (self.bare, letters)):
+            for at in range(0, len(several), TOGETHER):
+                some = several[at : at + TOGETHER]
+                if not self._learn_together(tokenizer, some):
+                    alone += some
         coded = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
         for word, each in zip(alone, coded):
             self.known[word] = np.array(each.ids, dtype=self.kind).tobytes()
 
-    def _learn_together(self, words: list[str]) -> bool:
+    def _bare(self, definition: bytes) -> Tokenizer | None:
+        """The tokenizer without what is done to a text before it is encoded, if that leaves a to z as they are."""
+        bare = Tokenizer.from_buffer(definition)
+        bare.normalizer, bare.pre_tokenizer = None, WhitespaceSplit()
+        pairs = [" ".join(a + b for a in ascii_lowercase for b in ascii_lowercase)]
+        ids = [x.encode_batch_fast(pairs, add_special_tokens=False)[0].ids for x in (self.tokenizer, bare)]
+        return bare if ids[0] == ids[1] else None
+
+    def _learn_together(self, tokenizer: Tokenizer, words: list[str]) -> bool:
         """A word of letters is one pre-token, with one id that ends it; unless there are as many as words, nothing is learned."""
-        coded = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        coded = tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
         ids = np.array(coded[0].ids, dtype=self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
@@ -92,31 +109,39 @@ class WordEncoder:
         texts = filled(texts)
         special = pc.match_substring(texts, SPECIAL)
         words = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
-        found, parts, edges = distinct_parts(words)
+        found, parts, edges = distinct(words)
+        cores, tails = (side.dictionary_encode() for side in _parted(found))
         known = self.known
-        codes = list(map(known.get, found))
+        names = listed(cores.dictionary) + listed(tails.dictionary)
+        codes = list(map(known.get, names))
         missing = [i for i, code in enumerate(codes) if code is None]
-        parted: dict[int, tuple[str, str]] = {}
-        new = set()
-        for i in missing:
-            word = found[i]
-            core = word.rstrip(TAIL)
-            # A capital sigma may be lowered by what follows it, and some capitals leave a mark behind the letter.
-            if core and len(core) < len(word) and core[-1].lower()[-1].isalnum() and core[-1] != "\u03a3":
-                parted[i] = core, word[len(core) :]
-                new.update(parted[i])
-            else:
-                new.add(word)
-        self._learn([word for word in new if word not in known])
-        for i, (core, tail) in parted.items():
-            known[found[i]] = known[core] + known[tail]
+        self._learn(list({names[i] for i in missing}))
         for i in missing:
-            codes[i] = known[found[i]]
+            codes[i] = known[names[i]]
+        # Every distinct word is a core and a tail; what follows a text is one more word.
+        sides = np.stack((cores.indices.to_numpy(), tails.indices.to_numpy() + np.int32(len(cores.dictionary))), axis=1)
+        sides, bounds = sides.ravel(), 2 * np.arange(len(found) + 1)
         if end is not None:
-            parts = np.insert(parts, edges[1:], len(codes))
-            edges = edges + np.arange(len(edges))
             codes.append(np.array([end], dtype=self.kind).tobytes())
-        return gathered(codes, parts, edges, self.kind)
+            sides, bounds = np.append(sides, len(names)), np.append(bounds, 2 * len(found) + 1)
+            parts = np.insert(parts, edges[1:], len(found))
+            edges = edges + np.arange(len(edges))
+        return binary(joined(joined(coded(codes, self.kind), sides, bounds), parts, edges))
+
+
+def _parted(words: pa.StringArray) -> tuple[pa.Array, pa.Array]:
+    """Each word without the signs at its end, and these signs, where a tokenizer encodes the two apart; else the word and nothing."""
+    core = pc.ascii_rtrim(words, characters=TAIL)
+    last = pc.utf8_slice_codeunits(core, -1).dictionary_encode()
+    # A capital sigma may be lowered by what follows it, and some capitals leave a mark behind the letter.
+    apart = [c != "" and c != "\u03a3" and c.lower()[-1].isalnum() for c in last.dictionary.to_pylist()]
+    core = pc.if_else(pa.array(np.array(apart, dtype=bool)[last.indices.to_numpy()]), core, words)
+    lengths = pc.subtract(pc.binary_length(words), pc.binary_length(core)).to_numpy()
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[words.offset + 1 : words.offset + len(words) + 1]
+    whole = Codes(np.frombuffer(data or b"", dtype=np.uint8), ends - lengths, lengths)
+    tails = joined(whole, np.arange(len(words)), np.arange(len(words) + 1))
+    return core, binary(tails).cast(pa.string())
 
 
 _LOADED: dict[int, WordEncoder] = {}
