@@ -147,3 +147,16 @@ def test_tree_grows_with_the_corpus_and_its_rare_part_counts_by_join(documents,
     joined = {r["doc_id"]: r for r in lm.score_texts(docs).collect()}
     assert {i: r["n_known"] for i, r in joined.items()} == {i: r["n_known"] for i, r in whole.items()}
     assert all(abs(r["score"] - whole[i]["score"]) < 1e-9 * abs(r["score"]) for i, r in joined.items())
+
+
+def test_grams_are_looked_up_in_order(monkeypatch):
+    draw = np.random.default_rng(5)
+    held = np.unique(draw.integers(0, 1 << 40, 5000, dtype=np.uint64))
+    keys = np.concatenate((draw.integers(0, 1 << 41, 5000, dtype=np.uint64), held[::7], held[::7]))
+    search, asked = np.searchsorted, []
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more, **kw: asked.append(v) or search(a, v, *more, **kw))
+    found = lm._places(held, keys)
+    assert len(asked) == 1 and (np.diff(asked[0].astype(np.int64)) >= 0).all()
+    assert found.tolist() == search(held, keys).tolist()
+    assert lm._places(held, keys[:0]).tolist() == []
+    assert lm._places(held[:0], keys[:2]).tolist() == [0, 0]

@@ -182,3 +182,15 @@ def test_signatures_of_several_batches(documents, spark):
         assert rows(found, "doc_id", "n_shingles", "component_id", "n_links") == brute(given)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def test_words_are_hashed_in_groups_that_fit_a_cache(monkeypatch):
+    from turnwise.llm import words
+
+    sizes, hashed = [], words._slab_hashes
+    monkeypatch.setattr(words, "_slab_hashes", lambda data, between: sizes.append(len(data)) or hashed(data, between))
+    texts = ["", " ", "a", " a", "a ", "\tb  a\n", None, "\u00e9 \u00c9 A"] * 3 + ["some words of one text " * 90] * 200
+    found, edges = batch_words(texts)
+    assert len(sizes) > 4 and max(sizes) < 1 << 17
+    assert np.diff(edges).tolist() == [len((t or "").split()) for t in texts]
+    assert found.tolist() == np.concatenate([text_words(t) for t in texts]).tolist()

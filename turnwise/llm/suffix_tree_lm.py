@@ -417,6 +417,14 @@ _RARE = ["range", "first", "grams", "rows"]
 _LOOKED = "first long, range long, rows binary, bases binary, values binary"
 
 
+def _places(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """``np.searchsorted``, with keys in order: one and the next then meet in the same few lines of a large table."""
+    order = np.argsort(keys)
+    place = np.empty(len(keys), dtype=np.int64)
+    place[order] = np.searchsorted(held, keys[order])
+    return place
+
+
 def _scored(texts: DataFrame, shared, bits: int) -> DataFrame:
     """The part of every score that the broadcast grams give (``_TEXT``), and rows of the other grams that may be known
     (``_RARE``), by range; ``rows`` counts the texts from ``first`` on."""
@@ -442,7 +450,7 @@ def _scored(texts: DataFrame, shared, bits: int) -> DataFrame:
             for length, keys in enumerate(grams(symbols, edges, DEPTH + 1), 1):
                 some = np.flatnonzero(usual.known.maybe(keys) & ((keys != 0) | (length == 1)))
                 held, value = (usual.words, usual.word_values) if length == 1 else (usual.grams, usual.gram_values)
-                place = np.searchsorted(held, keys[some])
+                place = _places(held, keys[some])
                 hit = place < len(held)
                 hit[hit] = held[place[hit]] == keys[some[hit]]
                 who, place = owner[some[hit]], place[hit]
