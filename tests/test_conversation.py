@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from turnwise import ConceptModel, Conversations, EmbeddingModel, VectorModel
-from turnwise.operators import concepts, pairs, recurrence, terms
+from turnwise.operators import concepts, near, pairs, recurrence, terms
 from turnwise.operators.concepts import sentence_windows
 
 from .conftest import MATRIX, similarity_rows
@@ -539,3 +539,57 @@ def test_masks_count_as_windows_do(spark, width):
     masks = concepts.window_masks(base).groupBy("turn", "stretch", "term").count()
     assert masks.filter("count > 1").isEmpty()
     assert masks.filter("turn = 4").count() <= 90 // 16 + 1  # a term that is in all windows: one row a stretch
+
+
+def odd_terms(spark):
+    """Conversations with turns that come twice or have no number, empty turns and sentences, and no conversation."""
+    random = Random(5)
+    some = [[random.sample("abcdefgh", random.randint(0, 4)) for _ in range(random.randint(0, 6))] for _ in range(40)]
+    rows = [(i // 8 if i // 8 < 4 else None, 0, None if i % 8 == 7 else i % 8 // 2 * 2, turn) for i, turn in enumerate(some)]
+    rows += [(7, 0, 0, []), (7, 0, 1, None), (8, 0, 0, [["q"]]), (9, 0, 3, [["a", "b"], ["b", "c"]] * 40)]
+    return spark.createDataFrame(rows, "conv_id bigint, block bigint, turn bigint, sentences array<array<string>>")
+
+
+@pytest.mark.parametrize(
+    "key_terms, numbers", [(3, 1 << 22), (20, 1), (["c", "nowhere", "a", "c"], 1), ([chr(i) for i in range(60, 120)], 1 << 22)]
+)
+def test_concepts_of_a_conversation_at_once(spark, monkeypatch, key_terms, numbers):
+    monkeypatch.setattr(near, "NUMBERS", numbers)
+    base = concepts.window_terms(odd_terms(spark).drop("block"), 2)
+    dims = concepts.key_term_count(key_terms)
+    lists = concepts.key_term_lists(base, key_terms)
+    arrays = concepts.concept_arrays(base, concepts.key_similarity(base, lists, dims), dims)
+    found = near.key_concepts(base, key_terms, dims).collect()
+    named = {r["conv_id"]: (r["key_terms"], r["n_windows"]) for r in found if r["key_terms"] is not None}
+    assert named == {r["conv_id"]: (r["key_terms"], r["n_windows"]) for r in lists.collect()}
+    rows = [r for r in found if r["turn"] is not None]
+    got = {(r["conv_id"], r["turn"]): r["vector"] for r in rows}
+    want = {(r["conv_id"], r["turn"]): r["vector"] for r in arrays.collect()}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_all_terms_have_no_ranking(spark):
+    with pytest.raises(ValueError):
+        near.key_concepts(concepts.window_terms(odd_terms(spark), 2), "all", 0)
+
+
+@pytest.mark.parametrize("brief, most", [(True, 30), (False, 30), (False, 1 << 16)])
+def test_long_conversations_go_by_stretches(spark, monkeypatch, brief, most):
+    """The same key terms and vectors; where every conversation is short, no window of a term becomes a row."""
+    monkeypatch.setattr(near, "PAIR_WORDS", most)
+    rows = odd_terms(spark)
+    if most == 1 << 16:
+        monkeypatch.setattr(concepts, "window_masks", None)
+    data = Conversations(rows.selectExpr("conv_id", "turn", "'A' AS speaker", "'' AS text"), dense=True)
+    data.__dict__.update(brief=brief, sentence_terms=rows.drop("block") if brief else rows)
+    model = ConceptModel(data, 4, 2)
+    got = {(r["conv_id"], r["turn"]): r["vector"] for r in model.arrays.collect()}
+    named = {r["conv_id"]: (r["key_terms"], r["n_windows"]) for r in model.lists.collect()}
+    monkeypatch.undo()
+    base = model.base
+    lists = concepts.key_term_lists(base, 4)
+    assert named == {r["conv_id"]: (r["key_terms"], r["n_windows"]) for r in lists.collect()}
+    arrays = concepts.concept_arrays(base, concepts.key_similarity(base, lists, 4), 4)
+    want = {(r["conv_id"], r["turn"]): r["vector"] for r in arrays.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)

@@ -1,12 +1,12 @@
-"""Conversations that a task may hold: pairs of terms, and of turns by all terms, counted in one place.
+"""Conversations that a task may hold: pairs of terms, of turns by all terms, and concept vectors, counted in one place.
 
-What is quadratic in the terms of a conversation is never shuffled: a conversation's sentences are sent to one task, one
-conversation after the other, and only results leave it. Larger conversations go by stretches and blocks (``concepts``, ``products``).
+What is quadratic in the terms of a conversation, and every window of a term, is never shuffled: a conversation's sentences are
+sent to one task, one conversation after the other, and only results leave it. Larger conversations go by stretches and blocks (``concepts``, ``products``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.operators.cells import _changes, _run
+from turnwise.operators.cells import _changes, _run, lists
 
 # Words of the sentences of a conversation that is near, and of those whose terms are squared at once.
 PAIR_WORDS = 1 << 16
@@ -173,6 +173,71 @@ def _turn_pairs(cell: pa.Table, n: int) -> Iterator[pa.Table]:
     yield pa.table([conv, *where, pa.array(values[rows, columns]), top], names=["conv_id", "row_turn", "col_turn", "value", "top"])
 
 
+def _key_terms(talk: Talk, key_terms: int | Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The key terms as numbers of terms, and their ranks from 1, as of ``concepts.ranked_key_terms``."""
+    if not isinstance(key_terms, int):
+        code = pc.index_in(pa.array(list(dict.fromkeys(key_terms)), talk.terms.type), value_set=talk.terms)
+        known = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+        return code.drop_null().to_numpy().astype(np.int64), known + 1
+    t = len(talk.terms)
+    held = np.unique(talk.turn[talk.row_of] * t + talk.term_of)
+    n_turns = np.bincount(held % t, minlength=t)
+    found = np.argsort(-n_turns, kind="stable")[:key_terms]
+    return found, np.arange(1, len(found) + 1)
+
+
+def _key_weights(talk: Talk, keys: np.ndarray) -> np.ndarray:
+    """``concepts.similarity_score`` of every term with some terms; 0 where they never meet, and for a term with itself."""
+    column = np.full(len(talk.terms), -1)
+    column[keys] = np.arange(len(keys))
+    at = column[talk.term]
+    held = np.zeros((int(talk.window[-1]) + 1, len(keys)), dtype=np.int32)
+    held[talk.window[at >= 0], at[at >= 0]] = 1
+    order = np.argsort(talk.term, kind="stable")
+    starts = np.cumsum(talk.occurrence) - talk.occurrence
+    n = np.add.reduceat(held[talk.window[order]], starts, axis=0).astype(np.float64)
+    n[keys, np.arange(len(keys))] = 0
+    o_term, o_key, total = talk.occurrence[:, None].astype(np.float64), talk.occurrence[keys].astype(np.float64), float(talk.n_windows)
+
+    def counted(count: np.ndarray) -> np.ndarray:
+        return np.where(count == 0, total, count)
+
+    score = n * counted(total - (o_key + o_term - n)) / (counted(o_term - n) * counted(o_key - n))
+    return np.where(n == 0, 0.0, score)
+
+
+def _key_concepts(cell: pa.Table, key_terms: int | Sequence[str], dims: int) -> Iterator[pa.Table]:
+    talk = Talk(cell)
+    if not len(talk.terms):
+        return
+    keys, ranks = _key_terms(talk, key_terms)
+    if not len(keys):
+        return
+    turn = talk.turn[talk.row_of]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(turn)) + 1])
+    vectors = np.zeros((len(starts), dims))
+    step = max(1, NUMBERS // len(talk.window))
+    for low in range(0, len(keys), step):
+        weights = _key_weights(talk, keys[low : low + step])
+        vectors[:, ranks[low : low + step] - 1] = np.add.reduceat(weights[talk.term_of], starts, axis=0)
+    first = np.arange(len(starts)) == 0
+    named = pa.StructArray.from_arrays(
+        [pa.array(ranks, pa.int32()), talk.terms.take(pa.array(keys)).cast(pa.string()), pa.array(talk.occurrence[keys], pa.int64())],
+        names=["rank", "term", "occurrence"],
+    )
+    ends = pa.array(np.concatenate([[0], np.full(len(first), len(keys))]), pa.int32())
+    yield pa.table(
+        [
+            cell["conv_id"].combine_chunks().take(pa.array(np.zeros(len(first), dtype=np.int64))),
+            cell["turn"].combine_chunks().take(pa.array(talk.first_row[turn[starts]])),
+            lists(vectors),
+            pa.ListArray.from_arrays(ends, named, mask=pa.array(~first)),
+            pa.array(np.full(len(first), talk.n_windows), pa.int64(), mask=~first),
+        ],
+        names=["conv_id", "turn", "vector", "key_terms", "n_windows"],
+    )
+
+
 def _by_conversation(base: DataFrame, work, schema: str) -> DataFrame:
     rows = base.select("conv_id", "turn", "sentences", F.col("width").cast("int").alias("width"))
     placed = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
@@ -208,3 +273,18 @@ def turn_pairs(base: DataFrame, n: int = 0) -> DataFrame:
         base.where("conv_id IS NOT NULL"), partial(_turn_pairs, n=n),
         "conv_id bigint, row_turn bigint, col_turn bigint, value double, top array<string>",
     )
+
+
+def key_concepts(base: DataFrame, key_terms: int | Sequence[str], dims: int) -> DataFrame:
+    """``conv_id, turn, vector, key_terms, n_windows``: the rows of ``concepts.concept_arrays``, one per turn with terms.
+
+    The first row of each conversation also carries its row of ``concepts.key_term_lists``; in the others that is null. A null
+    turn, which has no concept vector, may have a row for that.
+    """
+    if key_terms == "all":
+        raise ValueError("all terms have no ranking")
+    conv, turn = (base.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
+    return _by_conversation(
+        base.where("conv_id IS NOT NULL"), partial(_key_concepts, key_terms=key_terms, dims=dims),
+        f"conv_id {conv}, turn {turn}, vector array<double>, key_terms array<struct<rank: int, term: string, occurrence: bigint>>, n_windows bigint",
+    )
