@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnwise import ConceptModel, Conversations, EmbeddingModel, VectorModel
 from turnwise.operators import concepts, near, pairs, recurrence, terms
 from turnwise.operators.concepts import sentence_windows
+from turnwise.plans.plot import ModelPlot
 
 from .conftest import MATRIX, similarity_rows
 
@@ -593,3 +594,12 @@ def test_long_conversations_go_by_stretches(spark, monkeypatch, brief, most):
     arrays = concepts.concept_arrays(base, concepts.key_similarity(base, lists, 4), 4)
     want = {(r["conv_id"], r["turn"]): r["vector"] for r in arrays.collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_similar_turns_are_found_without_rows_of_windows(spark, monkeypatch):
+    monkeypatch.setattr(concepts, "window_masks", None)
+    rows = [(0, i, "A", "river stone river. stone moss." if i < 2 else "cloud rain. rain wind.") for i in range(4)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, speaker string, text string")
+    model = ConceptModel(Conversations(turns, dense=True, stopwords=[]), 6)
+    cells = ModelPlot(model.conversations, model, threshold=0.9).long.filter("x_index < y_index").collect()
+    assert sorted((r["x_index"], r["y_index"]) for r in cells) == [(0, 1), (2, 3)]
