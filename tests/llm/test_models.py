@@ -160,3 +160,45 @@ def test_grams_are_looked_up_in_order(monkeypatch):
     assert found.tolist() == search(held, keys).tolist()
     assert lm._places(held, keys[:0]).tolist() == []
     assert lm._places(held[:0], keys[:2]).tolist() == [0, 0]
+
+
+def test_rows_of_rare_grams_do_not_grow_with_slices_times_ranges(documents, monkeypatch):
+    docs = documents([random_text(i, 100, 400) for i in range(200)] + [None, ""]).coalesce(2)
+    whole = {r["doc_id"]: r for r in lm.score_texts(docs).collect()}
+    seen, looked_up = [], lm._looked_up
+
+    def counted(rare, looked, bits):
+        rows = rare.where("grams IS NOT NULL").select("range", "first").collect()
+        seen.append((len(rows), len({r["range"] for r in rows}), len({r["first"] for r in rows})))
+        return looked_up(rare, looked, bits)
+
+    monkeypatch.setattr(lm, "_looked_up", counted)
+    monkeypatch.setattr(lm, "USUAL", 3)
+    monkeypatch.setattr(lm, "WORD_SHARE", 0.1)
+    monkeypatch.setattr(lm, "SLICE", 1 << 10)  # some sixty slices of a few texts
+    monkeypatch.setattr(lm, "RANGE", 1 << 9)
+    monkeypatch.setattr(lm, "SHARE", 100.0, raising=False)  # one round
+    found = {r["doc_id"]: r for r in lm.score_texts(docs).collect()}
+    ((rows, ranges, firsts),) = seen
+    assert ranges > 30 and firsts <= 2 and rows <= 2 * ranges
+    for i, r in whole.items():
+        assert (found[i]["n_tokens"], found[i]["n_known"]) == (r["n_tokens"], r["n_known"])
+        assert abs(found[i]["score"] - r["score"]) < 1e-9 * abs(r["score"])
+        assert abs(found[i]["base_score"] - r["base_score"]) < 1e-9 * abs(r["base_score"])
+
+
+def test_scores_do_not_depend_on_rounds_or_full_bitmaps(documents, monkeypatch):
+    texts = [(i // 2, random_text(i, 60, 100)) for i in range(120)] + [(None, "w1 w2"), (None, "w1 w2"), (7, None), (7, "")]
+    docs = documents(texts)
+    numbers = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    taken = lambda: sorted((str(r["doc_id"]), r["held_out"], *(round(r[n], 6) for n in numbers)) for r in lm.score_texts(docs).collect())
+    whole = taken()
+    assert len(whole) == len(texts)
+    rounds, looked_up = [], lm._looked_up
+    monkeypatch.setattr(lm, "_looked_up", lambda *given: rounds.append(1) or looked_up(*given))
+    monkeypatch.setattr(lm, "USUAL", 3)
+    monkeypatch.setattr(lm, "WORD_SHARE", 0.1)
+    monkeypatch.setattr(lm, "BITS", 10)
+    monkeypatch.setattr(lm, "SHARE", 0.5)
+    assert taken() == whole
+    assert len(rounds) > 1

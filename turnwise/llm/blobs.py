@@ -45,6 +45,12 @@ def unpacked(column: pa.Array, start: int, stop: int, kind: type) -> np.ndarray:
     return np.frombuffer(memoryview(data)[offsets[0] : offsets[-1]], dtype=kind).copy()
 
 
+def lengths(column: pa.Array, kind: type) -> np.ndarray:
+    """How many numbers each row holds; a null none."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.diff(offsets) // np.dtype(kind).itemsize
+
+
 def handed(names: Sequence[str], arrays: Sequence[pa.Array], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """A few rows at a time."""
     whole = pa.RecordBatch.from_arrays(list(arrays), list(names))

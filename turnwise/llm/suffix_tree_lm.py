@@ -21,11 +21,14 @@ The logarithm of a score is a sum over the grams of a text. A gram ``s w`` has t
 
 where ``rest`` is 1 outside the tree: what was added for the shorter gram and for ``s`` as a context is taken back. So
 the grams of a text are looked up one by one: words of a share of ``WORD_SHARE`` or more and the ``USUAL`` most frequent
-longer grams in a broadcast table, all others packed by range, next to the values of that range.
+longer grams in a broadcast table, all others packed by range, next to the values of that range. A gram goes there if bitmaps
+say that it may have a value and that its two shorter grams may be frequent. What is found goes back packed by texts, so the
+rows on both ways depend on the grams and not on how many slices of text meet how many ranges.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -34,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.blobs import ENTRIES, ROWS, cuts, dealt, handed, packed, range_of, runs, unpacked
+from turnwise.llm.blobs import ROWS, cuts, dealt, handed, lengths, packed, range_of, runs, unpacked
 from turnwise.llm.words import U64, batch_words, mix, pieces, seeds
-from turnwise.llm.written import passing, tidy, written
+from turnwise.llm.written import passing, tidy
 from turnwise.session import delete_scratch
 
 FOLDS = 10  # rows of fold 0 are held out
@@ -50,8 +53,11 @@ SLICE = 2 << 20
 HELD = 3 << 19  # keys a task counts before it hands them on
 PASSED = 1 << 17  # of them at a time
 PLACE = np.uint16  # of a text in a slice
+WORD_BITS = 10  # of the number of a range of words that are counted
 RANGE = 1 << 19  # training tokens for which there is one more range of grams
 BITS = 27  # of a place in the largest bitmap
+SHARE = 0.25  # of grams that are looked up at a time in the training tokens, about
+ROUNDS = 8  # at most
 
 _STEP = seeds(1, 303)[0]
 END = seeds(1, 404)[0]  # the symbol after the last word
@@ -134,19 +140,42 @@ def _words(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if not held.parts:
+                return
+            symbols, times = held.merged()
+            place = range_of(symbols, WORD_BITS)
+            edges = cuts(place)
+            yield from handed(["range", "symbol", "times"], [pa.array(place[edges[:-1]]), packed(symbols, edges), packed(times, edges)])
+
         for batch in pieces(batches, limit=SLICE):
             symbols, _ = sequences(batch.column(0).to_pylist())
             held.add(symbols)
             if held.full():
-                yield from _word_rows(held.merged())
-        yield from _word_rows(held.merged())
+                yield from rows()
+        yield from rows()
+
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = Held(), None
 
-    return texts.mapInArrow(run, "symbol long, times long").groupBy("symbol").agg(F.sum("times").alias("times"))
+        def rows() -> Iterator[pa.RecordBatch]:
+            if held.parts:
+                symbols, times = held.merged()
+                yield from handed(["symbol", "times"], [pa.array(symbols.view(np.int64)), pa.array(times)], PASSED)
 
+        for place, found in runs(batches, "range"):
+            if place != now:
+                yield from rows()
+                now = place
+            n = found.num_rows
+            held.add(unpacked(found.column("symbol"), 0, n, U64), times=unpacked(found.column("times"), 0, n, np.int64))
+            if held.size > HELD:
+                held.full()
+        yield from rows()
 
-def _word_rows(merged: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-    symbols, times = merged
-    return handed(["symbol", "times"], [pa.array(symbols.view(np.int64)), pa.array(times)], PASSED)
+    counted = texts.mapInArrow(run, "range long, symbol binary, times binary")
+    return dealt(counted, "range").mapInArrow(summed, "symbol long, times long")
 
 
 class Held:
@@ -278,14 +307,15 @@ def _columns(df: DataFrame) -> dict[str, np.ndarray]:
 class Model(NamedTuple):
     """``words``: ``symbol``, ``times``; the number of training tokens and of distinct ones. For each length from 2,
     ``stored``: ``gram``, ``context``, ``times``, ``log``, ``own`` (log10 of the value without the last term), ``kept``; and
-    ``contexts`` in the tree: ``context``, ``rest``, ``own``."""
+    ``contexts`` in the tree: ``context``, ``rest``, ``own``; and ``frequent``, the grams one shorter that occur ``LEAST`` times."""
 
     words: DataFrame
     tokens: int
     distinct: int
     stored: list[DataFrame]
     contexts: list[DataFrame]
-    folders: list[str]  # of ``stored``
+    folders: list[str]  # of all these tables
+    frequent: list[Bitmap]
 
     @property
     def bits(self) -> int:
@@ -311,9 +341,9 @@ def learn(docs: DataFrame) -> Model:
 def _learned(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     texts = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
-    words = written(_words(texts), "words")
+    words, kept_words = passing(_words(texts), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
-    model = Model(words, tokens, distinct, [], [], [])
+    model = Model(words, tokens, distinct, [], [], [kept_words], [])
     last = words.where(F.col("times") >= LEAST).select(
         F.col("symbol").alias("gram"), "times", F.log10((F.col("times") + ADD) / model.base).alias("log")
     )
@@ -336,7 +366,7 @@ def _learned(docs: DataFrame) -> Model:
         )
         kept = tested.where(F.col("gain") >= cost * F.col("symbols"))
         rest = F.log10(1 - F.col("held") / (F.col("size") + PRIOR))
-        contexts = written(kept.select("context", "size", rest.alias("rest")), "contexts")
+        contexts, kept_contexts = passing(kept.select("context", "size", rest.alias("rest")), "contexts")
         smooth = F.log10(F.col("times") / (F.col("size") + PRIOR) + F.pow(F.lit(10.0), F.col("rest") + F.col("parent")))
         stored = joined.join(contexts.drop("size"), "context", "left").withColumn("kept", F.col("rest").isNotNull())
         stored = stored.withColumn("log", F.when(F.col("kept"), smooth).otherwise(F.col("parent")))
@@ -344,9 +374,10 @@ def _learned(docs: DataFrame) -> Model:
         stored, place = passing(stored.select("gram", "context", "times", "log", own.alias("own"), "kept"), "stored")
         delete_scratch(spark, folder)
         shared.unpersist()
-        model.folders.append(place)
+        model.folders.extend((place, kept_contexts))
         model.stored.append(stored)
         model.contexts.append(contexts)
+        model.frequent.append(known)
         last = stored
     return model
 
@@ -379,28 +410,30 @@ def _usual_words(model: Model) -> tuple[np.ndarray, np.ndarray]:
     return usual["symbol"], np.log10((usual["times"] + ADD) / model.base)
 
 
-def values(model: Model) -> DataFrame:
-    """``gram``, ``word`` (whether it is one), ``times``, ``base`` (of words) and ``value`` of every gram that adds to a score."""
+def values(model: Model) -> tuple[DataFrame, str]:
+    """``gram``, ``length``, ``times``, ``base`` (of words) and ``value`` of every gram that adds to a score, and their folder."""
     base = F.log10((F.col("times") + ADD) / model.base)
-    words = model.words.select(F.col("symbol").alias("gram"), F.lit(True).alias("word"), "times", base.alias("base"), base.alias("own"))
-    longer = [s.select("gram", F.lit(False).alias("word"), "times", F.lit(0.0).alias("base"), "own") for s in model.stored]
+    words = model.words.select(F.col("symbol").alias("gram"), "times", base.alias("base"), base.alias("own"))
+    longer = [s.select("gram", "times", F.lit(0.0).alias("base"), "own") for s in model.stored]
     parts = []
-    for part, contexts in zip([words, *longer], [*model.contexts, None]):  # those one longer
+    for length, (part, contexts) in enumerate(zip([words, *longer], [*model.contexts, None]), 1):  # those one longer
         value = F.col("own")
         if contexts is not None:
             part = part.join(contexts.select(F.col("context").alias("gram"), "rest"), "gram", "left")
             value = value + F.coalesce("rest", F.lit(0.0))
-        parts.append(part.select("gram", "word", "times", "base", value.alias("value")))
+        parts.append(part.select("gram", F.lit(length).alias("length"), "times", "base", value.alias("value")))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.union(part.where("value <> 0"))
-    return written(whole, "values")
+    return passing(whole, "values")
 
 
 class Usual(NamedTuple):
-    """What is broadcast to score: a bitmap of all grams, and the usual ones."""
+    """What is broadcast to score: for each length a bitmap of the grams with a value, for each but the last one of the frequent
+    grams, and the usual grams."""
 
-    known: Bitmap
+    known: list[Bitmap]
+    frequent: list[Bitmap]
     words: np.ndarray  # in order, as grams are
     word_bases: np.ndarray
     word_values: np.ndarray
@@ -408,13 +441,23 @@ class Usual(NamedTuple):
     gram_values: np.ndarray
 
 
-_PART = (
-    "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
-    "range long, first long, grams binary, rows binary"
-)
-_TEXT = ["row_id", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
-_RARE = ["range", "first", "grams", "rows"]
-_LOOKED = "first long, range long, rows binary, bases binary, values binary"
+#: A row of a text, and a row of grams or of what was found of them: ``rows`` counts the texts from ``first`` on.
+_TEXT = "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
+_SENT = f"range long, first long, grams binary, rows binary, {_TEXT}"
+_MET = f"first long, range long, rows binary, bases binary, values binary, {_TEXT}"
+_TEXT_NAMES = [x.split()[0] for x in _TEXT.split(", ")]
+_KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def _filled(columns: str, **arrays: pa.Array) -> pa.RecordBatch:
+    """Rows of ``columns``, with nulls in those that are not given."""
+    schema = pa.schema([(n, _KINDS[kind]) for n, kind in (x.split() for x in columns.split(", "))])
+    n = len(next(iter(arrays.values())))
+    return pa.RecordBatch.from_arrays([arrays.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+
+def _few(rows: pa.RecordBatch, most: int = ROWS) -> Iterator[pa.RecordBatch]:
+    return (rows.slice(start, most) for start in range(0, rows.num_rows, most))
 
 
 def _places(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -425,65 +468,85 @@ def _places(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return place
 
 
-def _scored(texts: DataFrame, shared, bits: int) -> DataFrame:
-    """The part of every score that the broadcast grams give (``_TEXT``), and rows of the other grams that may be known
-    (``_RARE``), by range; ``rows`` counts the texts from ``first`` on."""
-    schema = pa.schema(
-        [("row_id", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64())]
-        + [("base", pa.float64()), ("score", pa.float64()), ("range", pa.int64()), ("first", pa.int64())]
-        + [("grams", pa.binary()), ("rows", pa.binary())]
-    )
+def _met(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is held, and where those are that are."""
+    place = _places(held, keys)
+    hit = place < len(held)
+    hit[hit] = held[place[hit]] == keys[hit]
+    return hit, place[hit]
+
 
-    def filled(**columns: pa.Array) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+def _scored(texts: DataFrame, shared, bits: int) -> DataFrame:
+    """Rows of texts with the part of the score that the broadcast grams give, and rows of the other grams that may be known, by
+    range (``_SENT``). A task puts the grams of many slices together. Texts stand in the range of their slice, before the
+    grams there: their ``first`` is inverted."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         usual = shared.value
-        few = (b.slice(start, 1 << 16) for b in pieces(batches, limit=SLICE) for start in range(0, b.num_rows, 1 << 16))
-        for batch in few:
+        first, texts_, size = 0, 0, 0
+        rare: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            who, gram = (np.concatenate(x) for x in zip(*rare))
+            rare.clear()
+            order = np.argsort(gram)
+            who, gram = who[order], gram[order]
+            place = range_of(gram, bits)
+            at = cuts(place)
+            arrays = {"range": pa.array(place[at[:-1]]), "first": pa.array(np.full(len(at) - 1, first))}
+            yield from _few(_filled(_SENT, **arrays, grams=packed(gram, at), rows=packed(who, at)))
+
+        for batch in (few for piece in pieces(batches, limit=SLICE) for few in _few(piece, 1 << 16)):
             n = batch.num_rows
+            if texts_ + n > 1 << 16 or size > HELD or not texts_:
+                if rare:
+                    yield from rows()
+                first, texts_, size = batch.column("row_id")[0].as_py(), 0, 0
             symbols, edges = sequences(batch.column("text").to_pylist())
             owner = np.repeat(np.arange(n, dtype=PLACE), np.diff(edges))
-            known, base, score = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n)
-            rare_owner, rare_gram = [], []
-            for length, keys in enumerate(grams(symbols, edges, DEPTH + 1), 1):
-                some = np.flatnonzero(usual.known.maybe(keys) & ((keys != 0) | (length == 1)))
-                held, value = (usual.words, usual.word_values) if length == 1 else (usual.grams, usual.gram_values)
-                place = _places(held, keys[some])
-                hit = place < len(held)
-                hit[hit] = held[place[hit]] == keys[some[hit]]
-                who, place = owner[some[hit]], place[hit]
+            some = np.arange(len(symbols))
+            base, score = np.zeros(n), np.zeros(n)
+            for length, keys in enumerate(grams(symbols, edges, len(usual.known)), 1):
                 if length == 1:
+                    hit, place = _met(usual.words, keys)
+                    who = owner[hit]
                     known = np.bincount(who, minlength=n)
                     base += np.bincount(who, weights=usual.word_bases[place], minlength=n)
-                score += np.bincount(who, weights=value[place], minlength=n)
-                rare_owner.append(owner[some[~hit]])
-                rare_gram.append(keys[some[~hit]])
-            yield filled(
-                row_id=batch.column("row_id"),
-                doc_id=batch.column("doc_id"),
-                held_out=batch.column("held_out"),
+                    score += np.bincount(who, weights=usual.word_values[place], minlength=n)
+                    left = np.flatnonzero(~hit)
+                    left = left[usual.known[0].maybe(keys[left])]
+                else:
+                    some = some[(keys[some] != 0) & likely[some] & likely[some - 1]]
+                    left = some[usual.known[length - 1].maybe(keys[some])]
+                    hit, place = _met(usual.grams, keys[left])
+                    score += np.bincount(owner[left[hit]], weights=usual.gram_values[place], minlength=n)
+                    left = left[~hit]
+                if len(left):
+                    rare.append((owner[left] + PLACE(texts_), keys[left]))
+                    size += len(left)
+                if length < len(usual.known):
+                    likely = np.zeros(len(symbols), dtype=bool)
+                    likely[some] = usual.frequent[length - 1].maybe(keys[some])
+            spread = range_of(mix(np.array([batch.column("row_id")[0].as_py()], dtype=U64)), bits)
+            yield _filled(
+                _SENT,
+                range=pa.array(np.repeat(spread, n)),
+                first=pa.array(np.full(n, ~first)),
+                **{c: batch.column(c) for c in ("row_id", "doc_id", "held_out")},
                 n_tokens=pa.array(np.diff(edges)),
                 known=pa.array(known.astype(np.int64)),
                 base=pa.array(base),
                 score=pa.array(score),
             )
-            who, gram = np.concatenate(rare_owner), np.concatenate(rare_gram)
-            order = np.argsort(gram)
-            who, gram = who[order], gram[order]
-            place = range_of(gram, bits)
-            at = cuts(place)
-            if len(at) > 1:
-                first = pa.array(np.full(len(at) - 1, batch.column("row_id")[0].as_py()))
-                whole = filled(range=pa.array(place[at[:-1]]), first=first, grams=packed(gram, at), rows=packed(who, at))
-                yield from (whole.slice(start, ROWS) for start in range(0, whole.num_rows, ROWS))
+            texts_ += n
+        if rare:
+            yield from rows()
 
-    return texts.mapInArrow(run, _PART)
+    return texts.mapInArrow(run, _SENT)
 
 
 def _by_range(looked: DataFrame, bits: int) -> DataFrame:
-    """Rows of values in the shape of ``_RARE``: ``first`` is null, and ``rows`` holds base and value of each gram."""
+    """Rows of values in the shape of ``_SENT``: ``first`` is null, and ``rows`` holds base and value of each gram."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -494,9 +557,10 @@ def _by_range(looked: DataFrame, bits: int) -> DataFrame:
             place = range_of(gram[order], bits)
             at = cuts(place)
             both = np.stack((base[order], value[order]), axis=1)
-            arrays = [pa.array(place[at[:-1]]), pa.nulls(len(at) - 1, pa.int64()), packed(gram[order], at), packed(both.ravel(), at * 2)]
             held.clear()
-            return handed(_RARE, arrays)
+            return _few(
+                _filled(_SENT, range=pa.array(place[at[:-1]]), grams=packed(gram[order], at), rows=packed(both.ravel(), at * 2))
+            )
 
         for batch in batches:
             if batch.num_rows:
@@ -507,97 +571,151 @@ def _by_range(looked: DataFrame, bits: int) -> DataFrame:
         if held:
             yield from rows()
 
-    return looked.select("gram", "base", "value").mapInArrow(run, "range long, first long, grams binary, rows binary")
+    return looked.select("gram", "base", "value").mapInArrow(run, _SENT)
 
 
-def _looked_up(rare: DataFrame, looked: DataFrame, bits: int) -> DataFrame:
-    """``row_id``, ``more_base``, ``more``, ``seen``: what the grams that are not broadcast add to each text.
+def _looked_up(scored: DataFrame, looked: DataFrame, bits: int) -> DataFrame:
+    """Rows of texts (``_TEXT``), with what the grams that are not broadcast add to each.
 
-    In a range the values come first, then the grams of one slice of texts after the other.
+    In a range the values come first, then the texts, then the grams of one slice of texts after the other. All grams of a
+    batch are looked up at once, and what a task finds goes on by slices of texts, whatever the ranges.
     """
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, table, numbers = None, [], None, None
+        hits: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            first, who, both = (np.concatenate(x) for x in zip(*hits))
+            hits.clear()
+            word = both[:, 0] < 0  # a word has a base below 0, a longer gram none
+            for kind in (word, ~word):
+                some = np.flatnonzero(kind)
+                some = some[np.argsort(first[some], kind="stable")]
+                at = cuts(first[some])
+                given = {"bases": packed(both[some, 0], at)} if kind is word else {}
+                arrays = {"first": pa.array(first[some[at[:-1]]]), "range": pa.array(np.full(len(at) - 1, now))}
+                yield from _few(_filled(_MET, **arrays, rows=packed(who[some], at), values=packed(both[some, 1], at), **given))
+
         for place, found in runs(batches, "range"):
             if place != now:
+                if size > HELD // 2:
+                    yield from rows()
+                    size = 0
                 now, parts, table, numbers = place, [], None, np.zeros((0, 2))
-            n = found.num_rows
             values = found.column("first").null_count  # they stand before all others
             if values:
                 numbers_of = unpacked(found.column("rows"), 0, values, np.float64).reshape(-1, 2)
                 parts.append((unpacked(found.column("grams"), 0, values, U64), numbers_of))
-            if values == n:
+            found = found.slice(values)
+            texts = int((found.column("first").to_numpy() < 0).sum())
+            if texts:
+                first = pa.array(~found.column("first").to_numpy()[:texts])
+                yield _filled(_MET, first=first, **{c: found.column(c).slice(0, texts) for c in _TEXT_NAMES})
+            found = found.slice(texts)
+            n = found.num_rows
+            if not n:
                 continue
             if table is None:
                 table = Table(np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, dtype=U64))
                 numbers = np.concatenate([numbers, *(y for _, y in parts)])
                 parts = []
-            for first, some in runs([found.slice(values)], "first"):
-                at = table.find(unpacked(some.column("grams"), 0, some.num_rows, U64))
-                hit = np.flatnonzero(at >= 0)
-                if len(hit):
-                    who = unpacked(some.column("rows"), 0, some.num_rows, PLACE)[hit]
-                    edges = np.append(np.arange(0, len(hit), ENTRIES), len(hit))
-                    both = numbers[at[hit]]
-                    same = [pa.array(np.full(len(edges) - 1, x)) for x in (first, place)]
-                    arrays = [*same, packed(who, edges), packed(both[:, 0], edges), packed(both[:, 1], edges)]
-                    yield from handed(["first", "range", "rows", "bases", "values"], arrays)
+            at = table.find(unpacked(found.column("grams"), 0, n, U64))
+            hit = np.flatnonzero(at >= 0)
+            if len(hit):
+                first = np.repeat(found.column("first").to_numpy(), lengths(found.column("grams"), U64))
+                hits.append((first[hit], unpacked(found.column("rows"), 0, n, PLACE)[hit], numbers[at[hit]]))
+                size += len(hit)
+            if size > HELD:
+                yield from rows()
+                size = 0
+        if hits:
+            yield from rows()
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sums = None, np.zeros((0, 3))
+        now, texts, sums, held, size = None, [], np.zeros((0, 3)), [], 0
+
+        def summed() -> None:
+            if held:
+                who, base, value, seen = (np.concatenate(x) for x in zip(*held))
+                for k, weights in enumerate((base, value, seen)):
+                    sums[:, k] += np.bincount(who, weights=weights, minlength=len(sums))
+                held.clear()
 
         def rows() -> Iterator[pa.RecordBatch]:
-            some = np.flatnonzero(sums.any(axis=1))
-            arrays = [pa.array(now + some), pa.array(sums[some, 0]), pa.array(sums[some, 1]), pa.array(sums[some, 2].astype(np.int64))]
-            return handed(["row_id", "more_base", "more", "seen"], arrays, PASSED)
+            summed()
+            for some in texts:
+                at = some.column("row_id").to_numpy() - now
+                added = {
+                    "known": some.column("known").to_numpy() + sums[at, 2].astype(np.int64),
+                    "base": some.column("base").to_numpy() + sums[at, 0],
+                    "score": some.column("score").to_numpy() + sums[at, 1],
+                }
+                arrays = [pa.array(added[c]) if c in added else some.column(c) for c in _TEXT_NAMES]
+                yield pa.RecordBatch.from_arrays(arrays, _TEXT_NAMES)
 
         for first, found in runs(batches, "first"):
             if first != now:
                 if now is not None:
                     yield from rows()
-                now, sums = first, np.zeros((0, 3))
+                now, texts, sums, size = first, [], np.zeros((1 << 16, 3)), 0
+            n = found.column("range").null_count  # the texts stand before what was found of them
+            if n:
+                texts.append(found.slice(0, n).select(_TEXT_NAMES).take(pa.array(np.arange(n))))  # without the rest of the batch
+            found = found.slice(n)
             n = found.num_rows
-            who = unpacked(found.column("rows"), 0, n, PLACE)
-            base, value = (unpacked(found.column(c), 0, n, np.float64) for c in ("bases", "values"))
-            if int(who.max(initial=0)) >= len(sums):
-                sums = np.concatenate((sums, np.zeros((int(who.max()) + 1 - len(sums), 3))))
-            # A word has a base below 0, a longer gram none.
-            sums[:, 0] += np.bincount(who, weights=base, minlength=len(sums))
-            sums[:, 1] += np.bincount(who, weights=value, minlength=len(sums))
-            sums[:, 2] += np.bincount(who, weights=base < 0, minlength=len(sums))
+            if n:
+                who, value = unpacked(found.column("rows"), 0, n, PLACE), unpacked(found.column("values"), 0, n, np.float64)
+                word = np.repeat(found.column("bases").is_valid().to_numpy(zero_copy_only=False), lengths(found.column("rows"), PLACE))
+                base = np.zeros(len(who))
+                base[word] = unpacked(found.column("bases"), 0, n, np.float64)
+                held.append((who, base, value, word))
+                size += len(who)
+            if size > HELD:
+                summed()
+                size = 0
         if now is not None:
             yield from rows()
 
-    both = dealt(_by_range(looked, bits).unionByName(rare.select(*_RARE)), "range", "first")
-    met, folder = passing(both.mapInArrow(find, _LOOKED), "met")
-    found, _ = passing(dealt(met, "first", "range").mapInArrow(add, "row_id long, more_base double, more double, seen long"), "sums")
-    delete_scratch(looked.sparkSession, folder)
-    return found
+    both = dealt(_by_range(looked, bits).unionByName(scored), "range", "first")
+    return dealt(both.mapInArrow(find, _MET), "first", "range").mapInArrow(add, _TEXT)
 
 
-def _parts(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, what the broadcast grams add to the scores, and what the others add."""
+def _parts(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and what the grams known to it add to the scores (``_TEXT``)."""
     spark = docs.sparkSession
     model = learn(docs)
-    whole = values(model)
+    whole, place = values(model)
     for folder in model.folders:
         delete_scratch(spark, folder)
-    least = _usual_from(whole.where(~F.col("word")))
-    often = F.col("times") >= F.when(F.col("word"), model.often).otherwise(least)
-    words = _columns(whole.where(F.col("word") & often).select("gram", "base", "value"))
-    grams_ = _columns(whole.where(~F.col("word") & often).select("gram", "value"))
+    is_word = F.col("length") == 1
+    least = _usual_from(whole.where(~is_word))
+    often = F.col("times") >= F.when(is_word, model.often).otherwise(least)
+    words = _columns(whole.where(is_word & often).select("gram", "base", "value"))
+    grams_ = _columns(whole.where(~is_word & often).select("gram", "value"))
     order, order_ = np.argsort(words["gram"]), np.argsort(grams_["gram"])
     tables = [words[n][order] for n in ("gram", "base", "value")] + [grams_[n][order_] for n in ("gram", "value")]
-    shared = spark.sparkContext.broadcast(Usual(Bitmap(whole.select("gram")), *tables))
+    known = [Bitmap(whole.where(F.col("length") == n + 1).select("gram")) for n in range(len(model.stored) + 1)]
+    shared = spark.sparkContext.broadcast(Usual(known, model.frequent, *tables))
+    looked = whole.where(~often)
+    # As many rounds over some of the texts each as keep the grams on their way in proportion to the texts.
+    met = looked.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    rounds = min(ROUNDS, max(1, math.ceil(met / max(1.0, SHARE * model.tokens))))
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         held_out(F.col("doc_id")).alias("held_out"),
         F.col("text").cast("string").alias("text"),
-        F.monotonically_increasing_id().alias("row_id"),  # consecutive in a slice
     )
-    part = written(_scored(texts, shared, model.bits), "parts")
-    rare = part.where("range IS NOT NULL").select(*_RARE)
-    return model, part, _looked_up(rare, whole.where(~often), model.bits)
+    paths = []
+    for turn in range(rounds):
+        some = texts if rounds == 1 else texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == turn)
+        some = some.withColumn("row_id", F.monotonically_increasing_id())  # consecutive in a task
+        found = _looked_up(_scored(some, shared, model.bits), looked, model.bits)
+        paths.append(passing(found, "scores")[1])
+    shared.unpersist()
+    delete_scratch(spark, place)
+    return model, spark.read.schema(_TEXT).parquet(*paths)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -611,15 +729,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
     empty result.
     """
     with tidy(docs.sparkSession):
-        model, part, sums = _parts(docs)
-    n_known = F.col("known") + F.coalesce("seen", F.lit(0))
-    unknown = (F.col("n_tokens") - n_known) * float(np.log10(ADD / model.base))
-    return part.where("row_id IS NOT NULL").select(*_TEXT).join(sums, "row_id", "left").select(
+        model, part = _parts(docs)
+    unknown = (F.col("n_tokens") - F.col("known")) * float(np.log10(ADD / model.base))
+    return part.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        n_known.cast("long").alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + unknown).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0)) + unknown).alias("score"),
+        (F.col("base") + unknown).alias("base_score"),
+        (F.col("score") + unknown).alias("score"),
     )
