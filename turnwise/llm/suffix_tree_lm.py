@@ -21,9 +21,9 @@ The logarithm of a score is a sum over the grams of a text. A gram ``s w`` has t
 
 where ``rest`` is 1 outside the tree: what was added for the shorter gram and for ``s`` as a context is taken back. So
 the grams of a text are looked up one by one: words of a share of ``WORD_SHARE`` or more and the ``USUAL`` most frequent
-longer grams in a broadcast table, all others packed by range, next to the values of that range. A gram goes there if bitmaps
-say that it may have a value and that its two shorter grams may be frequent. What is found goes back packed by texts, so the
-rows on both ways depend on the grams and not on how many slices of text meet how many ranges.
+longer grams in a broadcast table, all others packed by range, next to the values of that range. A longer gram goes there if
+bitmaps say that it may have a value and that its two shorter grams may be frequent. What is found goes back packed by texts, so
+the rows on both ways depend on the grams and not on how many slices of text meet how many ranges.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ PLACE = np.uint16  # of a text in a slice
 WORD_BITS = 10  # of the number of a range of words that are counted
 RANGE = 1 << 19  # training tokens for which there is one more range of grams
 BITS = 27  # of a place in the largest bitmap
-SHARE = 0.25  # of grams that are looked up at a time in the training tokens, about
+SHARE = 0.5  # of grams that are looked up at a time in the training tokens, about
 ROUNDS = 8  # at most
 
 _STEP = seeds(1, 303)[0]
@@ -307,7 +307,8 @@ def _columns(df: DataFrame) -> dict[str, np.ndarray]:
 class Model(NamedTuple):
     """``words``: ``symbol``, ``times``; the number of training tokens and of distinct ones. For each length from 2,
     ``stored``: ``gram``, ``context``, ``times``, ``log``, ``own`` (log10 of the value without the last term), ``kept``; and
-    ``contexts`` in the tree: ``context``, ``rest``, ``own``; and ``frequent``, the grams one shorter that occur ``LEAST`` times."""
+    ``contexts`` in the tree: ``context``, ``rest``, ``own``; and ``frequent``, the grams of
+    each but the last of these lengths, that occur ``LEAST`` times."""
 
     words: DataFrame
     tokens: int
@@ -377,7 +378,8 @@ def _learned(docs: DataFrame) -> Model:
         model.folders.extend((place, kept_contexts))
         model.stored.append(stored)
         model.contexts.append(contexts)
-        model.frequent.append(known)
+        if length > 2:
+            model.frequent.append(known)
         last = stored
     return model
 
@@ -429,8 +431,8 @@ def values(model: Model) -> tuple[DataFrame, str]:
 
 
 class Usual(NamedTuple):
-    """What is broadcast to score: for each length a bitmap of the grams with a value, for each but the last one of the frequent
-    grams, and the usual grams."""
+    """What is broadcast to score: for each length from 2 a bitmap of the grams with a value, for each but the last one of the
+    frequent grams, and the usual grams. Nearly all words are known and frequent, so they have no bitmap."""
 
     known: list[Bitmap]
     frequent: list[Bitmap]
@@ -506,7 +508,7 @@ def _scored(texts: DataFrame, shared, bits: int) -> DataFrame:
             owner = np.repeat(np.arange(n, dtype=PLACE), np.diff(edges))
             some = np.arange(len(symbols))
             base, score = np.zeros(n), np.zeros(n)
-            for length, keys in enumerate(grams(symbols, edges, len(usual.known)), 1):
+            for length, keys in enumerate(grams(symbols, edges, len(usual.known) + 1), 1):
                 if length == 1:
                     hit, place = _met(usual.words, keys)
                     who = owner[hit]
@@ -514,19 +516,20 @@ def _scored(texts: DataFrame, shared, bits: int) -> DataFrame:
                     base += np.bincount(who, weights=usual.word_bases[place], minlength=n)
                     score += np.bincount(who, weights=usual.word_values[place], minlength=n)
                     left = np.flatnonzero(~hit)
-                    left = left[usual.known[0].maybe(keys[left])]
                 else:
-                    some = some[(keys[some] != 0) & likely[some] & likely[some - 1]]
-                    left = some[usual.known[length - 1].maybe(keys[some])]
+                    some = some[keys[some] != 0]
+                    if length > 2:
+                        some = some[likely[some] & likely[some - 1]]
+                    left = some[usual.known[length - 2].maybe(keys[some])]
                     hit, place = _met(usual.grams, keys[left])
                     score += np.bincount(owner[left[hit]], weights=usual.gram_values[place], minlength=n)
                     left = left[~hit]
                 if len(left):
                     rare.append((owner[left] + PLACE(texts_), keys[left]))
                     size += len(left)
-                if length < len(usual.known):
+                if 1 < length <= len(usual.frequent) + 1:
                     likely = np.zeros(len(symbols), dtype=bool)
-                    likely[some] = usual.frequent[length - 1].maybe(keys[some])
+                    likely[some] = usual.frequent[length - 2].maybe(keys[some])
             spread = range_of(mix(np.array([batch.column("row_id")[0].as_py()], dtype=U64)), bits)
             yield _filled(
                 _SENT,
@@ -696,7 +699,7 @@ def _parts(docs: DataFrame) -> tuple[Model, DataFrame]:
     grams_ = _columns(whole.where(~is_word & often).select("gram", "value"))
     order, order_ = np.argsort(words["gram"]), np.argsort(grams_["gram"])
     tables = [words[n][order] for n in ("gram", "base", "value")] + [grams_[n][order_] for n in ("gram", "value")]
-    known = [Bitmap(whole.where(F.col("length") == n + 1).select("gram")) for n in range(len(model.stored) + 1)]
+    known = [Bitmap(whole.where(F.col("length") == n + 2).select("gram")) for n in range(len(model.stored))]
     shared = spark.sparkContext.broadcast(Usual(known, model.frequent, *tables))
     looked = whole.where(~often)
     # As many rounds over some of the texts each as keep the grams on their way in proportion to the texts.
